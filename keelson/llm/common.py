@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -20,9 +21,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_keelson_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as d:
-        base = shutil.make_archive(os.path.join(d, "keelson"), "zip", ROOT, "keelson")
-        sc.addPyFile(base)
+    d = tempfile.mkdtemp(prefix="keelson-lib-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    sc.addPyFile(shutil.make_archive(os.path.join(d, "keelson"), "zip", ROOT, "keelson"))
     sc._keelson_shipped = True
 
 

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat
+from keelson.llm import chat, topk
 
 
 def queries() -> dict:
     return {
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op10_exact_top_k": topk.op10_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat_formatting": chat.ORACLE_SQL,
+        "op10_exact_top_k": topk.ORACLE_SQL,
     }
