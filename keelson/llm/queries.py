@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, topk
+from keelson.llm import chat, near_vectors, topk
 
 
 def queries() -> dict:
     return {
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op9_embedding_near_dedup": near_vectors.op9_embedding_near_dedup,
         "op10_exact_top_k": topk.op10_exact_top_k,
     }
 
@@ -15,5 +16,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_chat_formatting": chat.ORACLE_SQL,
+        "op9_embedding_near_dedup": near_vectors.ORACLE_SQL,
         "op10_exact_top_k": topk.ORACLE_SQL,
     }
