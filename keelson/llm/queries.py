@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, near_vectors, topk
+from keelson.llm import chat, near_vectors, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op3_toxicity": toxicity.op3_toxicity,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_embedding_near_dedup": near_vectors.op9_embedding_near_dedup,
         "op10_exact_top_k": topk.op10_exact_top_k,
