@@ -52,7 +52,8 @@ def _trigrams(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The letters' places in the texts, and for each the hashed trigram around it; a word is framed by blanks."""
     lengths = words.end - words.start
     at = np.arange(int(lengths.sum())) + np.repeat(words.start - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    c = np.concatenate([[0], words.chars.astype(np.uint64), [0]])
+    c = np.zeros(len(words.chars) + 2, np.uint64)
+    c[1:-1] = words.chars
     edge = np.zeros(len(words.chars) + 1, bool)
     edge[words.start] = True
     left = np.where(edge[at], np.uint64(0), c[at])
@@ -77,7 +78,7 @@ def _count(langs: list[str]):
                 at, cells = _trigrams(words)
                 of = np.repeat(lang[words.doc], words.end - words.start)
                 keep = of >= 0
-                for cell in (cells, (1 << BITS) + _script_table()[words.chars[at]]):
+                for cell in (cells, _script_table()[words.chars[at]].astype(np.int64) + (1 << BITS)):
                     total += np.bincount(of[keep] * size + cell[keep], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])

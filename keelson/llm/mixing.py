@@ -93,7 +93,7 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     blocks = {s: -(-c // block_rows) for s, c in counts.items()}
     plan = phases({s: weights[s] for s in blocks}, blocks)
     block = F.floor(F.col("__index") / block_rows)
-    ranked = ranked.withColumn("__block", block).withColumn("__slot", _slot(plan))
+    ranked = ranked.withColumn("__block", block).join(F.broadcast(_courses(rows.sparkSession, plan)), "__source").withColumn("__slot", _slot())
     # places: whole blocks before a slot, less what short last blocks lack
     short = {s: c % block_rows for s, c in counts.items() if c % block_rows}
     gaps = [(_slot_of(plan, s, blocks[s] - 1), block_rows - r) for s, r in short.items()]
@@ -101,7 +101,7 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     for slot, missing in gaps:
         lack = lack + F.when(F.col("__slot") > slot, missing).otherwise(0)
     place = F.col("__slot") * block_rows + F.col("__index") % block_rows - lack
-    return ranked.withColumn("__place", place.cast("long")).drop("__mark", "__bucket", "__before", "__index")
+    return ranked.withColumn("__place", place.cast("long")).drop("__mark", "__bucket", "__before", "__index", "__phases")
 
 
 def _slot_of(plan: list[dict], source: str, block: int) -> int:
@@ -112,15 +112,20 @@ def _slot_of(plan: list[dict], source: str, block: int) -> int:
     raise ValueError(f"{source} has no block {block}")
 
 
-def _slot(plan: list[dict]) -> Column:
-    """The slot of (__source, __block): the last phase whose first block of the source isn't beyond it."""
-    out = F.lit(None).cast("long")
+def _courses(spark: SparkSession, plan: list[dict]) -> DataFrame:
+    """A row for each source with its phases; so of as many rows as the weights name sources, and one."""
+    rows: dict[str, list[tuple]] = {}
     for p in plan:
         for s, first in p["done"].items():
-            w, i = p["weights"][s], F.col("__block") - first
-            place = F.element_at(F.array(*(F.lit(x) for x in p["places"][s])), (i % w + 1).cast("int"))
-            out = F.when((F.col("__source") == s) & (F.col("__block") >= first), p["slot"] + F.floor(i / w) * p["length"] + place).otherwise(out)
-    return out
+            rows.setdefault(s, []).append((first, p["slot"], p["weights"][s], p["length"], p["places"][s]))
+    kind = "__source string, __phases array<struct<first:long,slot:long,weight:long,length:long,places:array<int>>>"
+    return spark.createDataFrame(list(rows.items()), kind)
+
+
+def _slot() -> Column:
+    """The slot of __block: by the last phase whose first block isn't beyond it."""
+    p = F.element_at(F.filter("__phases", lambda x: x["first"] <= F.col("__block")), -1)
+    return F.transform(F.array(p), lambda x: x["slot"] + F.floor((F.col("__block") - x["first"]) / x["weight"]) * x["length"] + x["places"][((F.col("__block") - x["first"]) % x["weight"]).cast("int")])[0]
 
 
 #: Target weights of the sample corpus: three tiers.

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, near_vectors, topk, toxicity
+from keelson.llm import chat, language, mixing, near_vectors, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op6_language_id": language.op6_language_id,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op9_embedding_near_dedup": near_vectors.op9_embedding_near_dedup,
         "op10_exact_top_k": topk.op10_exact_top_k,
