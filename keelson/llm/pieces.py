@@ -100,7 +100,7 @@ def merges(spec: Spec) -> list[tuple[str, str]]:
 
 def build(spec: Spec):
     """The tokenizers-library tokenizer of a model."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
     steps = [normalizers.Precompiled(spec.charsmap)] if spec.charsmap else []
     if spec.squeeze:
@@ -114,8 +114,6 @@ def build(spec: Spec):
         model = models.BPE({p: i for i, (p, _, _) in enumerate(spec.pieces)}, merges(spec), unk_token=spec.pieces[spec.unknown][0], fuse_unk=True, byte_fallback=spec.byte_fallback)
     made = Tokenizer(model)
     made.normalizer = normalizers.Sequence(steps)
-    if not any(SPACE in p.lstrip(SPACE) for p, _, _ in spec.pieces):  # no piece spans the start of a word
-        made.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}*[^{SPACE}]+|{SPACE}+"), "isolated")
     tail = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
     made.decoder = decoders.Sequence(tail + ([decoders.Strip(" ", 1, 0)] if spec.dummy_prefix else []))
     made.add_tokens([AddedToken(p, normalized=False) for p, _, k in spec.pieces if k == USER])
@@ -130,15 +128,37 @@ def probes(seed: int = 3) -> list[str]:
     return fixed + ["".join(draw.choice(pool) for _ in range(draw.randint(1, 200))) for _ in range(300)]
 
 
+class Decoder:
+    """The bytes behind ids, for whole batches at once."""
+
+    def __init__(self, spec: Spec):
+        words = [bytes([int(p[1:-1], 16)]) if k == BYTE else b" \xe2\x81\x87 " if k == UNKNOWN else b"" if k == CONTROL else p.replace(SPACE, " ").encode() for p, _, k in spec.pieces]
+        self.length = np.fromiter(map(len, words), np.int64, len(words))
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.pool = np.frombuffer(b"".join(words), np.uint8)
+        self.prefix = spec.dummy_prefix
+
+    def texts(self, flat: np.ndarray, cuts: np.ndarray) -> list[str]:
+        """The texts of the runs of ids between the cuts; bytes that aren't UTF-8 become U+FFFD."""
+        length = self.length[flat]
+        ends = np.cumsum(length)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[flat] - ends + length, length)
+        data, ends = self.pool[at].tobytes(), np.concatenate([[0], ends])[cuts]
+        out = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+        return [t.removeprefix(" ") for t in out] if self.prefix else out
+
+
 @lru_cache(maxsize=2)
 def load(data: bytes):
-    """The tokenizer of a model's bytes, its sentencepiece twin, and on how many probes their ids differ."""
+    """The tokenizer of a model's bytes, its sentencepiece twin, a decoder, and on how many probes ids or decoded texts differ."""
     import sentencepiece
 
-    made, twin = build(read_model(data)), sentencepiece.SentencePieceProcessor(model_proto=data)
-    texts = probes()
-    ours = [e.ids for e in made.encode_batch(texts, add_special_tokens=False)]
-    return made, twin, sum(a != b for a, b in zip(ours, twin.encode(texts), strict=True))
+    spec, twin = read_model(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    made, decoder, texts = build(spec), Decoder(spec), probes()
+    ours, theirs = [e.ids for e in made.encode_batch(texts, add_special_tokens=False)], twin.encode(texts)
+    back = decoder.texts(np.array([i for x in theirs for i in x]), np.cumsum([0] + [len(x) for x in theirs]))
+    differ = sum(a != b or t != twin.decode(b) for a, b, t in zip(ours, theirs, back, strict=True))
+    return made, twin, decoder, differ
 
 
 KINDS = "__ids array<int>, __decoded string, __same boolean"
@@ -147,7 +167,7 @@ KINDS = "__ids array<int>, __decoded string, __same boolean"
 def _encode(shared, check_rows: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        made, twin, differ = load(shared.value)
+        made, twin, decoder, differ = load(shared.value)
         if differ:
             raise ValueError(f"the rebuilt tokenizer differs from sentencepiece on {differ} probe texts")
         for batch in batches:
@@ -156,8 +176,9 @@ def _encode(shared, check_rows: bool, decode: bool):
                 ids = [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
                 flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat, pa.int32()))
-                back = made.decode_batch(ids, skip_special_tokens=False) if decode else [None] * len(ids)
+                cuts = np.concatenate([[0], np.cumsum(counts)])
+                column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat, pa.int32()))
+                back = decoder.texts(flat, cuts) if decode else [None] * len(ids)
                 same = [a == b for a, b in zip(ids, twin.encode(texts), strict=True)] if check_rows else [None] * len(ids)
                 for name, values in (("__ids", column), ("__decoded", pa.array(back, pa.string())), ("__same", pa.array(same, pa.bool_()))):
                     part = part.append_column(name, values)

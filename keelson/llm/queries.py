@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, language, mixing, near_vectors, topk, toxicity
+from keelson.llm import chat, language, mixing, near_vectors, pieces, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_language_id": language.op6_language_id,
         "op7_chat_formatting": chat.op7_chat_formatting,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_embedding_near_dedup": near_vectors.op9_embedding_near_dedup,
         "op10_exact_top_k": topk.op10_exact_top_k,
     }
