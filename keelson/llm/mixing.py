@@ -66,7 +66,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
-def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 20_000, least: int = 1) -> DataFrame:
+def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 2_000, least: int = 1) -> DataFrame:
     """rows (doc_id, source and any other columns) with __source, __block, __slot and __place.
 
     weights: whole target weights by source; REST is for all others and gets `least` if not
