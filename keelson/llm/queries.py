@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, language, mixing, near_vectors, pieces, topk, toxicity
+from keelson.llm import chat, html_text, language, mixing, near_vectors, pieces, topk, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_html_extraction": html_text.op1_html_extraction,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_language_id": language.op6_language_id,
