@@ -124,8 +124,12 @@ def blocked(rows: DataFrame, keys: list[str], id_column: str, most: int) -> Data
     if sizes.isEmpty():
         return rows.select("*", alone.alias("block"), alone.alias("one"), alone.alias("two"))
     sizes = sizes.select(*keys, F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(id_column, F.lit(17)), F.col("blocks")).cast("int"))
+    return deal(rows.join(sizes, keys, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))), id_column)
+
+
+def deal(rows: DataFrame, id_column: str) -> DataFrame:
+    """Deal rows to the number of blocks that `blocks` says, and repeat each for the blocks it has to meet."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(id_column, F.lit(17)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("one", F.least("block", "other")).withColumn("two", F.greatest("block", "other")).drop("other", "blocks")
 

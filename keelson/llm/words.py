@@ -20,6 +20,12 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
+@lru_cache(maxsize=1)
+def word_chars() -> np.ndarray:
+    """For each code point whether it is a letter or a digit."""
+    return np.fromiter((chr(i).isalnum() for i in range(0x110000)), bool, 0x110000)
+
+
 @lru_cache(maxsize=1)
 def _codes() -> np.ndarray:
     return np.random.default_rng(5).integers(1, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64)
@@ -39,19 +45,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words (runs of letters) of a column of texts, lower case.
+    """The words (runs of letters, or of letters and digits) of a column of texts, lower case.
 
     chars: code points of all texts; start, end: of each word in chars; doc: its text's
     index; n: the number of texts. Null texts have no words.
     """
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, digits: bool = False):
         low = [(t or "").lower() for t in texts.to_pylist()]
         self.n = len(low)
         self.chars = np.frombuffer("\n".join(low).encode("utf-32-le", "replace"), np.uint32)
         self.first = np.cumsum([0] + [len(t) + 1 for t in low])[:-1]
         inside = np.zeros(len(self.chars) + 2, np.int8)
-        inside[1:-1] = letters()[self.chars]
+        inside[1:-1] = (word_chars() if digits else letters())[self.chars]
         step = np.diff(inside)
         self.start, self.end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
         self.doc = np.searchsorted(self.first, self.start, side="right") - 1
