@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import chat, html_text, language, mixing, near_texts, near_vectors, pieces, topk, toxicity
+from keelson.llm import chat, html_text, language, mixing, near_texts, near_vectors, pieces, suffixes, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_ngram_jaccard_join": near_texts.op4_ngram_jaccard_join,
+        "op5_suffix_array_dedup": suffixes.op5_suffix_array_dedup,
         "op6_language_id": language.op6_language_id,
         "op7_chat_formatting": chat.op7_chat_formatting,
         "op8_sentencepiece": pieces.op8_sentencepiece,
