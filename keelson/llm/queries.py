@@ -6,7 +6,10 @@ from keelson.llm import chat, html_text, language, mixing, near_texts, near_vect
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_html_extraction": html_text.op1_html_extraction,
         "op2_source_mixing": mixing.op2_source_mixing,
         "op3_toxicity": toxicity.op3_toxicity,

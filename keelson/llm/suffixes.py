@@ -267,7 +267,7 @@ def _remove(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            kept, spans = [], []
+            kept, texts, spans = [], [], []
             for data, found in zip(batch.column("data").to_pylist(), batch.column("__found").to_pylist(), strict=True):
                 runs: list[list[int]] = []
                 for x in sorted((f["start"], f["start"] + f["windows"] - 1 + least) for f in found or ()):
@@ -276,9 +276,12 @@ def _remove(least: int):
                     else:
                         runs.append(list(x))
                 edges = [0, *(e for r in runs for e in r), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
+                pieces = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
+                kept.append(b"".join(pieces))
+                texts.append("".join(p.decode("utf-8", "ignore") for p in pieces))
                 spans.append([{"start": a, "end": b} for a, b in runs])
-            yield batch.drop_columns(["data", "__found"]).append_column("__kept", pa.array(kept, pa.binary())).append_column("__spans", pa.array(spans, kind))
+            batch = batch.drop_columns(["data", "__found"]).append_column("__kept", pa.array(kept, pa.binary()))
+            yield batch.append_column("__text", pa.array(texts, pa.string())).append_column("__spans", pa.array(spans, kind))
 
     return run
 
@@ -289,16 +292,16 @@ def text_id(doc_id: Column) -> Column:
 
 
 def remove_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
-    """rows (id, print, data and any other columns) with __kept and __spans in place of data.
+    """rows (id, print, data and any other columns) with __kept, __text and __spans in place of data.
 
     __kept: the bytes without those covered by a window that also starts elsewhere; __spans: the maximal
-    removed runs of bytes. Texts shorter than a window, and empty ones, stay as they are.
+    removed runs of bytes; __text: what is left as text, without characters that lost a byte. Texts shorter than a window, and empty ones, stay as they are.
     """
     found = repeated_windows(rows.select("id", "print", "data"), least, gram)
     found = found.groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows")).alias("__found"))
     met = rows.join(found, ["id", "print"], "left")
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in met.schema if f.name not in ("data", "__found"))
-    return met.mapInArrow(_remove(least), f"{kinds}__kept binary, __spans array<struct<start:int,end:int>>")
+    return met.mapInArrow(_remove(least), f"{kinds}__kept binary, __text string, __spans array<struct<start:int,end:int>>")
 
 
 def as_bytes(documents: DataFrame) -> DataFrame:
