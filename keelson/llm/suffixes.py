@@ -99,7 +99,8 @@ def _segments(least: int, gram: int):
                 grams = hashes[0].of(sums[0], starts, starts + gram)
                 place = minimisers(grams, width)
                 # windows within one text only
-                ends = np.minimum(np.repeat(at[1:], np.diff(at))[s : s + len(place)] - s, len(part))
+                low, high = np.searchsorted(at, s, side="right") - 1, np.searchsorted(at, s + len(place))
+                ends = np.minimum(np.repeat(at[low + 1 : high + 1], np.diff(np.clip(at[low : high + 1], s, s + len(place)))) - s, len(part))
                 fits = np.arange(len(place)) + least <= ends
                 turn = (place[1:] != place[:-1]) | ~fits[1:] | ~fits[:-1]
                 # a text ends between windows that fit only where its last ones don't
