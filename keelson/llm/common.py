@@ -16,8 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parent.parent.parent
 
 
+#: Bytes of rows that reach a Python worker at a time: with texts of any length a batch stays small.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this library importable by Python workers that don't have it on their path already."""
+    """Prepare a session for Python workers: bound their batches by bytes, not only by rows, and make
+    this library importable where it isn't on their path already."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sc = spark.sparkContext
     if str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_keelson_shipped", False):
         return
@@ -47,7 +53,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose texts hold about most_bytes together; a longer text is a run of its own."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0
