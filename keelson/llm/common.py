@@ -11,7 +11,8 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent.parent
 
@@ -53,6 +54,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def apart(key: Column) -> Column:
+    """The same whole number as an expression that Spark doesn't match with the key's partitioning.
+
+    A join on it shuffles this side for itself instead of building on an aggregation's shuffle;
+    only joins between two shuffles of their own can have their skewed partitions split at run time.
+    """
+    return key.bitwiseXOR(F.lit(0).cast("long"))
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose texts hold about most_bytes together; a longer text is a run of its own."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.columnwise import repeated
-from keelson.llm.common import cut, grouped, ship, table
+from keelson.llm.common import apart, cut, grouped, ship, table
 from keelson.llm.words import mix
 
 LEAST, GRAM, BAND = 400, 128, 32
@@ -250,8 +250,8 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
     ship(rows.sparkSession)
     found = rows.where(F.octet_length("data") >= least).mapInArrow(_segments(least, gram), SEGMENTS)
     counts = found.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    counts = counts.where(F.col("n") > 1).select("minimiser", (F.col("low") != F.col("high")).alias("differ"))
-    shared = cut(found.join(counts, "minimiser"))
+    counts = counts.where(F.col("n") > 1).select(apart(F.col("minimiser")).alias("key"), (F.col("low") != F.col("high")).alias("differ"))
+    shared = cut(found.join(counts, F.col("minimiser") == F.col("key")).drop("key"))
     plain = shared.where(~F.col("differ")).select("id", "print", "start", "windows")
     mixed = shared.where("differ")
     spot = F.struct("id", "print", "start", "windows", "offset")
