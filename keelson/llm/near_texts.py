@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, grouped, ship, slices, table
-from keelson.llm.graph import components
-from keelson.llm.near_vectors import deal, forest
+from keelson.llm.graph import components, forest
+from keelson.llm.near_vectors import deal
 from keelson.llm.words import Words, mix
 
 TREES, DEEPEST = 32, 8  # labels of 16-bit values

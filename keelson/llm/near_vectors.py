@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.common import cut, grouped, ship, table
-from keelson.llm.graph import components
+from keelson.llm.graph import components, forest
 from keelson.llm.topk import usable
 
 LINKS = "vec_id long, n_links long, hub long"
@@ -73,19 +73,6 @@ def _hash(k: int, tables: int, width: float, seed: int):
     return run
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the least node that it reaches over the pairs (a, b)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        root = root[root]
-        if (was == root).all():
-            return root
-
-
 def _check(cosine: float, kind: str, step: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["slot", "bucket", "one", "two"]):
