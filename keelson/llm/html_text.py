@@ -33,6 +33,7 @@ TABLE_PARTS = _set("table thead tbody tfoot tr")
 TABLE_CHILDREN = _set("caption colgroup col thead tbody tfoot tr td th script style template")
 WALL = _set("table td th caption template object marquee")
 PRE = _set("pre xmp plaintext listing textarea")
+FORMATS = _set("a b big code em font i nobr s small strike strong tt u")
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -130,7 +131,10 @@ class Builder:
             if isinstance(child, str) and not child.strip(" \t\n\r\f"):
                 return
             i = self.find(frozenset(("table",)), frozenset())
-            self.stack[i - 1].children.insert(-1, child)
+            while self.stack[i - 1].tag in TABLE_PARTS:
+                i -= 1
+            among, outer = self.stack[i - 1].children, self.stack[i]
+            among.insert(next((k for k in range(len(among) - 1, -1, -1) if among[k] is outer), len(among)), child)
         else:
             top.children.append(child)
 
@@ -180,6 +184,9 @@ class Builder:
             self.put(Node("br"))
         elif tag in HEADINGS:
             self.pop(self.find(HEADINGS, WALL))
+        elif tag in FORMATS:  # what was opened inside stays open
+            if i := self.find(frozenset((tag,)), WALL):
+                del self.stack[i]
         else:
             self.pop(self.find(frozenset((tag,)), frozenset(("table", "template")) - {tag} if tag in TABLE_CHILDREN or tag == "table" else WALL - {tag}))
 

@@ -62,7 +62,7 @@ def _hash(k: int, tables: int, width: float, seed: int):
                 rows = flat[(offsets[at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
                 cells = np.floor((unit(rows) @ a + b) / width).astype(np.int64).reshape(len(at), tables, k)
                 with np.errstate(over="ignore"):
-                    keys = (cells * mix).sum(axis=2) ^ (d << 40)
+                    keys = (cells * mix).sum(axis=2) ^ (int(d) << 40)
                     keys = (keys ^ (keys >> 31)) * np.int64(0x7FB5D329728EA185)
                     keys ^= keys >> 29
                 yield pa.RecordBatch.from_arrays(
