@@ -243,3 +243,16 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document, on shingles of five words at a similarity of 0.8 or more."""
     return near_texts(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(1, len(t) - 4) + 1)) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 5 * c >= 4 * (x.k + y.k - c)),
+r AS (SELECT u, v FROM l UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+m AS (SELECT u, min(v) AS least FROM r GROUP BY u), d AS (SELECT u, count(*) AS links FROM l GROUP BY u)
+SELECT doc_id, least(doc_id, coalesce(m.least, doc_id)) AS class_id, coalesce(links, 0) AS n_links, doc_id = least(doc_id, coalesce(m.least, doc_id)) AS kept
+FROM documents LEFT JOIN m ON m.u = doc_id LEFT JOIN d ON d.u = doc_id"""

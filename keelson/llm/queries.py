@@ -25,6 +25,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_ngram_jaccard_join": near_texts.ORACLE_SQL,
+        "op5_suffix_array_dedup": suffixes.ORACLE_SQL,
         "op7_chat_formatting": chat.ORACLE_SQL,
         "op9_embedding_near_dedup": near_vectors.ORACLE_SQL,
         "op10_exact_top_k": topk.ORACLE_SQL,

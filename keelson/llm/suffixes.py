@@ -322,3 +322,15 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("__spans").cast("long").alias("n_spans"),
         F.sha2("__kept", 256).alias("kept_sha256"),
     )
+
+
+ORACLE_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5_number(substring(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM h WHERE length(x) >= 800)),
+b AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS turn FROM w SEMI JOIN b USING (k)),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(turn) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM r),
+k AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone, string_agg(substring(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || any_value(substring(x, 2 * z + 1)) FILTER (back = 1) AS kept FROM e JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
