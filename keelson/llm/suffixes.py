@@ -10,6 +10,9 @@ All windows of `least` bytes are compared, those of whole texts and within one t
 3. In such a group only what surrounds the core differs. With the core as one symbol, the suffixes
    of these strings are sorted column by column, and common prefixes tell which windows repeat.
 
+A core that more strings surround than one task should sort is parted: bands are halved, so the
+core grows by what must be equal, until no group is too large or each window stands alone.
+
 Strings in a group have at most 2 * BAND - 1 symbols however long the texts are. Steps 1 and
 2 only deal windows to groups in which all their equals must be.
 """
@@ -30,6 +33,7 @@ from keelson.llm.words import mix
 LEAST, GRAM, BAND = 400, 128, 32
 BLOCK = 1 << 20  # starts that are hashed at a time
 CHUNK = 16_384  # strings that are sorted together
+CROWD = 10_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
 CORE = 257  # the symbol of a core; bytes are 1 to 256
 NULL_ID = -(2**63)
 
@@ -184,7 +188,8 @@ RANGES = "id long, print long, start int, windows int"
 class Sorter:
     """Collects groups of strings around one core, sorts them together and tells the windows that repeat."""
 
-    def __init__(self):
+    def __init__(self, width: int):
+        self.width = width
         self.clear()
 
     def clear(self) -> None:
@@ -215,12 +220,12 @@ class Sorter:
         lengths = heads + tails + 1
         begin = np.cumsum(lengths) - lengths
         flat[begin + heads] = CORE
-        texts = np.zeros((n, 2 * BAND - 1), np.uint16)
+        texts = np.zeros((n, 2 * self.width - 1), np.uint16)
         row = np.repeat(np.arange(n), lengths)
         texts[row, np.arange(len(flat)) - begin[row]] = flat
-        marks = repeated(texts, lengths, np.array(self.group), BAND)
+        marks = repeated(texts, lengths, np.array(self.group), self.width)
         marks |= (np.array(self.count) > 1)[:, None]
-        marks &= np.arange(texts.shape[1]) <= np.minimum(heads, lengths - BAND)[:, None]
+        marks &= np.arange(texts.shape[1]) <= np.minimum(heads, lengths - self.width)[:, None]
         at = np.array([r[0] for r in self.rows], np.int64)
         edge = np.diff(np.pad(marks[at].astype(np.int8), ((0, 0), (1, 1))), axis=1)
         which, first = np.nonzero(edge == 1)
@@ -231,15 +236,76 @@ class Sorter:
         return out
 
 
-def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = Sorter()
-    for group in grouped(batches, ["core_a", "core_b"]):
-        if group.num_rows > 1:
-            held.add(group)
-            if held.full():
-                yield held.ranges()
-    if held.rows:
-        yield held.ranges()
+def _sort(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Sorter(width)
+        for group in grouped(batches, ["core_a", "core_b"]):
+            if group.num_rows > 1:
+                held.add(group)
+                if held.full():
+                    yield held.ranges()
+        if held.rows:
+            yield held.ranges()
+
+    return run
+
+
+def _halve(width: int):
+    """Bands of a width to bands of half of it: windows with more than half of their surroundings before the core, and the others.
+
+    A core grows by the half that all windows of the new band hold, so a crowd with one core parts by what surrounds it.
+    """
+    half = width // 2
+    mask = 2**64 - 1
+
+    def key(core: int, side: int, text: bytes) -> int:
+        import hashlib
+
+        salt = (core & mask).to_bytes(8, "little") + bytes([side])
+        return int.from_bytes(hashlib.blake2b(salt + text, digest_size=8).digest(), "little", signed=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for a, b, i, p, start, many, head, tail in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
+                if len(head) >= half:
+                    near = head[len(head) - half :]
+                    out.append((key(a, 0, near), key(b, 1, near), i, p, start, many, head[: len(head) - half], tail[: half - 1]))
+                if len(tail) >= half:
+                    near, less = tail[:half], head[max(0, len(head) - half + 1) :]
+                    out.append((key(a, 2, near), key(b, 3, near), i, p, start + len(head) - len(less), many, less, tail[half:]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), batch.schema.types, strict=True)], names=batch.schema.names)
+
+    return run
+
+
+KEYS = ["core_a", "core_b"]
+
+
+def _settle(bands: DataFrame, width: int = BAND) -> DataFrame:
+    return bands.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_sort(width), RANGES)
+
+
+def _part(crowd: DataFrame) -> DataFrame:
+    """Settle bands of crowded minimisers: cores with too many rows are halved until each window stands alone, when counting settles it."""
+    width, done = BAND, []
+    core = (F.col("core_a") == F.col("a")) & (F.col("core_b") == F.col("b"))
+    while width > 1:
+        large = crowd.groupBy(*KEYS).count().where(F.col("count") > CROWD).select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b"))
+        done.append(_settle(crowd.join(large, core, "left_anti"), width))
+        crowd = cut(crowd.join(large, core, "left_semi").mapInArrow(_halve(width), BANDS))
+        width //= 2
+        if crowd.isEmpty():
+            break
+    else:
+        counts = crowd.groupBy(*KEYS).agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where(F.col("n") > 1)
+        counts = counts.select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b"))
+        done.append(crowd.where(~F.col("many")).join(counts, core).select("id", "print", "start", F.lit(1).alias("windows")))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -257,11 +323,20 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
     spot = F.struct("id", "print", "start", "windows", "offset")
     kinds = cut(mixed.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
     whole = mixed.join(kinds.where(F.col("n") > 1).select("minimiser", "content"), ["minimiser", "content"]).select("id", "print", "start", "windows")
-    asked = kinds.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))
-    bands = rows.join(asked, ["id", "print"]).select("id", "print", "data", "spots").mapInArrow(_bands(least), BANDS)
-    keys = ["core_a", "core_b"]
-    sorted_ = bands.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_sort, RANGES)
-    return plain.unionByName(whole).unionByName(sorted_)
+
+
+    def bands(chosen: DataFrame) -> DataFrame:
+        asked = chosen.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))
+        return rows.join(asked, ["id", "print"]).select("id", "print", "data", "spots").mapInArrow(_bands(least), BANDS)
+
+    out = plain.unionByName(whole)
+    crowded = kinds.groupBy("minimiser").count().where(F.col("count") > CROWD).select(apart(F.col("minimiser")).alias("key"))
+    if crowded.isEmpty():
+        return out.unionByName(_settle(bands(kinds)))
+    crowded = cut(crowded)
+    same = F.col("minimiser") == F.col("key")
+    calm = _settle(bands(kinds.join(crowded, same, "left_anti")))
+    return out.unionByName(calm).unionByName(_part(cut(bands(kinds.join(crowded, same, "left_semi")))))
 
 
 def _remove(least: int):

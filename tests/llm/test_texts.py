@@ -60,10 +60,11 @@ def corpus(r):
     return texts + texts[:4] + ["a" * 700, "ab" * 300, "a" * 399, "é" * 250, "", None, words(r, 2000) + shared[0] + "x" + shared[0]]
 
 
-@pytest.mark.parametrize("block", [1 << 20, 700])
-def test_removed_bytes(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,crowd", [(1 << 20, 10_000), (700, 10_000), (1 << 20, 3), (1 << 20, 1)])
+def test_removed_bytes(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(suffixes, "BLOCK", block)
-    texts = corpus(random.Random(block))
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    texts = corpus(random.Random(block + crowd))
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
     assert digest(suffixes.remove_repeats(suffixes.as_bytes(docs))) == sorted(removed(texts, 400))
 
