@@ -545,3 +545,128 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("decimal(20,0)").alias("o_orderkey"), F.col("o_totalprice").cast("decimal(15,2)").alias("o_totalprice"), F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_orderstatus")
     wrong = multiset.multiset_diff(load.good(made, p), truth).agg((F.count("*") == 0).alias("equal"))
     return total.join(wrong)
+
+
+# Plans, keys and reports as tables
+
+
+def values(spark: SparkSession, kind: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, kind)
+
+
+TYPES = [
+    ("tinyint", "tinyint", {}, "smallint"), ("smallint", "smallint unsigned", {}, "integer"), ("mediumint", "mediumint", {}, "integer"), ("int", "int unsigned", {}, "bigint"), ("bigint", "bigint unsigned", {}, "numeric(20,0)"),
+    ("decimal", "decimal(65,30)", {"numeric_precision": 65, "numeric_scale": 30}, "numeric(65,30)"), ("float", "float", {}, "real"), ("varchar", "varchar(20)", {"character_length": 20}, "varchar(20)"), ("longtext", "longtext", {}, "text"),
+    ("varbinary", "varbinary(9)", {}, "bytea"), ("datetime", "datetime(3)", {"datetime_precision": 3}, "timestamp(3) without time zone"), ("timestamp", "timestamp", {}, "timestamptz(0)"), ("time", "time(6)", {"datetime_precision": 6}, "interval(6)"),
+    ("year", "year", {}, "smallint"), ("bit", "bit(12)", {}, "bit(12)"), ("json", "json", {}, "jsonb"), ("set", "set('a')", {}, "text[]"), ("point", "point", {}, "geometry"), ("odd", "odd", {}, None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"""('{k}', '{full.replace("'", "''")}', {"NULL" if t is None else repr(t)})""" for k, full, _, t in TYPES) + ") t(data_type, column_type, target_type)")
+def type_mapping(spark, sf_dir):
+    from keelson.plans.types import default_type
+
+    found = [(k, full, (default_type(SourceColumn("c", 1, k, full, **more)) or (None,))[0]) for k, full, more, _ in TYPES]
+    return values(spark, "data_type string, column_type string, target_type string", found)
+
+
+@query("SELECT * FROM (VALUES ('int4', 'integer'), ('numeric(20)', 'numeric(20,0)'), ('character varying(5)', 'varchar(5)'), ('timestamp(3) with time zone', 'timestamptz(3)'), ('int8[]', 'bigint[]'), ('varchar(0)', NULL), ('other', NULL)) t(name, normal)")
+def type_normaliser(spark, sf_dir):
+    from keelson.plans.types import normalise
+
+    names = ["int4", "numeric(20)", "character varying(5)", "timestamp(3) with time zone", "int8[]", "varchar(0)", "other"]
+    return values(spark, "name string, normal string", [(x, normalise(x)) for x in names])
+
+
+@query("SELECT * FROM (VALUES ('a', 9, 0, 'integer'), ('b', 10, 0, 'bigint'), ('c', 18, 2, 'numeric(18,2)'), ('d', 30, 2, 'text')) t(column_name, digits, places, target_type)")
+def cast_rule_matching(spark, sf_dir):
+    """The first rule whose guards hold wins; without one the default mapping applies."""
+    from keelson.plans.planner import matches
+    from keelson.plans.types import default_type
+    from keelson.sources.config import Cast, Guard
+
+    rules = [Cast("decimal", precision=Guard("le", 9), scale=Guard("eq", 0), target_type="integer"), Cast("numeric", scale=Guard("lt", 1), target_type="bigint"), Cast("dec", precision=Guard("gt", 20), target_type="text")]
+    columns = [SourceColumn(n, i, "decimal", "decimal", numeric_precision=p, numeric_scale=s) for i, (n, p, s) in enumerate([("a", 9, 0), ("b", 10, 0), ("c", 18, 2), ("d", 30, 2)])]
+    pick = lambda c: next((r.target_type for r in rules if matches(r, "t", c)), None) or default_type(c)[0]
+    return values(spark, "column_name string, digits int, places int, target_type string", [(c.name, c.numeric_precision, c.numeric_scale, pick(c)) for c in columns])
+
+
+@query("SELECT * FROM (VALUES ('absent'), ('gone')) t(name)")
+def selection_missing(spark, sf_dir):
+    """Configured names that the catalogue lacks: an anti-join."""
+    asked = values(spark, "name string", [("orders",), ("absent",), ("users",), ("gone",)])
+    return asked.join(values(spark, "name string", [(x,) for x in NAMES]), "name", "left_anti")
+
+
+@query("SELECT * FROM (VALUES ('u_line', 1, 'l_orderkey'), ('u_line', 2, 'l_linenumber')) t(index_name, position, column_name)")
+def key_parts_in_order(spark, sf_dir):
+    """Key arrays to ordered rows."""
+    rows = values(spark, "index_name string, keys array<string>", [(i.name, [p.column for p in i.parts]) for t in sample_catalog().tables for i in t.indexes if not i.primary])
+    return rows.select("index_name", F.posexplode("keys").alias("at", "column_name")).select("index_name", (F.col("at") + 1).alias("position"), "column_name")
+
+
+@query("SELECT n_name, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9900) AS has_rich FROM nation")
+def catalog_semi_anti(spark, sf_dir):
+    """EXISTS and NOT EXISTS as semi and anti joins."""
+    nation, rich = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
+    yes = nation.join(rich, "n_nationkey", "left_semi").select("n_name", F.lit(True).alias("has_rich"))
+    return yes.unionAll(nation.join(rich, "n_nationkey", "left_anti").select("n_name", F.lit(False).alias("has_rich")))
+
+
+@query("SELECT o_orderpriority, count(*) AS n_rows FROM (SELECT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderpriority FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1")
+def multiset_union(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders")
+    both = multiset.multiset_union(rows.where("o_orderkey % 2 = 0").select("o_orderpriority"), rows.where("o_orderkey % 3 = 0").select("o_orderpriority"))
+    return both.groupBy("o_orderpriority").agg(F.count("*").alias("n_rows"))
+
+
+@query("SELECT * FROM (VALUES (0, 'prepare', 'CREATE TABLE'), (1, 'prepare', 'CREATE TABLE'), (2, 'finalize', 'ALTER TABLE'), (3, 'finalize', 'CREATE UNIQUE'), (4, 'finalize', 'ALTER TABLE')) t(step, phase, statement)")
+def ddl_order(spark, sf_dir):
+    """The target's statements: tables, keys and indexes, then foreign keys."""
+    from keelson.plans.planner import build
+    from keelson.plans.target import Namespace, TargetCatalog
+    from keelson.sources.config import Config, Override, Source, Target
+
+    c = Config(1, Source("A", consistency="frozen"), Target("B", schema="app"), overrides=[Override("shop.lineitem.positive", omit=True)])
+    made = build(c, sample_catalog(), TargetCatalog(namespaces=[Namespace("app", True)]))
+    return values(spark, "step int, phase string, statement string", [(i, str(d.phase), " ".join(d.sql.split()[:2])) for i, d in enumerate(made.ddl)])
+
+
+@query("SELECT * FROM (VALUES ('all well', 0), ('rejected rows', 3), ('different content', 4), ('cancelled', 130), ('lost rows', 1)) t(outcome, exit_code)")
+def exit_codes(spark, sf_dir):
+    from keelson.plans.model import RunReport, Status, TableReport, VerificationReport, Verified
+
+    def report(status=Status.COMPLETE, verified=Verified.COMPLETE, **t):
+        rows = TableReport("t", "s", "a", "b", Status.COMPLETE, **{"rows_read": 2, "committed_rows": 2, **t})
+        return RunReport("r", "frozen", "full", VerificationReport("content", verified, 1), status, tables=[rows]).exit_code()
+
+    rows = [("all well", report()), ("rejected rows", report(committed_rows=1, rejected_rows=1)), ("different content", report(verified=Verified.DIFFERENT)), ("cancelled", report(Status.CANCELLED)), ("lost rows", report(committed_rows=1))]
+    return values(spark, "outcome string, exit_code int", rows)
+
+
+@query(r"""
+WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_totalprice END AS p FROM orders)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, count(*) FILTER (p IS NULL) AS n_bad FROM r""")
+def not_null_policy(spark, sf_dir):
+    raw = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice"))
+    out = one(table(spark, sf_dir, "orders"), raw, plan("p", "double", "double precision", Kind.FLOAT, nullable=False), ["o_orderkey"])
+    return out.agg(F.count("*").alias("n_rows"), F.count_if(F.col("problem") == "not_null").alias("n_bad"))
+
+
+@query("SELECT event_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%f') || '+00' AS value FROM events")
+def convert_timestamp_utc(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("ts"))
+    out = one(rows, "ts", plan("ts", "timestamp(6)", "timestamptz(6)", Kind.TIMESTAMP), ["event_id"])
+    return out.select("event_id", encode.field(F.col("value"), Kind.TIMESTAMP).alias("value"))
+
+
+@query("SELECT n_nationkey, lower(hex(encode(n_name))) AS value FROM nation")
+def convert_binary(spark, sf_dir):
+    out = one(table(spark, sf_dir, "nation"), F.col("n_name").cast("binary"), plan("b", "blob", "bytea", Kind.BINARY, transform="binary-to-bytea"), ["n_nationkey"])
+    return out.select("n_nationkey", F.lower(F.hex("value")).alias("value"))
+
+
+@query("SELECT doc_id, length(lang) > 1 AS is_long, CASE WHEN length(source) > 4 THEN 'length' END AS problem FROM documents")
+def text_length_check(spark, sf_dir):
+    out = one(table(spark, sf_dir, "documents"), "source", plan("s", "varchar(4)", "varchar(4)", Kind.TEXT), ["doc_id", "lang"])
+    return out.select("doc_id", (F.char_length("lang") > 1).alias("is_long"), "problem")
