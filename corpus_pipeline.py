@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from keelson.llm import mixing, near_texts, pieces, suffixes, toxicity
 from keelson.llm.common import ensure_checkpoint_dir, table
 
+#: Windows of about 50 words; a repeated passage of more is longer.
+PASSAGE_BYTES, PASSAGE_GRAM = 300, 80
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels of these documents, doesn't call toxic."""
@@ -39,7 +42,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = suffixes.as_bytes(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), suffixes.text_id(F.col("doc_id")).alias("id"), F.xxhash64(text).alias("print"), text.cast("binary").alias("data"))
-    out = suffixes.remove_repeats(rows.select("row", *key.columns))
+    out = suffixes.remove_repeats(rows.select("row", *key.columns), PASSAGE_BYTES, PASSAGE_GRAM)
     new = {"text": F.when(F.col("row.text").isNotNull(), F.col("__text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__spans") > 0, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

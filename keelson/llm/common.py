@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = Path(__file__).resolve().parent.parent.parent
 
@@ -54,6 +55,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def extended(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> T.StructType:
+    """The schema of rows without some columns and with more, given as DDL, after them."""
+    kept = [f for f in rows.schema if f.name not in drop]
+    return T.StructType([*kept, *T._parse_datatype_string(more)])
+
+
 def apart(key: Column) -> Column:
     """The same whole number as an expression that Spark doesn't match with the key's partitioning.
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ship, slices, table
+from keelson.llm.common import extended, ship, slices, table
 
 _set = lambda words: frozenset(words.split())
 #: Classes of elements.
@@ -439,8 +439,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """pages (html and any other columns) with __text in place of html. Every row gives one; rows that repeat give repeats."""
     ship(pages.sparkSession)
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.schema if f.name != "html")
-    return pages.mapInArrow(_extract, f"{kinds}__text string")
+    return pages.mapInArrow(_extract, extended(pages, "__text string", ("html",)))
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ship, slices, table
+from keelson.llm.common import extended, ship, slices, table
 from keelson.llm.toxicity import held_out
 from keelson.llm.words import Words, mix
 
@@ -180,8 +180,8 @@ def label_texts(rows: DataFrame, model: Model, penalty: float = PENALTY) -> Data
     """
     spark = rows.sparkSession
     ship(spark)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), penalty), f"{kinds}, __lang string, __share double, __spans array<struct<start:int,end:int,lang:string>>")
+    kinds = extended(rows, "__lang string, __share double, __spans array<struct<start:int,end:int,lang:string>>")
+    return rows.mapInArrow(_label(spark.sparkContext.broadcast(model), penalty), kinds)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

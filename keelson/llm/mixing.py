@@ -71,7 +71,7 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
 
     weights: whole target weights by source; REST is for all others and gets `least` if not
     named; so the sources to schedule are as many as the weights name, and one more. A source's
-    order is a hash of doc_id, then doc_id and text hash; rows that repeat each other keep one place each. __place runs from
+    order is that of a hash of the whole row, then doc_id; rows that repeat each other have a place each. __place runs from
     0 without gaps over all rows, by slot and order. An empty table gives an empty one.
     """
     weights = {REST: least} | {k: int(w) for k, w in weights.items() if int(w) > 0}
@@ -79,7 +79,8 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     source = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(REST))
     n = rows.count()
     buckets = max(1, math.ceil(n / bucket_rows))
-    mark = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(23))
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    mark = F.xxhash64(F.lit(23), *plain)
     # a bucket is a range of the hash, so buckets in their order are the source's order
     at = F.floor((F.shiftrightunsigned(mark, 1) / F.lit(2.0**63)) * buckets).cast("int")
     dealt = rows.withColumns({"__source": source, "__mark": F.shiftrightunsigned(mark, 1)}).withColumn("__bucket", F.least(at, F.lit(buckets - 1)))

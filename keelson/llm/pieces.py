@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ship, slices, table
+from keelson.llm.common import extended, ship, slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -199,8 +199,7 @@ def tokenize(rows: DataFrame, model_path: str = MODEL_PATH, check_rows: bool = F
     ship(spark)
     with open(model_path, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_encode(shared, check_rows, decode), f"{kinds}, {KINDS}")
+    return rows.mapInArrow(_encode(shared, check_rows, decode), extended(rows, KINDS))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

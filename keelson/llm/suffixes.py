@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.columnwise import repeated
-from keelson.llm.common import apart, cut, grouped, ship, table
+from keelson.llm.common import apart, cut, extended, grouped, ship, table
 from keelson.llm.words import mix
 
 LEAST, GRAM, BAND = 400, 128, 32
@@ -376,8 +376,7 @@ def remove_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     found = repeated_windows(rows.select("id", "print", "data"), least, gram)
     found = found.groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows")).alias("__found"))
     met = rows.join(found, ["id", "print"], "left")
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in met.schema if f.name not in ("data", "__found"))
-    return met.mapInArrow(_remove(least), f"{kinds}__kept binary, __text string, __spans array<struct<start:int,end:int>>")
+    return met.mapInArrow(_remove(least), extended(met, "__kept binary, __text string, __spans array<struct<start:int,end:int>>", ("data", "__found")))
 
 
 def as_bytes(documents: DataFrame) -> DataFrame:

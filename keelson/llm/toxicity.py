@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, ship, slices, table
+from keelson.llm.common import cut, extended, ship, slices, table
 from keelson.llm.words import Words
 
 STEMS = (4, 6, None)  # letters of the stems, from the widest class to the whole word
@@ -225,8 +225,7 @@ def score_texts(rows: DataFrame, model: Model) -> DataFrame:
     spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_apply(shared), f"{kinds}, __score double, __passages array<struct<start:int,end:int,expected:double>>")
+    return rows.mapInArrow(_apply(shared), extended(rows, "__score double, __passages array<struct<start:int,end:int,expected:double>>"))
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, most: int = 100_000) -> DataFrame:
