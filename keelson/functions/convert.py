@@ -300,19 +300,25 @@ BY_KIND = {
 }
 
 
+def parse(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
+    """As convert, but where there is a problem the value can be anything."""
+    if plan.transform is not None and plan.transform not in TRANSFORMS:
+        raise ValueError(f"unknown transform {plan.transform}")
+    made = BY_KIND[plan.kind](raw, plan, dtype)
+    given = raw.isNotNull()
+    problem = F.when(given, made.problem)
+    if not plan.nullable:
+        missing = ~given
+        if plan.transform in ("zero-dates-to-null", "empty-string-to-null"):
+            missing = missing | F.coalesce(made.problem.isNull() & made.changed, F.lit(False))
+        problem = F.when(missing, F.lit("not_null")).otherwise(problem)
+    return Converted(made.value, problem, given & F.coalesce(made.changed, F.lit(False)))
+
+
 def convert(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
     """The value, problem and change of a staged column of a Spark type (simple string) under its plan.
 
     Null is kept where the plan allows it and is the problem not_null elsewhere, also where a transform makes it.
     """
-    if plan.transform is not None and plan.transform not in TRANSFORMS:
-        raise ValueError(f"unknown transform {plan.transform}")
-    made = BY_KIND[plan.kind](raw, plan, dtype)
-    given = raw.isNotNull()
-    if plan.transform in ("zero-dates-to-null", "empty-string-to-null"):
-        null_now = given & made.problem.isNull() & made.changed
-    else:
-        null_now = F.lit(False)
-    missing = _none() if plan.nullable else F.when(~given | null_now, F.lit("not_null"))
-    problem = F.coalesce(missing, F.when(given, made.problem))
-    return Converted(F.when(given & problem.isNull(), made.value), problem, given & F.coalesce(made.changed, F.lit(False)))
+    made = parse(raw, plan, dtype)
+    return Converted(F.when(made.problem.isNull(), made.value), made.problem, made.changed)

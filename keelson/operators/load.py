@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keelson.functions.convert import convert
+from keelson.functions.convert import parse
 from keelson.functions.encode import field, row_text
 from keelson.plans.model import Diagnostic, Status, TablePlan, TableReport
 
 ORDINAL, PROBLEMS, CHANGED = "_row_ordinal", "_problems", "_changed"
+JIT_LIMIT = 8000  # bytes of a method's code
 
 
 class RejectLimit(RuntimeError):
@@ -37,16 +38,23 @@ def converted(rows: DataFrame, table: TablePlan, max_row_bytes: int | None = Non
 
     An _row_ordinal column is kept if there is one, else made.
     """
+    # a projection of many conversions makes one method beyond what the JVM compiles; from this size on Spark splits it
+    rows.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
     kinds = dict(rows.dtypes)
-    made = {c.target_name: convert(F.col(f"`{c.source_name}`"), c, kinds[c.source_name]) for c in table.copied}
-    found = [F.when(m.problem.isNotNull(), F.concat(F.lit(f"{n}: "), m.problem)) for n, m in made.items()]
-    if max_row_bytes is not None:
-        found.insert(0, size_problem(rows.select(*(f"`{c.source_name}`" for c in table.copied)), max_row_bytes))
-    changed = [F.when(m.changed, F.lit(n)) for n, m in made.items() if n in {c.target_name for c in table.copied if c.transform}]
+    columns = table.copied
+    made = [parse(F.col(f"`{c.source_name}`"), c, kinds[c.source_name]) for c in columns]
+    raw = F.struct(*(f"`{c.source_name}`" for c in columns)).alias("_raw")
+    ordinal = (F.col(ORDINAL) if ORDINAL in rows.columns else F.monotonically_increasing_id()).alias(ORDINAL)
+    large = [] if max_row_bytes is None else [size_problem(rows.select(*(f"`{c.source_name}`" for c in columns)), max_row_bytes).alias("_large")]
+    # each problem is used twice below, so it is a column of its own and is worked out once
+    first = rows.select(*(x.alias(f"_{part}{i}") for i, m in enumerate(made) for part, x in zip("vpc", m, strict=True)), raw, ordinal, *large)
     real = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array().cast("array<string>")
-    ordinal = F.col(ORDINAL) if ORDINAL in rows.columns else F.monotonically_increasing_id()
+    found = [F.col("_large")] if large else []
+    found += [F.concat(F.lit(f"{c.target_name}: "), F.col(f"_p{i}")) for i, c in enumerate(columns)]
+    changed = [F.when(F.col(f"_c{i}"), F.lit(c.target_name)) for i, c in enumerate(columns) if c.transform]
+    values = [F.when(F.col(f"_p{i}").isNull(), F.col(f"_v{i}")).alias(c.target_name) for i, c in enumerate(columns)]
     computed = [F.expr(c.generated_expression).alias(c.target_name) for c in table.columns if not c.copy and c.generated_expression]
-    out = rows.select(*(m.value.alias(n) for n, m in made.items()), real(found).alias(PROBLEMS), real(changed).alias(CHANGED), ordinal.alias(ORDINAL), F.struct(*(f"`{c.source_name}`" for c in table.copied)).alias("_raw"))
+    out = first.select(*values, real(found).alias(PROBLEMS), real(changed).alias(CHANGED), ORDINAL, "_raw")
     return out.select("*", *computed) if computed else out
 
 
