@@ -238,7 +238,8 @@ def test_entry_without_the_optional_package(monkeypatch):
 
     import __spark_entry__ as e
 
-    assert any(k.startswith("op") for k in e.queries())
+    everything = set(e.queries())
     real = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == "keelson.llm" else real(n, *a))
-    assert not any(k.startswith("op") for k in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    core = e.queries()
+    assert set(core) <= everything and "flagship" in core and not any(k.startswith("op") for k in core) and set(e.oracle_sql()) <= set(core)
