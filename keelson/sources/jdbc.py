@@ -90,3 +90,40 @@ def write_options(url: str, config: Config, table: TablePlan) -> dict[str, str]:
         "user": unquote(u.username or ""), "password": unquote(u.password or ""), "batchsize": str(config.migration.batch_rows),
         "dbtable": f'"{table.target_schema}"."{table.target_name}"', "isolationLevel": "READ_COMMITTED",
     }
+
+
+def catalog_queries(database: str, version: tuple[int, int, int]) -> dict[str, str]:
+    """Statements for the flat facts of one database, in a fixed order of rows; checks exist from 8.0.16 on."""
+    db = "'" + database.replace("\\", "\\\\").replace("'", "''") + "'"
+    info = "information_schema"
+    out = {
+        "tables": f"SELECT TABLE_NAME AS table_name, ENGINE AS engine, TABLE_TYPE = 'VIEW' AS is_view, TABLE_ROWS AS estimated_rows, AUTO_INCREMENT AS next_auto_increment, TABLE_COMMENT AS comment FROM {info}.TABLES WHERE TABLE_SCHEMA = {db} ORDER BY BINARY TABLE_NAME",
+        "columns": "SELECT TABLE_NAME AS table_name, ORDINAL_POSITION AS ordinal, COLUMN_NAME AS column_name, DATA_TYPE AS data_type, COLUMN_TYPE AS column_type, IS_NULLABLE = 'YES' AS nullable, COLUMN_DEFAULT AS `default`,"
+        " EXTRA AS extra, CHARACTER_SET_NAME AS charset, COLLATION_NAME AS collation, NULLIF(GENERATION_EXPRESSION, '') AS generation_expression, NUMERIC_PRECISION AS numeric_precision, NUMERIC_SCALE AS numeric_scale,"
+        f" DATETIME_PRECISION AS datetime_precision, CHARACTER_MAXIMUM_LENGTH AS character_length, COLUMN_COMMENT AS comment FROM {info}.COLUMNS WHERE TABLE_SCHEMA = {db} ORDER BY BINARY TABLE_NAME, ORDINAL_POSITION",
+        "index_parts": f"SELECT TABLE_NAME AS table_name, INDEX_NAME AS index_name, SEQ_IN_INDEX AS position, COLUMN_NAME AS column_name, SUB_PART AS prefix_length, NON_UNIQUE = 0 AS is_unique, INDEX_NAME = 'PRIMARY' AS is_primary, INDEX_TYPE AS kind FROM {info}.STATISTICS WHERE TABLE_SCHEMA = {db} ORDER BY BINARY TABLE_NAME, BINARY INDEX_NAME, SEQ_IN_INDEX",
+        "fk_parts": "SELECT k.TABLE_NAME AS table_name, k.CONSTRAINT_NAME AS constraint_name, k.ORDINAL_POSITION AS position, k.COLUMN_NAME AS column_name, k.REFERENCED_TABLE_SCHEMA AS referenced_schema, k.REFERENCED_TABLE_NAME AS referenced_table,"
+        f" k.REFERENCED_COLUMN_NAME AS referenced_column, r.UPDATE_RULE AS on_update, r.DELETE_RULE AS on_delete FROM {info}.KEY_COLUMN_USAGE k JOIN {info}.REFERENTIAL_CONSTRAINTS r ON r.CONSTRAINT_SCHEMA = k.CONSTRAINT_SCHEMA AND r.TABLE_NAME = k.TABLE_NAME"
+        f" AND r.CONSTRAINT_NAME = k.CONSTRAINT_NAME WHERE k.TABLE_SCHEMA = {db} AND k.REFERENCED_TABLE_NAME IS NOT NULL ORDER BY BINARY k.TABLE_NAME, BINARY k.CONSTRAINT_NAME, k.ORDINAL_POSITION",
+        "unsupported": f"SELECT 'trigger' AS kind, CONCAT(EVENT_OBJECT_TABLE, '.', TRIGGER_NAME) AS object, 'triggers are not migrated' AS reason FROM {info}.TRIGGERS WHERE TRIGGER_SCHEMA = {db}"
+        f" UNION ALL SELECT LOWER(ROUTINE_TYPE), ROUTINE_NAME, 'routines are not migrated' FROM {info}.ROUTINES WHERE ROUTINE_SCHEMA = {db}"
+        f" UNION ALL SELECT 'event', EVENT_NAME, 'events are not migrated' FROM {info}.EVENTS WHERE EVENT_SCHEMA = {db}"
+        f" UNION ALL SELECT DISTINCT 'partition', TABLE_NAME, 'partitioning is not kept' FROM {info}.PARTITIONS WHERE TABLE_SCHEMA = {db} AND PARTITION_NAME IS NOT NULL",
+    }
+    if version >= (8, 0, 16):
+        out["checks"] = (
+            f"SELECT t.TABLE_NAME AS table_name, c.CONSTRAINT_NAME AS constraint_name, c.CHECK_CLAUSE AS expression, t.ENFORCED = 'YES' AS enforced FROM {info}.CHECK_CONSTRAINTS c JOIN {info}.TABLE_CONSTRAINTS t"
+            f" ON t.CONSTRAINT_SCHEMA = c.CONSTRAINT_SCHEMA AND t.CONSTRAINT_NAME = c.CONSTRAINT_NAME WHERE c.CONSTRAINT_SCHEMA = {db} AND t.CONSTRAINT_TYPE = 'CHECK' ORDER BY BINARY t.TABLE_NAME, BINARY c.CONSTRAINT_NAME"
+        )
+    return out
+
+
+def read_facts(spark: SparkSession, options: dict[str, str], database: str, version: tuple[int, int, int]) -> dict[str, DataFrame]:
+    """The facts as DataFrames, as keelson.sources.catalog.from_facts takes them."""
+    return {k: spark.read.format("jdbc").options(**options).option("query", q).load() for k, q in catalog_queries(database, version).items()}
+
+
+def bounds_sql(database: str, table: str, key: str) -> str:
+    """Exact least and greatest key as text, so unsigned 64-bit values survive."""
+    q = spark_quote(key)
+    return f"SELECT CAST(MIN({q}) AS CHAR) AS low, CAST(MAX({q}) AS CHAR) AS high FROM {spark_quote(database)}.{spark_quote(table)}"

@@ -201,6 +201,17 @@ def test_catalogues_and_statements(spark):
             jdbc.check_server(*bad)
 
 
+def test_catalogue_statements():
+    old, new = jdbc.catalog_queries("sh'op", (5, 7, 44)), jdbc.catalog_queries("sh'op", (8, 0, 16))
+    assert set(new) - set(old) == {"checks"} and all("'sh''op'" in q for q in new.values())
+    import duckdb
+
+    for q in new.values():  # the statements parse; the dialect's BINARY ordering and quotes aside
+        text = q.replace("BINARY ", "").replace("`", '"')
+        assert duckdb.sql(f"SELECT json_serialize_sql($x${text}$x$)").fetchall()[0][0].count('"error":false') == 1
+    assert jdbc.bounds_sql("d", "t", "k`") == "SELECT CAST(MIN(`k```) AS CHAR) AS low, CAST(MAX(`k```) AS CHAR) AS high FROM `d`.`t`"
+
+
 def test_stream(spark, tmp_path):
     from keelson.streaming.load import load_stream
 
