@@ -308,6 +308,12 @@ def _part(crowd: DataFrame) -> DataFrame:
     return out
 
 
+def _with(rows: DataFrame, by_text: DataFrame, how: str) -> DataFrame:
+    """rows with what is known of their texts; both sides are shuffled for the join, so a text that many rows repeat can be split."""
+    known = by_text.withColumn("__key", apart(F.col("id"))).withColumnRenamed("print", "__print").drop("id")
+    return rows.join(known, (rows["id"] == known["__key"]) & (rows["print"] == known["__print"]), how).drop("__key", "__print")
+
+
 def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Of rows (id, print, data; id and print never null) the runs of windows (id, print, start, windows) that start at other places too.
 
@@ -327,7 +333,7 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
 
     def bands(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))
-        return rows.join(asked, ["id", "print"]).select("id", "print", "data", "spots").mapInArrow(_bands(least), BANDS)
+        return _with(rows, asked, "inner").select("id", "print", "data", "spots").mapInArrow(_bands(least), BANDS)
 
     out = plain.unionByName(whole)
     crowded = kinds.groupBy("minimiser").count().where(F.col("count") > CROWD).select(apart(F.col("minimiser")).alias("key"))
@@ -375,7 +381,7 @@ def remove_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     """
     found = repeated_windows(rows.select("id", "print", "data"), least, gram)
     found = found.groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows")).alias("__found"))
-    met = rows.join(found, ["id", "print"], "left")
+    met = _with(rows, found, "left")
     return met.mapInArrow(_remove(least), extended(met, "__kept binary, __text string, __spans array<struct<start:int,end:int>>", ("data", "__found")))
 
 
