@@ -70,7 +70,7 @@ def apart(key: Column) -> Column:
     return key.bitwiseXOR(F.lit(0).cast("long"))
 
 
-def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch whose texts hold about most_bytes together; a longer text is a run of its own."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist()
     start = total = 0

@@ -171,15 +171,16 @@ def _encode(shared, check_rows: bool, decode: bool):
         if differ:
             raise ValueError(f"the rebuilt tokenizer differs from sentencepiece on {differ} probe texts")
         for batch in batches:
-            for part in slices(batch, "text", 1_000_000):
+            for part in slices(batch, "text", 200_000):
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [e.ids for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+                # an encoding holds far more than its ids, so only these outlive a slice
+                ids = [np.asarray(e.ids, np.int32) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
                 counts = np.fromiter(map(len, ids), np.int64, len(ids))
-                flat = np.concatenate([np.asarray(x, np.int32) for x in ids]) if ids else np.zeros(0, np.int32)
+                flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cuts = np.concatenate([[0], np.cumsum(counts)])
                 column = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat, pa.int32()))
                 back = decoder.texts(flat, cuts) if decode else [None] * len(ids)
-                same = [a == b for a, b in zip(ids, twin.encode(texts), strict=True)] if check_rows else [None] * len(ids)
+                same = [a.tolist() == b for a, b in zip(ids, twin.encode(texts), strict=True)] if check_rows else [None] * len(ids)
                 for name, values in (("__ids", column), ("__decoded", pa.array(back, pa.string())), ("__same", pa.array(same, pa.bool_()))):
                     part = part.append_column(name, values)
                 yield part

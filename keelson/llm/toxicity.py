@@ -48,7 +48,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 once = np.unique(words.doc * size + cells)
                 side = toxic[once // size]
                 for c in (0, 1):
-                    total[c] += np.bincount(once[side == c] % size, minlength=size)
+                    np.add.at(total[c], once[side == c] % size, 1)
     some = np.flatnonzero(total.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[1, some]), pa.array(total[0, some])], names=["cell", "toxic", "clean"])
 
