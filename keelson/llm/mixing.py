@@ -66,7 +66,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
-def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 2_000, least: int = 1) -> DataFrame:
+def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 500, least: int = 1) -> DataFrame:
     """rows (doc_id, source and any other columns) with __source, __block, __slot and __place.
 
     weights: whole target weights by source; REST is for all others and gets `least` if not
@@ -77,20 +77,22 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     weights = {REST: least} | {k: int(w) for k, w in weights.items() if int(w) > 0}
     named = [w for w in weights if w != REST]
     source = F.when(F.col("source").isin(named), F.col("source")).otherwise(F.lit(REST))
-    n = rows.count()
-    buckets = max(1, math.ceil(n / bucket_rows))
     plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
     mark = F.xxhash64(F.lit(23), *plain)
-    # a bucket is a range of the hash, so buckets in their order are the source's order
-    at = F.floor((F.shiftrightunsigned(mark, 1) / F.lit(2.0**63)) * buckets).cast("int")
-    dealt = rows.withColumns({"__source": source, "__mark": F.shiftrightunsigned(mark, 1)}).withColumn("__bucket", F.least(at, F.lit(buckets - 1)))
+    marked = rows.withColumns({"__source": source, "__mark": F.shiftrightunsigned(mark, 1)})
+    counts = dict(marked.groupBy("__source").count().collect())
+    # a bucket is a range of the hash, so buckets in their order are the source's order; a large source has more
+    parts = F.lit(1)
+    for s, c in counts.items():
+        parts = F.when(F.col("__source") == s, max(1, math.ceil(c / bucket_rows))).otherwise(parts)
+    at = F.floor(F.col("__mark") / F.lit(2.0**63) * parts).cast("int")
+    dealt = marked.withColumn("__bucket", F.least(at, parts - 1))
     sizes = dealt.groupBy("__source", "__bucket").count()
     before = F.sum("count").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
     order = Window.partitionBy("__source", "__bucket").orderBy("__mark", "doc_id", F.monotonically_increasing_id())
     ranked = dealt.withColumn("__index", F.row_number().over(order) - 1).join(sizes, ["__source", "__bucket"])
     ranked = ranked.withColumn("__index", F.col("__index") + F.col("__before"))
-    counts = dict(dealt.groupBy("__source").count().collect())
     blocks = {s: -(-c // block_rows) for s, c in counts.items()}
     plan = phases({s: weights[s] for s in blocks}, blocks)
     block = F.floor(F.col("__index") / block_rows)
