@@ -39,14 +39,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere too; n_chars follows the text."""
-    key = suffixes.as_bytes(docs.select("doc_id", "text"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), suffixes.text_id(F.col("doc_id")).alias("id"), F.xxhash64(text).alias("print"), text.cast("binary").alias("data"))
-    out = suffixes.remove_repeats(rows.select("row", *key.columns), PASSAGE_BYTES, PASSAGE_GRAM)
-    new = {"text": F.when(F.col("row.text").isNotNull(), F.col("__text"))}
+    # the text travels once, as bytes; whether it was null goes with the other columns
+    others = F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__no_text"))
+    rows = docs.select(others.alias("row"), suffixes.text_id(F.col("doc_id")).alias("id"), F.xxhash64(text).alias("print"), text.cast("binary").alias("data"))
+    out = suffixes.remove_repeats(rows, PASSAGE_BYTES, PASSAGE_GRAM)
+    new = {"text": F.when(~F.col("row.__no_text"), F.col("__text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__spans") > 0, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
-    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return out.select(*(new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
