@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from keelson.llm import mixing, near_texts, pieces, suffixes, toxicity
 from keelson.llm.common import ensure_checkpoint_dir, table
 
-#: Windows of about 50 words; a repeated passage of more is longer.
-PASSAGE_BYTES, PASSAGE_GRAM = 300, 80
+#: Words of the shortest repeated passage that is cut: more than 50.
+PASSAGE_WORDS = 51
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +38,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere too; n_chars follows the text."""
+    """Documents without the passages of over 50 words that occur elsewhere too; n_chars follows the text."""
     text = F.coalesce("text", F.lit(""))
     # the text travels once, as bytes; whether it was null goes with the other columns
     others = F.struct(*(c for c in docs.columns if c != "text"), F.col("text").isNull().alias("__no_text"))
     rows = docs.select(others.alias("row"), suffixes.text_id(F.col("doc_id")).alias("id"), F.xxhash64(text).alias("print"), text.cast("binary").alias("data"))
-    out = suffixes.remove_repeats(rows, PASSAGE_BYTES, PASSAGE_GRAM)
+    out = suffixes.remove_passages(rows, PASSAGE_WORDS)
     new = {"text": F.when(~F.col("row.__no_text"), F.col("__text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__spans") > 0, F.char_length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))

@@ -35,6 +35,8 @@ BLOCK = 1 << 20  # starts that are hashed at a time
 CHUNK = 16_384  # strings that are sorted together
 CROWD = 10_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
 CORE = 257  # the symbol of a core; bytes are 1 to 256
+CODE = 6  # bytes of a word's code
+PASSAGE_GRAM = 80  # GRAM for windows of codes
 NULL_ID = -(2**63)
 
 
@@ -345,18 +347,15 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
     return out.unionByName(calm).unionByName(_part(cut(bands(kinds.join(crowded, same, "left_semi")))))
 
 
-def _remove(least: int):
+def _remove(spans_of):
+    """spans_of(data, found): the runs of bytes [start, end] to remove, in their order and apart."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
             kept, texts, spans = [], [], []
             for data, found in zip(batch.column("data").to_pylist(), batch.column("__found").to_pylist(), strict=True):
-                runs: list[list[int]] = []
-                for x in sorted((f["start"], f["start"] + f["windows"] - 1 + least) for f in found or ()):
-                    if runs and x[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], x[1])
-                    else:
-                        runs.append(list(x))
+                runs = spans_of(data, found) if found else []
                 edges = [0, *(e for r in runs for e in r), len(data)]
                 pieces = [data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)]
                 kept.append(b"".join(pieces))
@@ -368,6 +367,65 @@ def _remove(least: int):
     return run
 
 
+def _joined(runs: list[tuple[int, int]]) -> list[list[int]]:
+    """Runs [start, end] in their order; those that meet are one."""
+    out: list[list[int]] = []
+    for x in sorted(runs):
+        if out and x[0] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], x[1])
+        else:
+            out.append(list(x))
+    return out
+
+
+def _byte_spans(least: int):
+    return lambda data, found: _joined([(f["start"], f["start"] + f["windows"] - 1 + least) for f in found])
+
+
+def _word_spans(words: int):
+    def spans(data: bytes, found: list[dict]) -> list[list[int]]:
+        # of the windows over codes only those count that begin with a whole code
+        whole = [(-(-f["start"] // CODE), (f["start"] + f["windows"] - 1) // CODE) for f in found]
+        begin, end = word_edges(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        return [[int(begin[a]), int(end[b - 1])] for a, b in _joined([(a, b + words) for a, b in whole if a <= b])]
+
+    return spans
+
+
+def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of texts begin and end; data: the bytes of all texts, at: where each begins, and the end.
+
+    A word is a run of bytes without blanks (ASCII white space); in scripts written without
+    blanks (U+3000 to U+9FFF) each character is one.
+    """
+    n = len(data)
+    edge = np.zeros(n + 1, bool)
+    edge[at] = True
+    solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+    single = (data >= 0xE3) & (data <= 0xE9)  # first bytes, of three each
+    turn = edge[:n] | single
+    turn[1:] |= ~solid[:-1]
+    turn[3:] |= single[:-3]
+    begins = solid & turn
+    ends = edge[1:].copy()
+    ends[:-1] |= begins[1:] | ~solid[1:]
+    return np.flatnonzero(begins), np.flatnonzero(ends & solid) + 1
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with a code of CODE bytes, from a hash, for each word, and nothing between them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data, at = _bytes(batch.column("data"))
+        begin, end = word_edges(data, at)
+        h = _rolling(0, len(data))
+        codes = h.of(h.sums(data), begin, end).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+        cuts = (np.searchsorted(begin, at) * CODE).astype(np.int32)
+        made = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(codes.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), made], names=["id", "print", "data"])
+
+
 def text_id(doc_id: Column) -> Column:
     """doc_id, or a reserved value for null."""
     return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
@@ -379,10 +437,24 @@ def remove_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> Dat
     __kept: the bytes without those covered by a window that also starts elsewhere; __spans: the maximal
     removed runs of bytes; __text: what is left as text, without characters that lost a byte. Texts shorter than a window, and empty ones, stay as they are.
     """
-    found = repeated_windows(rows.select("id", "print", "data"), least, gram)
+    return _without(rows, repeated_windows(rows.select("id", "print", "data"), least, gram), _byte_spans(least))
+
+
+def remove_passages(rows: DataFrame, words: int) -> DataFrame:
+    """As remove_repeats, for the passages of `words` words in a row that also start elsewhere, whatever the blanks between the words.
+
+    Texts are compared as codes of their words, so a window is of so many words and not of bytes; a passage of fewer words stays,
+    however long. Two words share a code of 48 bits by chance only, and a window needs all of its codes to be equal.
+    """
+    ship(rows.sparkSession)
+    coded = rows.select("id", "print", "data").mapInArrow(_codes, "id long, print long, data binary")
+    return _without(rows, repeated_windows(coded, words * CODE, PASSAGE_GRAM), _word_spans(words))
+
+
+def _without(rows: DataFrame, found: DataFrame, spans_of) -> DataFrame:
     found = found.groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows")).alias("__found"))
     met = _with(rows, found, "left")
-    return met.mapInArrow(_remove(least), extended(met, "__kept binary, __text string, __spans array<struct<start:int,end:int>>", ("data", "__found")))
+    return met.mapInArrow(_remove(spans_of), extended(met, "__kept binary, __text string, __spans array<struct<start:int,end:int>>", ("data", "__found")))
 
 
 def as_bytes(documents: DataFrame) -> DataFrame:

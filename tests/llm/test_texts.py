@@ -75,6 +75,51 @@ def test_repeats_on_dirty_rows(spark, dirty_documents, empty_documents):
     assert suffixes.remove_repeats(suffixes.as_bytes(empty_documents)).count() == 0
 
 
+def removed_passages(texts, words):
+    """What is left of each text, and the words removed, by counting all windows of words."""
+    spots = [[m.span() for m in re.finditer(rb"[^ \t\n\r\v\f]+", (t or "").encode())] for t in texts]
+    keys = [[d[a:b] for a, b in s] for d, s in zip([(t or "").encode() for t in texts], spots, strict=True)]
+    counts = Counter(tuple(k[i : i + words]) for k in keys for i in range(len(k) - words + 1))
+    out = []
+    for t, s, k in zip(texts, spots, keys, strict=True):
+        d, gone = (t or "").encode(), [False] * len(k)
+        for i in range(len(k) - words + 1):
+            if counts[tuple(k[i : i + words])] > 1:
+                gone[i : i + words] = [True] * words
+        keep = [True] * len(d)
+        for i in range(len(k)):
+            if gone[i]:
+                a = s[i - 1][1] if i and gone[i - 1] and any(counts[tuple(k[x : x + words])] > 1 for x in range(max(0, i - words), i + 1)) else s[i][0]
+                keep[a : s[i][1]] = [False] * (s[i][1] - a)
+        out.append((bytes(b for b, x in zip(d, keep, strict=True) if x), sum(gone)))
+    return out
+
+
+@pytest.mark.parametrize("crowd", [10_000, 1])
+def test_passages_of_51_short_words_are_cut(spark, monkeypatch, crowd):
+    """Planted passages around the limit, in words of one to three letters and in long ones; 51 words may have 101 bytes."""
+    import corpus_pipeline as cp
+
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    r = random.Random(crowd)
+    made = lambda n, most: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(1, most))) for _ in range(n))
+    planted = [made(n, most) for n in (50, 51, 52, 60) for most in (1, 3, 12)]
+    texts = [words(r, r.randint(3, 40)) + r.choice([" ", "\n"]) + p + " " + words(r, r.randint(3, 40)) for p in planted for _ in range(2)]
+    texts += [planted[3].replace(" ", "\n"), words(r, 2000), "é " * 60, "", None, "a" * 700, "b " * 50]
+    docs = spark.createDataFrame([(i, t, "s0") for i, t in enumerate(texts)], DOCS + ", source string").repartition(3)
+    got = [x.text for x in cp.cut_repeats(spark, docs, "").orderBy("doc_id").collect()]
+    want = removed_passages(texts, 51)
+    assert got == [None if t is None else w.decode() for t, (w, _) in zip(texts, want, strict=True)]
+    cut = [n for _, n in want[: 2 * len(planted)]]
+    assert cut[:6] == [0] * 6 and all(n >= 51 for n in cut[6:])
+
+
+def test_words_without_blanks():
+    data = "ab 日本c\u3000d\n".encode()
+    begin, end = suffixes.word_edges(np.frombuffer(data, np.uint8), np.array([0, 2, len(data)]))
+    assert [data[a:b].decode() for a, b in zip(begin, end, strict=True)] == ["ab", "日", "本", "c", "\u3000", "d"]
+
+
 # N-gram Jaccard join
 
 
