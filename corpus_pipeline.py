@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, near_texts, pieces, suffixes, toxicity
@@ -55,11 +55,27 @@ def interleave(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.TARGET).orderBy("__place").select(*docs.columns)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """docs with __place, from 0: where interleave has put each row.
+
+    Files are numbered as the sorted partitions that they hold, but Spark reads them in an order of its own,
+    so the place is that of the file and of the row in it. Rows that don't come straight from files are mixed here.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return mixing.mix(docs, mixing.TARGET).select(*docs.columns, "__place")
+    part, piece = (F.regexp_extract("_metadata.file_name", p, 1).try_cast("long") for p in (r"^part-(\d+)", r"-c(\d+)\."))
+    order = F.struct(part.alias("part"), piece.alias("piece"), F.col("_metadata.file_path").alias("path"))
+    spots = docs.select(*docs.columns, order.alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    before = F.sum("count").over(Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    sizes = spots.groupBy("__file").count().select(F.col("__file.path").alias("__path"), F.coalesce(before, F.lit(0)).alias("__before"))
+    return spots.join(F.broadcast(sizes), F.col("__file.path") == F.col("__path")).select(*docs.columns, (F.col("__before") + F.col("__row")).alias("__place"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document, and whether they give its text back."""
-    out = pieces.tokenize(docs.select("doc_id", "source", "text"))
+    """The ids of every document in the order of the mix, its place in it, and whether the ids give its text back."""
+    out = pieces.tokenize(placed(docs).select("doc_id", "source", "text", "__place").orderBy("__place"))
     restored = (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("restored")
-    return out.select("doc_id", "source", F.size("__ids").alias("n_ids"), F.col("__ids").alias("ids"), restored)
+    return out.select("doc_id", "source", F.col("__place").alias("place"), F.size("__ids").alias("n_ids"), F.col("__ids").alias("ids"), restored)
 
 
 STAGES = [

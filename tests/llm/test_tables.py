@@ -235,6 +235,25 @@ def test_pipeline_against_its_parts(spark):
     assert len({r.doc_id for r in out}) == len(out)
 
 
+def test_the_mix_survives_many_files(spark, tmp_path):
+    """Files of very different sizes, which Spark reads largest first."""
+    import corpus_pipeline as cp
+    from keelson.llm import mixing
+
+    r = random.Random(12)
+    rows = [(i, "word " * r.choice([1, 1, 1, 3000]) + str(i), "en", f"src{r.randint(0, 20)}", 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    want = [(x.doc_id, x["__place"]) for x in mixing.mix(docs, mixing.TARGET).orderBy("__place").collect()]
+    assert [p for _, p in want] == list(range(len(rows)))
+    mixed = cp.interleave(spark, docs, "")
+    mixed.write.option("maxRecordsPerFile", 400).parquet(path := f"{tmp_path}/mixed")
+    for frame in (spark.read.parquet(path), mixed):
+        out = cp.encode(spark, frame, "")
+        assert [(x.doc_id, x.place) for x in out.select("doc_id", "place").collect()] == want
+        out.write.parquet(again := f"{tmp_path}/{frame is mixed}")
+        assert [(x.doc_id, x.place) for x in spark.read.parquet(again).orderBy("place").collect()] == want
+
+
 def test_every_operator_is_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == ["pipeline"] + [f"op{n}" for n in range(1, 11)]
