@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.columnwise import repeated
-from keelson.llm.common import apart, cut, extended, grouped, ship, table
+from keelson.llm.common import apart, cut, extended, grouped, ship, slices, table
 from keelson.llm.words import mix
 
 LEAST, GRAM, BAND = 400, 128, 32
@@ -88,12 +88,12 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 SEGMENTS = "minimiser long, content long, id long, print long, start int, windows int, offset int"
 
 
-def _segments(least: int, gram: int):
+def _segments(least: int, gram: int, code=iter):
     width = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = [Rolling(i, BLOCK + least) for i in (0, 1)]
-        for batch in batches:
+        for batch in code(batches):
             if not batch.num_rows:
                 continue
             data, at = _bytes(batch.column("data"))
@@ -127,7 +127,7 @@ def _segments(least: int, gram: int):
 BANDS = "core_a long, core_b long, id long, print long, start int, many boolean, head binary, tail binary"
 
 
-def _bands(least: int):
+def _bands(least: int, code=iter):
     """Cut the segments of each text (data, spots of start, windows, offset, many) into bands.
 
     A window of offset o (from its start to its minimiser) is in band o // BAND; what all
@@ -136,7 +136,7 @@ def _bands(least: int):
     core = least - BAND + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in code(batches):
             if not batch.num_rows:
                 continue
             spots = batch.column("spots")
@@ -316,13 +316,14 @@ def _with(rows: DataFrame, by_text: DataFrame, how: str) -> DataFrame:
     return rows.join(known, (rows["id"] == known["__key"]) & (rows["print"] == known["__print"]), how).drop("__key", "__print")
 
 
-def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM, code=iter, shortest: int | None = None) -> DataFrame:
     """Of rows (id, print, data; id and print never null) the runs of windows (id, print, start, windows) that start at other places too.
 
     id and print together name a text; rows that repeat them are texts of their own, which makes all their windows repeats.
+    code: what turns batches into those with the data to compare, in the same worker; shortest: bytes of data, before that, that have a window.
     """
     ship(rows.sparkSession)
-    found = rows.where(F.octet_length("data") >= least).mapInArrow(_segments(least, gram), SEGMENTS)
+    found = rows.where(F.octet_length("data") >= (shortest or least)).mapInArrow(_segments(least, gram, code), SEGMENTS)
     counts = found.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
     counts = counts.where(F.col("n") > 1).select(apart(F.col("minimiser")).alias("key"), (F.col("low") != F.col("high")).alias("differ"))
     shared = cut(found.join(counts, F.col("minimiser") == F.col("key")).drop("key"))
@@ -335,7 +336,7 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> D
 
     def bands(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))
-        return _with(rows, asked, "inner").select("id", "print", "data", "spots").mapInArrow(_bands(least), BANDS)
+        return _with(rows, asked, "inner").select("id", "print", "data", "spots").mapInArrow(_bands(least, code), BANDS)
 
     out = plain.unionByName(whole)
     crowded = kinds.groupBy("minimiser").count().where(F.col("count") > CROWD).select(apart(F.col("minimiser")).alias("key"))
@@ -415,15 +416,15 @@ def word_edges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with a code of CODE bytes, from a hash, for each word, and nothing between them."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        data, at = _bytes(batch.column("data"))
-        begin, end = word_edges(data, at)
-        h = _rolling(0, len(data))
-        codes = h.of(h.sums(data), begin, end).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
-        cuts = (np.searchsorted(begin, at) * CODE).astype(np.int32)
-        made = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(codes.tobytes())])
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("print"), made], names=["id", "print", "data"])
+        # a hash holds powers for every byte, so few bytes are hashed at a time
+        for part in slices(batch, "data"):
+            data, at = _bytes(part.column("data"))
+            begin, end = word_edges(data, at)
+            h = _rolling(0, len(data))
+            codes = h.of(h.sums(data), begin, end).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
+            cuts = (np.searchsorted(begin, at) * CODE).astype(np.int32)
+            made = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(codes.tobytes())])
+            yield part.set_column(part.schema.get_field_index("data"), "data", made)
 
 
 def text_id(doc_id: Column) -> Column:
@@ -446,9 +447,9 @@ def remove_passages(rows: DataFrame, words: int) -> DataFrame:
     Texts are compared as codes of their words, so a window is of so many words and not of bytes; a passage of fewer words stays,
     however long. Two words share a code of 48 bits by chance only, and a window needs all of its codes to be equal.
     """
-    ship(rows.sparkSession)
-    coded = rows.select("id", "print", "data").mapInArrow(_codes, "id long, print long, data binary")
-    return _without(rows, repeated_windows(coded, words * CODE, PASSAGE_GRAM), _word_spans(words))
+    # the shortest passage has words and blanks of a byte each
+    found = repeated_windows(rows.select("id", "print", "data"), words * CODE, PASSAGE_GRAM, _codes, 2 * words - 1)
+    return _without(rows, found, _word_spans(words))
 
 
 def _without(rows: DataFrame, found: DataFrame, spans_of) -> DataFrame:
