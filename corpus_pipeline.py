@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, near_texts, pieces, suffixes, toxicity
-from keelson.llm.common import ensure_checkpoint_dir, table
+from keelson.llm.common import cut, ensure_checkpoint_dir, table
 
 #: Words of the shortest repeated passage that is cut: more than 50.
 PASSAGE_WORDS = 51
@@ -73,7 +73,9 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every document in the order of the mix, its place in it, and whether the ids give its text back."""
-    out = pieces.tokenize(placed(docs).select("doc_id", "source", "text", "__place").orderBy("__place"))
+    # sorted before, so that the tokenizer's workers and the sort don't hold memory at the same time
+    mixed = cut(placed(docs).select("doc_id", "source", "text", "__place").orderBy("__place"))
+    out = pieces.tokenize(mixed)
     restored = (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("restored")
     return out.select("doc_id", "source", F.col("__place").alias("place"), F.size("__ids").alias("n_ids"), F.col("__ids").alias("ids"), restored)
 
