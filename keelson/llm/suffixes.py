@@ -5,6 +5,7 @@ All windows of `least` bytes are compared, those of whole texts and within one t
 1. Windows in a row that share their minimiser (the window's sub-string of least hash) form a
    segment; equal windows have equal minimisers at equal offsets. Counting minimisers
    settles most segments: one that is alone has no repeat, and if all of a minimiser's segments are equal and more than one, all repeat.
+   Segments are equal if their 128-bit BLAKE2 digests are, and so are the cores below.
 2. The distinct segments of the other minimisers are cut into bands of neighbouring windows.
    All windows of a band hold one core, so segments meet by band and core.
 3. In such a group only what surrounds the core differs. With the core as one symbol, the suffixes
@@ -19,6 +20,7 @@ Strings in a group have at most 2 * BAND - 1 symbols however long the texts are.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,13 +47,13 @@ def _draw(seed: int) -> np.ndarray:
 
 
 class Rolling:
-    """Polynomial hashes modulo 2**64 of any sub-strings of a byte array."""
+    """Polynomial hashes modulo 2**64 of any sub-strings of a byte array. They deal strings to groups; none stands for equality."""
 
-    BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9 | 1))
+    BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, which: int, size: int):
-        base = self.BASES[which]
-        self.code = _draw(which + 41)
+    def __init__(self, size: int):
+        base = self.BASE
+        self.code = _draw(41)
         with np.errstate(over="ignore"):
             power = lambda b: np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, b, np.uint64))])
             self.up, self.down = power(base), power(np.uint64(pow(int(base), -1, 2**64)))
@@ -79,20 +81,27 @@ def minimisers(grams: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(behind[:runs], ahead[width - 1 : n]) & np.uint64(0xFFFFFF)).astype(np.int64)
 
 
+def _digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit BLAKE2 digests of sub-strings of a byte array, as two whole numbers each."""
+    view, make = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    found = b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a binary column without nulls, and where each value begins; the end comes last."""
     at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-SEGMENTS = "minimiser long, content long, id long, print long, start int, windows int, offset int"
+SEGMENTS = "minimiser long, content_a long, content_b long, id long, print long, start int, windows int, offset int"
 
 
 def _segments(least: int, gram: int, code=iter):
     width = least - gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = [Rolling(i, BLOCK + least) for i in (0, 1)]
+        rolling = Rolling(BLOCK + least)
         for batch in code(batches):
             if not batch.num_rows:
                 continue
@@ -100,9 +109,8 @@ def _segments(least: int, gram: int, code=iter):
             ids, prints = batch.column("id").to_numpy(), batch.column("print").to_numpy()
             for s in range(0, len(data) - least + 1, BLOCK):
                 part = data[s : s + BLOCK + least - 1]
-                sums = [h.sums(part) for h in hashes]
                 starts = np.arange(len(part) - gram + 1)
-                grams = hashes[0].of(sums[0], starts, starts + gram)
+                grams = rolling.of(rolling.sums(part), starts, starts + gram)
                 place = minimisers(grams, width)
                 # windows within one text only
                 low, high = np.searchsorted(at, s, side="right") - 1, np.searchsorted(at, s + len(place))
@@ -115,15 +123,16 @@ def _segments(least: int, gram: int, code=iter):
                 if not len(first):
                     continue
                 doc = np.searchsorted(at, first + s, side="right") - 1
-                content = hashes[1].of(sums[1], first, last + least) + (last - first).astype(np.uint64)
+                content = _digests(part, first, last + least)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[place[first]].view(np.int64)), pa.array(content.view(np.int64)), pa.array(ids[doc]), pa.array(prints[doc]), pa.array((first + s - at[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place[first] - first).astype(np.int32))],
-                    names=["minimiser", "content", "id", "print", "start", "windows", "offset"],
+                    [pa.array(grams[place[first]].view(np.int64)), pa.array(content[:, 0]), pa.array(content[:, 1]), pa.array(ids[doc]), pa.array(prints[doc]), pa.array((first + s - at[doc]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)), pa.array((place[first] - first).astype(np.int32))],
+                    names=["minimiser", "content_a", "content_b", "id", "print", "start", "windows", "offset"],
                 )
 
     return run
 
 
+CONTENT = ["content_a", "content_b"]
 BANDS = "core_a long, core_b long, id long, print long, start int, many boolean, head binary, tail binary"
 
 
@@ -159,14 +168,10 @@ def _bands(least: int, code=iter):
                 x, y = cuts[i], cuts[i + 1]
                 if x == y:
                     continue
-                data = np.frombuffer(text, np.uint8)
-                keys = []
-                for which in (0, 1):
-                    h = _rolling(which, len(data))
-                    keys.append(h.of(h.sums(data), b[x:y], c[x:y]) ^ mix(band[x:y].astype(np.uint64) + np.uint64(1)))
-                raw = data.tobytes()
+                raw = text.to_pybytes()
+                keys = _digests(np.frombuffer(raw, np.uint8), b[x:y], c[x:y]) ^ mix(band[x:y].astype(np.uint64) + np.uint64(1)).view(np.int64)[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(k.view(np.int64)) for k in keys), pa.array(np.full(y - x, ids[i])), pa.array(np.full(y - x, prints[i])), pa.array(a[x:y].astype(np.int32)), pa.array(many[of[x:y]]),
+                    [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(np.full(y - x, ids[i])), pa.array(np.full(y - x, prints[i])), pa.array(a[x:y].astype(np.int32)), pa.array(many[of[x:y]]),
                      pa.array([raw[p:q] for p, q in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)], pa.binary()), pa.array([raw[p:q] for p, q in zip(c[x:y].tolist(), d[x:y].tolist(), strict=True)], pa.binary())],
                     names=["core_a", "core_b", "id", "print", "start", "many", "head", "tail"],
                 )
@@ -174,14 +179,14 @@ def _bands(least: int, code=iter):
     return run
 
 
-_HELD: dict[int, Rolling] = {}
+_HELD: list[Rolling] = []
 
 
-def _rolling(which: int, size: int) -> Rolling:
+def _rolling(size: int) -> Rolling:
     """A hash for arrays of at least this size, kept for the next call."""
-    if which not in _HELD or len(_HELD[which].up) <= size:
-        _HELD[which] = Rolling(which, 1 << max(17, size.bit_length()))
-    return _HELD[which]
+    if not _HELD or len(_HELD[0].up) <= size:
+        _HELD[:] = [Rolling(1 << max(17, size.bit_length()))]
+    return _HELD[0]
 
 
 RANGES = "id long, print long, start int, windows int"
@@ -261,8 +266,6 @@ def _halve(width: int):
     mask = 2**64 - 1
 
     def key(core: int, side: int, text: bytes) -> int:
-        import hashlib
-
         salt = (core & mask).to_bytes(8, "little") + bytes([side])
         return int.from_bytes(hashlib.blake2b(salt + text, digest_size=8).digest(), "little", signed=True)
 
@@ -324,15 +327,16 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM, code
     """
     ship(rows.sparkSession)
     found = rows.where(F.octet_length("data") >= (shortest or least)).mapInArrow(_segments(least, gram, code), SEGMENTS)
-    counts = found.groupBy("minimiser").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
-    counts = counts.where(F.col("n") > 1).select(apart(F.col("minimiser")).alias("key"), (F.col("low") != F.col("high")).alias("differ"))
+    least_and_most = [f(c).alias(f"{name}_{c}") for c in CONTENT for name, f in (("low", F.min), ("high", F.max))]
+    counts = found.groupBy("minimiser").agg(F.count("*").alias("n"), *least_and_most)
+    differ = F.greatest(*(F.col(f"low_{c}") != F.col(f"high_{c}") for c in CONTENT))
+    counts = counts.where(F.col("n") > 1).select(apart(F.col("minimiser")).alias("key"), differ.alias("differ"))
     shared = cut(found.join(counts, F.col("minimiser") == F.col("key")).drop("key"))
     plain = shared.where(~F.col("differ")).select("id", "print", "start", "windows")
     mixed = shared.where("differ")
     spot = F.struct("id", "print", "start", "windows", "offset")
-    kinds = cut(mixed.groupBy("minimiser", "content").agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
-    whole = mixed.join(kinds.where(F.col("n") > 1).select("minimiser", "content"), ["minimiser", "content"]).select("id", "print", "start", "windows")
-
+    kinds = cut(mixed.groupBy("minimiser", *CONTENT).agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
+    whole = mixed.join(kinds.where(F.col("n") > 1).select("minimiser", *CONTENT), ["minimiser", *CONTENT]).select("id", "print", "start", "windows")
 
     def bands(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))
@@ -420,7 +424,7 @@ def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "data"):
             data, at = _bytes(part.column("data"))
             begin, end = word_edges(data, at)
-            h = _rolling(0, len(data))
+            h = _rolling(len(data))
             codes = h.of(h.sums(data), begin, end).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CODE]
             cuts = (np.searchsorted(begin, at) * CODE).astype(np.int32)
             made = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(codes.tobytes())])
