@@ -469,7 +469,7 @@ def as_bytes(documents: DataFrame) -> DataFrame:
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of every document without byte strings of 400 that also start elsewhere."""
+    """What is left of every document without byte strings of 400 that also start elsewhere; text: the whole characters of it."""
     out = remove_repeats(as_bytes(table(spark, sf_dir, "documents")))
     removed = F.aggregate("__spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select(
@@ -478,6 +478,7 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed.alias("n_removed"),
         F.size("__spans").cast("long").alias("n_spans"),
         F.sha2("__kept", 256).alias("kept_sha256"),
+        F.col("__text").alias("text"),
     )
 
 
@@ -488,6 +489,8 @@ b AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
 g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS turn FROM w SEMI JOIN b USING (k)),
 r AS (SELECT doc_id, min(i) AS a, max(i) + 400 AS z FROM (SELECT doc_id, i, sum(turn) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
 e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was, row_number() OVER (PARTITION BY doc_id ORDER BY a DESC) AS back FROM r),
-k AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone, string_agg(substring(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || any_value(substring(x, 2 * z + 1)) FILTER (back = 1) AS kept FROM e JOIN h USING (doc_id) GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS spans, sum(z - a) AS gone, string_agg(substring(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || any_value(substring(x, 2 * z + 1)) FILTER (back = 1) AS kept,
+  string_agg(regexp_replace(regexp_replace(substring(x, 2 * was + 1, 2 * (a - was)), '^([89AB].)+', ''), '([CD].|E.([89AB].)?|F.([89AB].){0,2})$', ''), '' ORDER BY a)
+    || any_value(regexp_replace(substring(x, 2 * z + 1), '^([89AB].)+', '')) FILTER (back = 1) AS seen FROM e JOIN h USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-  sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
+  sha256(unhex(coalesce(kept, x))) AS kept_sha256, decode(unhex(coalesce(seen, x))) AS text FROM h LEFT JOIN k USING (doc_id)"""
