@@ -2,9 +2,8 @@
 
 The script of a word's letters narrows the languages that may claim it; letter trigrams,
 counted over all training documents into a table of fixed size, score it in each of
-them. Viterbi over the words with a penalty for each switch labels the spans. Where no segment of a
-text favours another language over the leading one by more than the penalty, the constant
-path is the best one and is taken at once; else the table of states is filled word by word.
+them. Viterbi over the words with a penalty for each switch labels the spans. Where two bounds show that
+no other path beats the one that stays in the leading language, that one is taken at once; else the table of states is filled word by word.
 """
 
 from __future__ import annotations
@@ -107,12 +106,21 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The state of each step on the path of the highest sum of scores less penalties for switches; ties to the lower state."""
+    """The state of each step on the path of the highest sum of scores less penalties for switches.
+
+    Ties go to the path that stays in the leading state (of the highest sum, the lowest of equals), else to lower states. A path
+    that visits the leading state has a switch for every segment in another one, so it wins nothing if no such segment
+    gains more than the penalty; one that never visits it has a switch less than segments, and gains at most the best other state at every step.
+    """
     n, k = scores.shape
-    lead = int(scores.sum(axis=0).argmax()) if n else 0
-    gain = np.cumsum(scores - scores[:, [lead]], axis=0)
-    low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k)), gain[:-1]])), 0) if n else gain
-    if not n or float((gain - low).max()) <= penalty:
+    if not n or k == 1:
+        return np.zeros(n, np.int64)
+    lead = int(scores.sum(axis=0).argmax())
+    step = scores - scores[:, [lead]]
+    others = np.delete(step, lead, axis=1)
+    gain = np.cumsum(others, axis=0)
+    low = np.minimum(np.minimum.accumulate(np.concatenate([np.zeros((1, k - 1)), gain[:-1]])), 0)
+    if float((gain - low).max()) <= penalty and float(others.max(axis=1).sum()) <= penalty:
         return np.full(n, lead)
     back = np.empty((n, k), np.int32)
     best = scores[0].copy()

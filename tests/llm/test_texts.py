@@ -256,6 +256,14 @@ def test_viterbi_is_optimal():
         p = language.viterbi(scores, 2.0)
         value = scores[np.arange(len(p)), p].sum() - 2.0 * (np.diff(p) != 0).sum()
         assert abs(value - brute_viterbi(scores, 2.0)) < 1e-9
+    # a leading state that the best path never visits
+    assert language.viterbi(np.array([[0.0, 9, -100], [0, -100, 9]]), 10.0).tolist() == [1, 2]
+    assert language.viterbi(np.array([[10, -10, 0.1], [-10, 10, 0.1]]), 12.0).tolist() == [0, 1]
+    for _ in range(400):
+        n, k = int(r.integers(2, 7)), int(r.integers(3, 5))
+        scores = np.concatenate([r.normal(0, 0.3, (n, 1)), r.choice([-3.0, 1.0, 1.9, 2.1], (n, k - 1)) + r.normal(0, 0.1, (n, k - 1))], axis=1)
+        p = language.viterbi(scores, 2.0)
+        assert abs(scores[np.arange(n), p].sum() - 2.0 * (np.diff(p) != 0).sum() - brute_viterbi(scores, 2.0)) < 1e-9
 
 
 @pytest.fixture(scope="module")
