@@ -35,10 +35,13 @@ WALL = _set("table td th caption template object marquee")
 PRE = _set("pre xmp plaintext listing textarea")
 FORMATS = _set("a b big code em font i nobr s small strike strong tt u")
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
-ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+# a quote opens a value only directly after `=`; anywhere else it is a character like others
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?)*+)>""")
+ATTRIBUTE = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+MAY_HIDE = re.compile("hidden|style", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-DEPTH = 200  # deeper elements become siblings, as in browsers
+DEPTH = 512  # deeper elements become siblings, as in browsers
+DEEPEST = 2048  # the same for elements that hide what they hold, and for parts of tables
 
 
 class Node:
@@ -176,7 +179,7 @@ class Builder:
 
     def push(self, node: Node) -> None:
         self.put(node)
-        if len(self.stack) < DEPTH:
+        if len(self.stack) < DEPTH or (len(self.stack) < DEEPEST and (node.tag in UNSEEN or node.tag in TABLE_CHILDREN or node.tag == "table" or MAY_HIDE.search(node.raw))):
             self.stack.append(node)
 
     def close(self, tag: str) -> None:
@@ -273,7 +276,7 @@ class Renderer:
         if tag in UNSEEN:
             return
         shown = None
-        if raw and ("hidden" in raw or "style" in raw.lower() or "HIDDEN" in raw):
+        if raw and MAY_HIDE.search(raw):
             style = _style(node)
             shown = style.get("display")
             if shown == "none" or (not shown and "hidden" in node.attributes()):
@@ -426,7 +429,7 @@ def render(source: str | None) -> str:
     """The visible text of a page; empty for a null or empty one."""
     if not source:
         return ""
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEEPEST))
     return "\n".join(Renderer(Builder(source).root).page.result())
 
 

@@ -121,6 +121,9 @@ PAGES = [
     ("<details><summary>s</summary>hid</details><script>var t='</p>'</script><style>p{}</style><noscript>n</noscript>", "s"),
     ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"),
     ("<a href='x>y'>l</a><a href=\"bro", "l"),
+    ("<p title=it's>hello <b>world</b></p><p>we don't > stop</p>", "hello world\n\nwe don't > stop"),
+    ("<p don't>a<i x='>' y = \">\" z=>b</i q\">c<p \"hidden>d<br/>e<p class=a\"b'c hidden>no", "abc\n\nd\ne"),
+    ("<div>" * 600 + "a<div style='display:none'>no<div>no</div></div>b" + "<table><tr><td>c<td>d</table>", "a\nb\n\nc  d"),
     ("<h1>H</h1>text<hr>more", "H\n\ntext\n\n---\n\nmore"),
     ("<select><option>a<option>b</select>", "a\nb"),
     ("<b><p>x</b>y", "xy"),
@@ -159,6 +162,74 @@ def test_every_visible_word_is_kept(spark):
         assert sorted(re.findall(r"w\d+", html_text.render(page))) == seen
 
 
+QUOTED = ["title=it's", "title='a>b'", 'title="it\'s <p>"', "data-x", "a=b\"c", 'q= "x"', "alt=''", "don't", "x = y"]
+
+
+def drawn(r, deep, hidden, seen):
+    """A well-formed element with odd attributes; the words that a reader sees are added to seen in their order."""
+    kind = r.choice(["div", "span", "section", "b", "ul", "table", "blockquote"])
+    mark, gone = r.choice([("", None)] * 5 + [("hidden", True), ("style='display:none'", True), ('style="Color:red; visibility: hidden"', 1), ("style=visibility:visible", 0)])
+    attributes = [r.choice(QUOTED) for _ in range(r.randint(0, 2))] + [mark] * bool(mark)
+    r.shuffle(attributes)
+    if kind == "table" and gone in (0, 1):
+        gone, attributes = None, [a for a in attributes if a != mark]
+    off = hidden if gone is None else (2 if gone is True or hidden == 2 else gone)
+    inner = {"ul": "li", "table": "tr"}.get(kind)
+    out = [f"<{kind}{''.join(' ' + a for a in attributes)}>"]
+    for _ in range(r.randint(1, 3)):
+        out.append(f"<{inner}>" if inner else "")
+        for _ in range(r.randint(1, 3)):
+            if kind == "table" or deep == 0 or r.random() < 0.5:
+                w = f"w{r.randint(0, 9999)}"
+                seen += [] if off else [w]
+                out.append(f"<td>{w}</td>" if kind == "table" else f" {w} ")
+            else:
+                out.append(drawn(r, deep - 1, off, seen))
+        out.append(f"</{inner}>" if inner else "")
+    return "".join(out) + f"</{kind}>"
+
+
+def test_hidden_parts_and_odd_attributes():
+    """Pages drawn together with what a reader sees of them."""
+    import re
+
+    r = random.Random(9)
+    for _ in range(400):
+        seen = []
+        page = "".join(drawn(r, 4, 0, seen) for _ in range(3))
+        assert re.findall(r"w\d+", html_text.render(page)) == seen, page
+
+
+def test_query_against_another_reader(spark):
+    """All words of all pages, in their order, as the standard library's parser reads them."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.skip = [], []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.UNSEEN - html_text.VOID or (self.skip and tag == self.skip[0]) or (tag not in html_text.VOID and ("hidden" in dict(attrs) or "display:none" in (dict(attrs).get("style") or "").replace(" ", ""))):
+                self.skip.append(tag)
+
+        def handle_endtag(self, tag):
+            if self.skip and self.skip[-1] == tag:
+                self.skip.pop()
+
+        def handle_data(self, data):
+            self.words += [] if self.skip else data.split()
+
+    sf = "/root/testdata/sf0.01"
+    plain = lambda words: "".join(words).replace("-", "")  # noqa: E731  without list marks, and wherever lines are broken
+    got = {x.page_id: x.text for x in html_text.op1_html_extraction(spark, sf).collect()}
+    for page in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        reader = Reader()
+        reader.feed(page.html or "")
+        reader.close()
+        assert sorted(plain(got[page.page_id].split())) == sorted(plain(reader.words)), page.page_id
+
+
 # Chat formatting
 
 SAID = "</s>[INST] ok [/INST]"
