@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import os
 import shutil
 import tempfile
@@ -55,6 +56,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shielded(operator):
+    """Guard an operator on (rows, ...) that carries other columns along and works with names that begin with two underscores.
+
+    Such columns of the input keep their names and values in the result; one that is named as a
+    result of the operator gives way to that.
+    """
+
+    @functools.wraps(operator)
+    def run(rows: DataFrame, *args, **kwargs) -> DataFrame:
+        held = {c: f"held{i}:{c}" for i, c in enumerate(rows.columns) if c.startswith("__")}
+        if not held:
+            return operator(rows, *args, **kwargs)
+        out = operator(rows.withColumnsRenamed(held), *args, **kwargs)
+        own = {c.lower() for c in out.columns}
+        back = {h: c for c, h in held.items() if c.lower() not in own}
+        return out.drop(*(h for h in held.values() if h not in back)).withColumnsRenamed(back)
+
+    return run
+
+
 def extended(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> T.StructType:
     """The schema of rows without some columns and with more, given as DDL, after them."""
     kept = [f for f in rows.schema if f.name not in drop]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, ship, slices, table
+from keelson.llm.common import extended, shielded, ship, slices, table
 
 _set = lambda words: frozenset(words.split())
 #: Classes of elements.
@@ -439,8 +439,9 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.drop_columns(["html"]).append_column("__text", pa.array([render(x) for x in part.column("html").to_pylist()], pa.string()))
 
 
+@shielded
 def extract(pages: DataFrame) -> DataFrame:
-    """pages (html and any other columns) with __text in place of html. Every row gives one; rows that repeat give repeats."""
+    """pages (html and any other columns) with __text in place of html. Every row gives one; rows that repeat give repeats. Other names are as common.shielded says."""
     ship(pages.sparkSession)
     return pages.mapInArrow(_extract, extended(pages, "__text string", ("html",)))
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, ship, slices, table
+from keelson.llm.common import extended, shielded, ship, slices, table
 from keelson.llm.toxicity import held_out
 from keelson.llm.words import Words, mix
 
@@ -180,11 +180,13 @@ def _label(shared, penalty: float):
     return run
 
 
+@shielded
 def label_texts(rows: DataFrame, model: Model, penalty: float = PENALTY) -> DataFrame:
     """rows (with text and any other columns) with __lang, __share and __spans.
 
     __spans: code-point ranges of the lower-case text and their languages; __lang: the language of most
     letters (ties to the first by name), `und` for a text that is null or has no letter; __share: its share of the letters.
+    Names that begin with two underscores are as common.shielded says.
     """
     spark = rows.sparkSession
     ship(spark)

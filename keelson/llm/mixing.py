@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import table
+from keelson.llm.common import shielded, table
 
 REST = "*"  # stands for all sources that the weights don't name, and for a null source
 
@@ -66,6 +66,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> list[dict]:
     return out
 
 
+@shielded
 def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_rows: int = 500, least: int = 1) -> DataFrame:
     """rows (doc_id, source and any other columns) with __source, __block, __slot and __place.
 
@@ -73,6 +74,7 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     named; so the sources to schedule are as many as the weights name, and one more. A source's
     order is that of a hash of the whole row, then doc_id; rows that repeat each other have a place each. __place runs from
     0 without gaps over all rows, by slot and order. An empty table gives an empty one.
+    Names that begin with two underscores are as common.shielded says.
     """
     weights = {REST: least} | {k: int(w) for k, w in weights.items() if int(w) > 0}
     named = [w for w in weights if w != REST]

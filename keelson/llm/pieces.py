@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import extended, ship, slices, table
+from keelson.llm.common import extended, shielded, ship, slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -188,6 +188,7 @@ def _encode(shared, check_rows: bool, decode: bool):
     return run
 
 
+@shielded
 def tokenize(rows: DataFrame, model_path: str = MODEL_PATH, check_rows: bool = False, decode: bool = True) -> DataFrame:
     """rows (with text and any other columns) with __ids, __decoded and __same.
 
@@ -195,6 +196,7 @@ def tokenize(rows: DataFrame, model_path: str = MODEL_PATH, check_rows: bool = F
     decode); it is the text itself but for what the model normalises and for the marker
     U+2581, which comes back as a blank. __same: whether sentencepiece gives the same ids (null
     unless check_rows). Fails if the rebuilt tokenizer and sentencepiece differ on the probes.
+    Names that begin with two underscores are as common.shielded says.
     """
     spark = rows.sparkSession
     ship(spark)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.columnwise import repeated
-from keelson.llm.common import apart, cut, extended, grouped, ship, slices, table
+from keelson.llm.common import apart, cut, extended, grouped, shielded, ship, slices, table
 from keelson.llm.words import mix
 
 LEAST, GRAM, BAND = 400, 128, 32
@@ -436,15 +436,18 @@ def text_id(doc_id: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.lit(NULL_ID))
 
 
+@shielded
 def remove_repeats(rows: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """rows (id, print, data and any other columns) with __kept, __text and __spans in place of data.
 
     __kept: the bytes without those covered by a window that also starts elsewhere; __spans: the maximal
     removed runs of bytes; __text: what is left as text, without characters that lost a byte. Texts shorter than a window, and empty ones, stay as they are.
+    Names that begin with two underscores are as common.shielded says.
     """
     return _without(rows, repeated_windows(rows.select("id", "print", "data"), least, gram), _byte_spans(least))
 
 
+@shielded
 def remove_passages(rows: DataFrame, words: int) -> DataFrame:
     """As remove_repeats, for the passages of `words` words in a row that also start elsewhere, whatever the blanks between the words.
 

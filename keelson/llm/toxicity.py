@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, extended, ship, slices, table
+from keelson.llm.common import cut, extended, shielded, ship, slices, table
 from keelson.llm.words import Words
 
 STEMS = (4, 6, None)  # letters of the stems, from the widest class to the whole word
@@ -216,11 +216,13 @@ def _apply(shared):
     return run
 
 
+@shielded
 def score_texts(rows: DataFrame, model: Model) -> DataFrame:
     """rows (with text and any other columns) with __score and __passages.
 
     __passages: code-point ranges of the lower-case text of every segment that chance would give less than once,
     and how often it would. Null and empty texts have no passages and the score of no evidence.
+    Names that begin with two underscores are as common.shielded says.
     """
     spark = rows.sparkSession
     ship(spark)

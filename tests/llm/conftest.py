@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-EXTRA = ["id", "print", "data", "score", "label", "block", "kept", "row", "component"]
+EXTRA = ["id", "print", "data", "score", "label", "block", "kept", "row", "component", "__text", "__score", "__ids", "__lang", "__place", "__source", "__mark", "__found", "__spans", "__key", "__print", "__no_text", "__file", "__bucket", "__index"]
 
 
 def words(r, n):

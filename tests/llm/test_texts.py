@@ -295,6 +295,21 @@ def test_language_on_dirty_rows(spark, dirty_documents, empty_documents, languag
     assert language.label_texts(empty_documents, model).count() == 0
 
 
+def test_clashing_names_keep_their_values(spark, language_model):
+    """Columns with two underscores come through, but for those named as a result."""
+    rows = spark.createDataFrame([(1, "s0", "abc", b"abc", 1, 2, 7, 8, 9, 10, 11)], "doc_id long, source string, text string, data binary, id long, print long, __mark int, __key int, __Spans int, __place int, __kept2 int")
+    for out, own in (
+        (mixing.mix(rows, {"s0": 1}), {"__place"}),
+        (language.label_texts(rows, language_model[0]), {"__spans"}),
+        (suffixes.remove_repeats(rows), {"__spans"}),
+        (pieces.tokenize(rows), set()),
+    ):
+        got = {c.lower(): v for c, v in out.first().asDict().items()}
+        assert len(got) == len(out.columns)
+        for name, value in (("__mark", 7), ("__key", 8), ("__spans", 9), ("__place", 10), ("__kept2", 11)):
+            assert (got[name] == value) == (name not in own), name
+
+
 # Mixing
 
 
