@@ -1,15 +1,19 @@
 """N-gram Jaccard join of texts by a MinHash LSH forest, with exact verification.
 
-Texts of one shingle set are a class, represented by its least doc_id. Every representative
-gets a label in each tree: the first values of its MinHash signature there. Labels are range-sorted over the cluster, so a
-tree's trie lies in order and a crowded branch spreads over partitions. Matched prefixes are shortened from the full
-label until pairs right at the threshold are found with the target recall; runs that share such a
-prefix become candidate groups. A group's shingle sets meet in blocks of bounded size, where
-every pair is checked by exact Jaccard. Units return counts and a spanning forest, never pairs.
+Texts of one shingle set are a class and a node of its own. Every node gets a label in each tree: the values of its
+MinHash signature there. Labels are range-sorted over the cluster, so a tree's trie lies in order and a crowded branch
+spreads over partitions. Nodes of a run, which share a prefix, are tied if sketches of their signatures don't rule the similarity out; a tie
+keeps the length of its prefix.
+
+Matched prefixes start as full labels. What they find is verified, which tells the similarities of the links; each link
+stands for those like it that labels of this length miss. While the links found are a lesser part of this estimate than the target recall, prefixes
+are shortened by one value and the groups that grow are verified again. In a group, shingle sets meet in
+blocks of bounded size, where every pair is checked by exact Jaccard. Units return counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -25,16 +29,28 @@ from keelson.llm.near_vectors import deal
 from keelson.llm.words import Words, mix
 
 TREES, DEEPEST = 32, 8  # labels of 16-bit values
-RECALL = 0.999
-BLOCK = 48  # representatives of a group that a block holds
+SHORTEST = 5  # values of the shortest prefix that the trie's runs are read for
+RECALL = 0.9999
+WIDE = 1 << 15  # rows of a run that are compared by sketches; those of a longer one are all tied
+BLOCK_BYTES, BLOCK = 1 << 21, 512  # shingles, and nodes, that a block of a group holds
+BINS = 64  # of similarities from the threshold to 1
 
 
-def depth(similarity: float, recall: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    """Shorten the matched prefix from the full label until a pair at the similarity is found with the recall."""
-    d = deepest
-    while d > 1 and 1 - (1 - similarity**d) ** trees < recall:
-        d -= 1
-    return d
+def found_share(similarity: float, depth: int) -> float:
+    """Chance that a pair of a similarity shares a prefix of so many values in some tree."""
+    return 1 - (1 - similarity**depth) ** TREES
+
+
+def recall_of(bins: dict[int, int], similarity: float, depth: int) -> float:
+    """Links found as a share of all that there are, if each stands for those of its similarity; bins: links by similarity."""
+    low = {b: similarity + (1 - similarity) * b / BINS for b in bins}
+    return sum(bins.values()) / max(1e-9, sum(n / found_share(low[b], depth) for b, n in bins.items())) if bins else 1.0
+
+
+def most_bits(similarity: float, bits: int = TREES * DEEPEST) -> int:
+    """Bits in which the sketches of a pair at the similarity differ at most, five standard deviations above the mean."""
+    p = (1 - similarity) / 2
+    return math.floor(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
 def shingle_sets(texts: pa.Array, n: int) -> list[np.ndarray]:
@@ -66,13 +82,18 @@ def _family(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 256) -> np.ndarray:
-    """The least value of each hash function over a set, its upper 16 bits."""
+    """The least value of each hash function over a set; its lower 16 bits, as the upper ones are alike for large sets."""
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     with np.errstate(over="ignore"):
         for s in range(0, len(x), step):
             np.minimum(low, (x[s : s + step, None] * a + b).min(axis=0), out=low)
-    return (low >> np.uint32(16)).astype(">u2")
+    return low.astype(np.uint16).astype(">u2")
+
+
+def sketch(values: np.ndarray) -> bytes:
+    """A bit of each value of a signature."""
+    return np.packbits(values >= 1 << 15).tobytes()
 
 
 def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
@@ -83,7 +104,7 @@ def fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-FEATURES = "doc_id long, text_hash long, one_print long, two_print long, n_shingles int, labels binary"
+FEATURES = "doc_id long, text_hash long, one_print long, two_print long, n_shingles int, labels binary, sketch binary"
 
 
 def _features(n: int):
@@ -92,63 +113,152 @@ def _features(n: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), n)
-                prints = [fingerprint(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array([p for p, _ in prints], pa.int64()), pa.array([p for _, p in prints], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([signature(s, a, b).tobytes() for s in sets], pa.binary())],
-                    names=["doc_id", "text_hash", "one_print", "two_print", "n_shingles", "labels"],
-                )
+                prints, values = [fingerprint(s) for s in sets], [signature(s, a, b) for s in sets]
+                made = [[p for p, _ in prints], [p for _, p in prints], [len(s) for s in sets], [v.tobytes() for v in values], [sketch(v) for v in values]]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *map(pa.array, made, kinds)], names=["doc_id", "text_hash", "one_print", "two_print", "n_shingles", "labels", "sketch"])
 
     return run
 
 
-def _match(prefix: int):
-    """Over sorted (tree, label, doc_id): tie every row to the first of its run that shares the prefix; and tell a partition's first and last rows."""
+def close(sketches: np.ndarray, bits: int, step: int = 256) -> np.ndarray:
+    """For each of some sketches (rows of 64-bit words) the first one that it reaches over pairs which differ in so many bits at most."""
+    n = len(sketches)
+    root, left = np.full(n, -1), np.arange(n)
+    while len(left):
+        root[left[0]], todo, left = left[0], left[:1], left[1:]
+        while len(todo) and len(left):
+            now, todo = todo[:step], todo[step:]
+            met = (np.bitwise_count(sketches[now][:, None] ^ sketches[left]).sum(axis=2, dtype=np.int16) <= bits).any(axis=0)
+            root[left[met]] = root[now[0]]
+            todo, left = np.concatenate([todo, left[met]]), left[~met]
+    return root
+
+
+class Run:
+    """Ties of the nodes of one run by the prefixes that they share, from full labels to the shortest."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.u: list[np.ndarray] = []
+        self.v: list[np.ndarray] = []
+        self.depth: list[np.ndarray] = []
+
+    def add(self, nodes: np.ndarray, common: np.ndarray, sketches: np.ndarray | None) -> None:
+        """common: values that a row's label shares with the one before; without sketches all nodes of a prefix are tied."""
+        root = np.arange(len(nodes))
+        for depth in range(DEEPEST, SHORTEST - 1, -1):
+            if not (common[1:] == depth).any():
+                continue
+            cuts = np.flatnonzero(np.concatenate([[True], common[1:] < depth, [True]]))
+            now = np.empty_like(root)
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                tied = sketches is None or b - a == 1 or b - a > WIDE
+                now[a:b] = a + (0 if tied else close(sketches[a:b], self.bits))
+            each = np.arange(len(nodes))  # what was tied before stays so
+            now = forest(len(nodes), np.concatenate([each, each]), np.concatenate([now, root]))
+            new = np.flatnonzero((now != root) & (root == each))
+            self.u.append(nodes[root[new]])
+            self.v.append(nodes[now[new]])
+            self.depth.append(np.full(len(new), depth, np.int32))
+            root = now
+
+    def batch(self, ends: list[tuple[bytes, int]], part: int) -> pa.RecordBatch:
+        u, v, depth = (np.concatenate([*x, np.zeros(0, k)]) for x, k in ((self.u, np.int64), (self.v, np.int64), (self.depth, np.int32)))
+        self.u, self.v, self.depth = [], [], []
+        n, k = len(u), len(ends)
+        own = np.array([d for _, d in ends], np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([u, own])), pa.array(np.concatenate([v, own])), pa.array(np.concatenate([depth, np.zeros(k, np.int32)])), pa.array([None] * n + [x for x, _ in ends], pa.binary()), pa.array([None] * n + [part] * k, pa.int32())],
+            names=["u", "v", "depth", "edge", "part"],
+        )
+
+
+def shared_values(one: bytes, two: bytes) -> int:
+    """Values that two labels share from their beginning, by tree and label; 0 for different trees."""
+    if one[:1] != two[:1]:
+        return 0
+    return next((i for i in range(DEEPEST) if one[1 + 2 * i : 3 + 2 * i] != two[1 + 2 * i : 3 + 2 * i]), DEEPEST)
+
+
+def _match(bits: int):
+    """Over sorted (tree, label and sketch, node): tie the nodes of every run; and tell a partition's first and last rows.
+
+    A run that touches an end of the partition may go on beyond, so all its nodes are tied.
+    """
+    width = 2 * DEEPEST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hub = first = last = None
-        us: list[int] = []
-        vs: list[int] = []
+        ties, first, last = Run(bits), None, None
+        held: list[tuple] = []  # of the run that may go on: nodes, values in common, sketches
+        outer = True  # the run held, or the next one, is the partition's first
+
+        def flush(touches: bool) -> None:
+            if sum(len(x[0]) for x in held) > 1:
+                nodes, common, sketches = (np.concatenate(x) for x in zip(*held, strict=True))
+                ties.add(nodes, common, None if touches else sketches)
+            held.clear()
+
         for batch in batches:
-            for tree, label, doc in zip(batch.column("tree").to_pylist(), batch.column("label").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
-                now = bytes([tree]) + label[:prefix]
-                if now != key:
-                    key, hub = now, doc
-                else:
-                    us.append(doc)
-                    vs.append(hub)
-                first, last = first or (now, doc), (now, doc)
-            if len(us) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.nulls(len(us), pa.binary()), pa.nulls(len(us), pa.int32())], names=["u", "v", "edge", "part"])
-                us, vs = [], []
-        ends = [first, last] if first else []
-        at = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(us + [d for _, d in ends], pa.int64()), pa.array(vs + [d for _, d in ends], pa.int64()), pa.array([None] * len(us) + [k for k, _ in ends], pa.binary()), pa.array([None] * len(us) + [at] * len(ends), pa.int32())],
-            names=["u", "v", "edge", "part"],
-        )
+            n = batch.num_rows
+            if not n:
+                continue
+            label = batch.column("label")
+            begin = np.frombuffer(label.buffers()[1], np.int32)[label.offset]
+            size = width + TREES * DEEPEST // 8
+            data = np.frombuffer(label.buffers()[2], np.uint8)[begin : begin + n * size].reshape(n, size)
+            keys = np.concatenate([batch.column("tree").to_numpy()[:, None].astype(np.uint16), np.ascontiguousarray(data[:, :width]).view(np.uint16)], axis=1)
+            sketches, nodes = np.ascontiguousarray(data[:, width:]).view(np.uint64), batch.column("node").to_numpy()
+            ends = [(bytes([int(keys[i, 0])]) + data[i, :width].tobytes(), int(nodes[i])) for i in (0, n - 1)]
+            differ = np.concatenate([keys[1:] != keys[:-1], np.ones((n - 1, 1), bool)], axis=1).argmax(axis=1)
+            common = np.concatenate([[shared_values(last[0], ends[0][0]) if last else 0], np.maximum(differ - 1, 0)])
+            first, last = first or ends[0], ends[1]
+            part = lambda a, b: (nodes[a:b], common[a:b], sketches[a:b])  # noqa: B023, E731
+            starts = np.flatnonzero(common < SHORTEST)
+            if not len(starts) or starts[0]:
+                held.append(part(0, starts[0] if len(starts) else n))
+            if not len(starts):
+                continue
+            if held:
+                flush(outer)
+                outer = False
+            stops = np.append(starts[1:], n)
+            held.append(part(starts[0], stops[0]))
+            if len(starts) > 1:
+                flush(outer)
+                outer = False
+                inner = np.flatnonzero(stops[1:-1] - starts[1:-1] > 1) + 1  # a run of one row has no ties
+                for a, b in zip(starts[inner], stops[inner], strict=True):
+                    ties.add(*part(a, b))
+                held.append(part(starts[-1], n))
+            if sum(map(len, ties.u)) > 50_000:
+                yield ties.batch([], 0)
+        flush(True)
+        yield ties.batch([first, last] if first else [], TaskContext.get().partitionId())
 
     return run
 
 
-def candidates(reps: DataFrame, prefix_values: int) -> DataFrame:
-    """(node, component) of representatives (doc_id, labels) whose labels share a prefix in some tree."""
-    spark = reps.sparkSession
-    placed = reps.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels")
-    placed = placed.select("doc_id", F.col("tree").cast("byte").alias("tree"), F.substring("labels", F.col("tree") * 2 * DEEPEST + 1, F.lit(2 * DEEPEST)).alias("label"))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() * TREES // 2_000_000)
-    trie = placed.repartitionByRange(parts, "tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
-    found = cut(trie.mapInArrow(_match(2 * prefix_values), "u long, v long, edge binary, part int"))
+def ties(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, depth) over nodes (node, labels, sketch): ties of nodes whose labels share prefixes of that many values in some tree."""
+    spark = nodes.sparkSession
+    placed = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "labels", "sketch")
+    label = F.concat(F.substring("labels", F.col("tree") * 2 * DEEPEST + 1, F.lit(2 * DEEPEST)), F.col("sketch"))
+    placed = placed.select("node", F.col("tree").cast("byte").alias("tree"), label.alias("label"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * TREES // 2_000_000)
+    trie = placed.repartitionByRange(parts, "tree", "label", "node").sortWithinPartitions("tree", "label", "node")
+    found = cut(trie.mapInArrow(_match(most_bits(similarity)), "u long, v long, depth int, edge binary, part int"))
     # a run that goes on in the next partition: two rows of each partition, so no more than the partitions
-    ends = found.where(F.col("edge").isNotNull()).select("part", "edge", "u").collect()
     first: dict[int, tuple] = {}
     last: dict[int, tuple] = {}
-    for part, key, doc in ends:
-        first.setdefault(part, (bytes(key), doc))
-        last[part] = (bytes(key), doc)
+    for part, key, node in found.where(F.col("edge").isNotNull()).select("part", "edge", "u").collect():
+        first.setdefault(part, (bytes(key), node))
+        last[part] = (bytes(key), node)
     order = sorted(first)
-    over = [(first[b][1], last[a][1]) for a, b in zip(order, order[1:], strict=False) if first[b][0] == last[a][0]]
-    edges = found.where(F.col("edge").isNull()).select("u", "v")
-    return components(edges.unionByName(spark.createDataFrame(over, "u long, v long")) if over else edges)
+    over = [(first[b][1], last[a][1], shared_values(first[b][0], last[a][0])) for a, b in zip(order, order[1:], strict=False)]
+    over = [x for x in over if x[2] >= SHORTEST]
+    edges = found.where(F.col("edge").isNull()).select("u", "v", "depth")
+    return edges.unionByName(spark.createDataFrame(over, "u long, v long, depth int")) if over else edges
 
 
 def _sets(n: int):
@@ -179,13 +289,14 @@ def overlaps(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
 
 
 def _verify(ratio: Fraction):
+    """Of groups of blocks: the links of each node and a node that it reaches; and, with a bin, the pairs by similarity, told of one of their nodes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["component", "one", "two"]):
             one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-            ids, at = np.unique(group.column("doc_id").to_numpy(), return_index=True)
+            ids = group.column("node").to_numpy()
             if len(ids) < 2:
                 continue
-            group = group.take(pa.array(at))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             copies, block = group.column("copies").to_numpy(), group.column("block").to_numpy()
             size = np.array([len(s) for s in sets])
@@ -195,21 +306,55 @@ def _verify(ratio: Fraction):
             np.fill_diagonal(near, False)
             count = near @ copies
             a, b = np.nonzero(np.triu(near))
+            if not len(a):
+                continue
             hub, some = forest(len(ids), a, b), count > 0
-            if some.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some].astype(np.int64)), pa.array(ids[hub[some]])], names=["doc_id", "n", "hub"])
+            alike = shared[a, b] / (size[a] + size[b] - shared[a, b])
+            low = float(ratio)
+            bins = np.bincount(np.clip(((alike - low) / max(1e-9, 1 - low) * BINS).astype(np.int64), 0, BINS - 1))
+            full = np.flatnonzero(bins)
+            columns = [np.concatenate([ids[some], np.full(len(full), ids[a[0]])]), np.concatenate([count[some].astype(np.int64), bins[full]]), np.concatenate([ids[hub[some]], np.full(len(full), ids[a[0]])])]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array([None] * int(some.sum()) + full.tolist(), pa.int32())], names=["node", "n", "hub", "bin"])
 
     return run
 
 
+LINKS = "node long, n long, hub long, bin int"
+
+
+def _links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n: int, similarity: str) -> DataFrame:
+    """Verified links within groups (node, component) of classes; rows: (doc_id, text_hash, text)."""
+    named = classes.select("node", "rep", "copies", "n_shingles").join(groups, "node")
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK)).cast("int")
+    sizes = groups.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("count"), blocks.alias("blocks")).where(F.col("count") > 1).drop("count")
+    asked = cut(named.join(sizes, "component").select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("hash"), "node", "component", "blocks", "copies"))
+    # the texts of candidates only, by the shuffle of one join; rows that repeat a text are one
+    met = rows.where(F.col("doc_id").isNotNull()).join(asked.withColumnRenamed("doc_id", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("hash")))
+    sets = met.select("node", "component", "blocks", "copies", "text").mapInArrow(_sets(n), "node long, component long, blocks int, copies long, shingles binary")
+    keys = ["component", "one", "two"]
+    units = deal(sets, "node").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_once, "node long, component long, copies long, shingles binary, block int, one int, two int")
+    return units.mapInArrow(_verify(Fraction(similarity)), LINKS)
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Without rows that repeat the node before them in the same unit."""
+    last = None
+    for batch in batches:
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("component", "one", "two", "node")), strict=True))
+        keep = [i for i, row in enumerate(rows) if row != (rows[i - 1] if i else last)]
+        last = rows[-1] if rows else last
+        yield batch if len(keep) == len(rows) else batch.take(pa.array(keep, pa.int64()))
+
+
 def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall: float = RECALL) -> DataFrame:
     """For each row of documents (doc_id, text): doc_id, text_hash, class_id, n_links, copies, kept.
 
     Words are lower-case runs of letters and digits; a text of fewer than n words has one shingle of all of
-    them; a text without words (null and empty ones too) is a class of its own and has no links. n_links counts the other documents at a
+    them; a text without words (null and empty ones too) is a class of its own and has no links. n_links counts the other rows at a
     Jaccard similarity of at least the threshold, copies included. class_id is the least
-    doc_id reachable by links, itself included. Rows with a null doc_id take no part. kept: doc_id is class_id, or
-    the row takes no part; rows that repeat a doc_id and text are documents of their own, and alike.
+    doc_id reachable by links, itself included. Rows with a null doc_id take no part. kept: the row is the first of its class by doc_id and
+    then text_hash, or takes no part; rows that repeat a doc_id with another text are documents of their own, and rows
+    that repeat both are alike, so all of them are kept or none. recall: the share of all links to find, as estimated from those found.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -218,26 +363,41 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
     features = cut(rows.mapInArrow(_features(n), FEATURES))
     prints = ["one_print", "two_print", "n_shingles"]
     full = features.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = cut(full.groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels")))
-    # a representative's own print comes along, as other rows may have its doc_id
-    groups = candidates(classes.select(F.col("rep").alias("doc_id"), "labels"), depth(float(similarity), recall))
-    named = classes.select(F.col("rep").alias("node"), "copies", *prints).join(groups, "node")
-    sizes = named.groupBy("component").count().where(F.col("count") > 1).select("component", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    asked = cut(named.join(sizes, "component").select(F.col("node").alias("doc_id"), "component", "blocks", "copies"))
-    # the texts of candidates only, by the shuffle of one join
-    met = rows.where(F.col("doc_id").isNotNull()).select("doc_id", "text").join(asked, "doc_id")
-    sets = met.mapInArrow(_sets(n), "doc_id long, component long, blocks int, copies long, shingles binary")
-    keys = ["component", "one", "two"]
-    units = deal(sets, "doc_id").repartition(*keys).sortWithinPartitions(*keys)
-    links = cut(units.mapInArrow(_verify(Fraction(similarity)), "doc_id long, n long, hub long"))
-    linked = links.groupBy("doc_id").agg(F.sum("n").alias("n"))
-    joined = components(links.select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
-    verdict = classes.select(*prints, F.col("rep").alias("doc_id"), "copies").join(linked, "doc_id", "left").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    verdict = verdict.select(*prints, F.coalesce("component", "doc_id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
-    out = full.select("doc_id", "text_hash", *prints).join(verdict, prints).select("doc_id", "text_hash", "class_id", "n_links", "copies")
+    first = F.min(F.struct("doc_id", "text_hash")).alias("rep")
+    # numbers of a written table's rows are the same whenever it is read
+    classes = cut(full.groupBy(*prints).agg(first, F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))).withColumn("node", F.monotonically_increasing_id())
+    edges = ties(classes.select("node", "labels", "sketch"), float(similarity))
+    links = groups = None
+    for depth in range(DEEPEST, SHORTEST - 1, -1):
+        now = cut(components(edges.where(F.col("depth") >= depth)))
+        if links is None:
+            links = cut(_links(rows, now, classes, n, similarity))
+        else:
+            # groups that nothing joined are verified already
+            was = now.join(groups.select("node", F.col("component").alias("was")), "node", "left").withColumn("was", F.coalesce("was", "node"))
+            grown = was.groupBy("component").agg(F.min("was").alias("low"), F.max("was").alias("high")).where(F.col("low") != F.col("high")).select("component")
+            changed = cut(now.join(grown, "component", "left_semi"))
+            if not changed.isEmpty():
+                rest = links.join(changed.select("node"), "node", "left_anti").select("node", "n", "hub", "bin")
+                links = cut(rest.unionByName(_links(rows, changed, classes, n, similarity)))
+        groups = now
+        bins = dict(links.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.sum("n")).collect())  # BINS rows at most
+        if recall_of(bins, float(similarity), depth) >= recall:
+            break
+    links = links.where(F.col("bin").isNull())
+    linked = links.groupBy("node").agg(F.sum("n").alias("n"))
+    joined = components(links.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    # a class's least row is the first of all rows that it reaches
+    met = classes.select("node", "rep", "copies", *prints).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = met.join(joined.select("node"), "node", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
+    verdict = met.join(linked, "node", "left").join(least, "component", "left")
+    verdict = verdict.select(*prints, F.coalesce("least", "rep").alias("first"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    out = full.select("doc_id", "text_hash", *prints).join(verdict, prints)
+    kept = F.struct("doc_id", "text_hash") == F.col("first")
+    out = out.select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "n_links", "copies", kept.alias("kept"))
     alone = features.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
-    alone = alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    alone = alone.select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("copies"), F.lit(True).alias("kept"))
+    return out.unionByName(alone)
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,9 +140,10 @@ def brute_links(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [48, 5])
-def test_links_of_near_texts(spark, monkeypatch, block):
+@pytest.mark.parametrize("block,wide", [(512, 1 << 15), (5, 2)])
+def test_links_of_near_texts(spark, monkeypatch, block, wide):
     monkeypatch.setattr(near_texts, "BLOCK", block)
+    monkeypatch.setattr(near_texts, "WIDE", wide)
     r = random.Random(3)
     rows = []
     for g in range(12):
@@ -158,9 +159,64 @@ def test_links_of_near_texts(spark, monkeypatch, block):
     assert got == brute_links(rows)
 
 
-def test_depth_meets_the_recall():
-    d = near_texts.depth(0.8, 0.999)
-    assert 1 - (1 - 0.8**d) ** near_texts.TREES >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** near_texts.TREES
+def test_recall_is_estimated_from_links():
+    share = near_texts.found_share
+    assert near_texts.recall_of({}, 0.8, 8) == 1
+    assert abs(near_texts.recall_of({0: 50}, 0.8, 8) - share(0.8, 8)) < 1e-12
+    assert near_texts.recall_of({0: 50}, 0.8, 8) < near_texts.recall_of({0: 50, 40: 50}, 0.8, 8) < near_texts.recall_of({0: 50, 40: 50}, 0.8, 7)
+
+
+def chains(sketches, bits):
+    n, root = len(sketches), list(range(len(sketches)))
+    for _ in range(n):
+        for a, b in itertools.combinations(range(n), 2):
+            if sum(int(x).bit_count() for x in sketches[a] ^ sketches[b]) <= bits:
+                root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_sketches_that_chain_are_tied():
+    r = np.random.default_rng(4)
+    for n in (1, 2, 30, 60):
+        hubs = r.integers(0, 2**63, (5, 4), dtype=np.int64).view(np.uint64)
+        some = hubs[r.integers(0, 5, n)] ^ (np.uint64(1) << r.integers(0, 64, (n, 4), dtype=np.int64).view(np.uint64))
+        assert near_texts.close(some, 6, step=3).tolist() == chains(some, 6)
+
+
+def test_runs_are_tied_by_every_prefix(spark, monkeypatch):
+    """Ties of a trie over batches and partitions of any size connect what shares a prefix, and nothing else; alike sketches."""
+    r = random.Random(6)
+    rows = [(i, bytes(r.choice([0, 0, 0, 1]) for _ in range(2 * near_texts.DEEPEST * near_texts.TREES)), bytes(32)) for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for parts in (1, 5):
+            found = near_texts.ties(spark.createDataFrame(rows, "node long, labels binary, sketch binary").repartition(parts), 0.8).collect()
+            for depth in (8, 6, 5):
+                size = 2 * near_texts.DEEPEST
+                spots = [[row[1][t * size : t * size + 2 * depth] for t in range(near_texts.TREES)] for row in rows]
+                pairs = [(a, b) for a, b in itertools.combinations(range(200), 2) if any(x == y for x, y in zip(spots[a], spots[b], strict=True))]
+                want = near_texts.forest(200, *np.array(pairs or [(0, 0)]).T)
+                got = near_texts.forest(200, *np.array([(x.u, x.v) for x in found if x.depth >= depth] or [(0, 0)]).T)
+                assert (want == got).all()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_prefixes_shorten_until_the_recall(spark, monkeypatch):
+    """Pairs right at the threshold: full labels miss some, the estimate says so, and shorter prefixes find them."""
+    r = random.Random(5)
+    rows = []
+    for i in range(600):
+        base = words(r, 49).split()  # 45 shingles; one word at the end less or another makes 9 of 10 or 44 of 46
+        cut = r.choice([5, 9])
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[: 49 - cut] if cut == 9 else [*base[:44], *words(r, 5).split()]))]
+    depths = []
+    was = near_texts.recall_of
+    monkeypatch.setattr(near_texts, "recall_of", lambda bins, s, d: depths.append((d, was(bins, s, d))) or depths[-1][1])
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = {x.doc_id: (x.class_id, x.n_links) for x in near_texts.near_texts(df).collect()}
+    assert [d for d, _ in depths][:2] == [8, 7] and depths[-1][1] >= near_texts.RECALL > depths[0][1]
+    assert got == brute_links(rows)
 
 
 def test_near_texts_on_dirty_rows(dirty_documents, empty_documents):
@@ -171,6 +227,7 @@ def test_near_texts_on_dirty_rows(dirty_documents, empty_documents):
         by.setdefault(r.doc_id, []).append(r)
     assert all(r.n_links == 0 and r.class_id is None and r.kept for r in by[None])
     assert by[1][0].class_id == 0 and by[1][0].n_links >= 2 and not by[1][0].kept
+    assert sorted((r.n_links, r.kept) for r in by[0]) == [(0, True), (3, True), (3, True)]  # a repeated row, and its id with another text
     assert by[4][0].n_links == 0 and by[4][0].class_id == 4
     assert near_texts.near_texts(empty_documents).count() == 0
 
