@@ -1,15 +1,19 @@
 """Near-duplicate vectors by Euclidean p-stable hashing, with exact cosine checks.
 
-Normalised vectors are hashed by quantised Gaussian projections into several tables. Each
-bucket is checked whole by cosine in double precision; a pair that meets in several tables counts in the first
-one only. A bucket beyond a bound is dealt to blocks, and every pair of its blocks is a unit
+Rows of one vector are a class, which counts its rows and is compared once. Normalised vectors are hashed by quantised
+Gaussian projections into several tables. Each bucket is checked whole by cosine in double precision; a pair that meets in
+several tables counts in the first one only. A bucket beyond a bound is dealt to blocks, and every pair of its blocks is a unit
 of its own. Units return counts and a spanning forest, never pairs.
+
+Projections are whole numbers and their sums are exact in doubles, so a vector's hashes are the same wherever they are worked out: a row carries
+none of them, and only the ends of links get those of the tables before.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache, partial
 from statistics import NormalDist
 
 import numpy as np
@@ -17,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import cut, grouped, ship, table
+from keelson.llm.common import apart, cut, grouped, ship, table
 from keelson.llm.graph import components, forest
 from keelson.llm.topk import usable
 
-LINKS = "vec_id long, n_links long, hub long"
+LINKS = "node long, n long, hub long"
+SCALE = 1 << 20  # of components and of draws as whole numbers
 
 
 def collision(distance: float, width: float) -> float:
@@ -46,56 +51,87 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, length, out=np.zeros_like(rows), where=length > 0)
 
 
-def _hash(k: int, tables: int, width: float, seed: int):
+class Family:
+    """Hashes of vectors of one length: `tables` of k quantised projections each."""
+
+    def __init__(self, d: int, k: int, tables: int, width: float, seed: int):
+        r = np.random.default_rng([seed, d])
+        self.d, self.k = d, k
+        self.draws = np.rint(r.standard_normal((d, k * tables)) * SCALE)
+        self.shift = np.rint(r.uniform(0, width, k * tables) * SCALE * SCALE)
+        self.width = np.rint(width * SCALE * SCALE)
+        self.mix = r.integers(1, 2**62, k, dtype=np.int64) | 1
+
+    def keys(self, rows: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Buckets of rows of length 1 in the tables from first to last; sums of up to 2**12 products stay below 2**53."""
+        at = slice(first * self.k, last * self.k)
+        sums = np.rint(rows * SCALE) @ self.draws[:, at] + self.shift[at]
+        cells = np.floor(sums / self.width).astype(np.int64).reshape(len(rows), last - first, self.k)
+        with np.errstate(over="ignore"):
+            keys = (cells * self.mix).sum(axis=2) ^ (self.d << 40)
+            keys = (keys ^ (keys >> 31)) * np.int64(0x7FB5D329728EA185)
+        return keys ^ (keys >> 29)
+
+
+@lru_cache(maxsize=8)
+def _family(d: int, k: int, tables: int, width: float, seed: int) -> Family:
+    return Family(d, k, tables, width, seed)
+
+
+def _place(family, kind: str, tables: int):
+    """A row for each class and table, with the bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drawn: dict[int, tuple] = {}
         for batch in batches:
             vectors = batch.column("vector")
             offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
             sizes = np.diff(offsets)
             for d in np.unique(sizes):
-                if d not in drawn:
-                    r = np.random.default_rng([seed, int(d)])
-                    drawn[d] = (r.standard_normal((d, k * tables)), r.uniform(0, width, k * tables), r.integers(1, 2**62, k, dtype=np.int64) | 1)
-                a, b, mix = drawn[d]
                 at = np.flatnonzero(sizes == d)
-                rows = flat[(offsets[at][:, None] + np.arange(d)).ravel()].reshape(-1, d)
-                cells = np.floor((unit(rows) @ a + b) / width).astype(np.int64).reshape(len(at), tables, k)
-                with np.errstate(over="ignore"):
-                    keys = (cells * mix).sum(axis=2) ^ (int(d) << 40)
-                    keys = (keys ^ (keys >> 31)) * np.int64(0x7FB5D329728EA185)
-                    keys ^= keys >> 29
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("vec_id").take(pa.array(at)), pa.array([x.tobytes() for x in keys], pa.binary()), pa.array([x.tobytes() for x in rows], pa.binary())],
-                    names=["vec_id", "buckets", "raw"],
-                )
+                rows = np.ascontiguousarray(flat[(offsets[at][:, None] + np.arange(d)).ravel()].reshape(-1, d), kind)
+                keys = family(int(d)).keys(unit(rows), 0, tables)
+                raw = pa.array([x.tobytes() for x in rows], pa.binary())
+                nodes, copies = (batch.column(c).take(pa.array(at)) for c in ("node", "copies"))
+                for t in range(tables):
+                    slot = pa.array(np.full(len(at), t, np.int32))
+                    yield pa.RecordBatch.from_arrays([slot, pa.array(keys[:, t]), nodes, copies, raw], names=["slot", "bucket", "node", "copies", "raw"])
 
     return run
 
 
-def _check(cosine: float, kind: str, step: int = 512):
+def _check(cosine: float, family, kind: str, step: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["slot", "bucket", "one", "two"]):
             if group.num_rows < 2:
                 continue
             slot, one, two = (group.column(c)[0].as_py() for c in ("slot", "one", "two"))
-            group = group.sort_by("vec_id")
-            ids = group.column("vec_id").to_numpy()
-            stack = lambda c, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).reshape(len(ids), -1)  # noqa: B023, E731
-            rows, keys, block = unit(stack("raw", kind)), stack("buckets", np.int64), group.column("block").to_numpy()
-            ones, twos = [], []
-            for s in range(0, len(ids), step):
-                x, y = np.nonzero(rows[s : s + step] @ rows.T >= cosine)
-                x += s
-                fit = (x < y) & ((block[x] != block[y]) if one != two else True)
-                x, y = x[fit], y[fit]
-                first = ~(keys[x, :slot] == keys[y, :slot]).any(axis=1)
-                ones.append(x[first])
-                twos.append(y[first])
-            a, b = np.concatenate(ones), np.concatenate(twos)
-            count = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-            hub, some = forest(len(ids), a, b), count > 0
-            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(count[some]), pa.array(ids[hub[some]])], names=["vec_id", "n_links", "hub"])
+            ids, copies, block = (group.column(c).to_numpy() for c in ("node", "copies", "block"))
+            raw = group.column("raw").to_pylist()
+            sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+            for at in (np.flatnonzero(sizes == size) for size in np.unique(sizes)):  # lengths may share a bucket by chance
+                rows = unit(np.frombuffer(b"".join([raw[i] for i in at]), kind).reshape(len(at), -1))
+                ones, twos = [], []
+                for s in range(0, len(at), step):
+                    x, y = np.nonzero(rows[s : s + step] @ rows[s:].T >= cosine)
+                    x, y = x + s, y + s
+                    fit = (x < y) & ((block[at[x]] != block[at[y]]) if one != two else True)
+                    ones.append(x[fit])
+                    twos.append(y[fit])
+                a, b = np.concatenate(ones), np.concatenate(twos)
+                if not len(a):
+                    continue
+                if slot:
+                    ends, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+                    keys = family(rows.shape[1]).keys(rows[ends], 0, slot)
+                    p, q = np.split(where, 2)
+                    new = np.ones(len(a), bool)
+                    for s in range(0, len(a), 1 << 16):
+                        new[s : s + (1 << 16)] = ~(keys[p[s : s + (1 << 16)]] == keys[q[s : s + (1 << 16)]]).any(axis=1)
+                    a, b = a[new], b[new]
+                n = copies[at]
+                count = np.bincount(a, weights=n[b], minlength=len(at)) + np.bincount(b, weights=n[a], minlength=len(at))
+                hub, some = forest(len(at), a, b), count > 0
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at][some]), pa.array(count[some].astype(np.int64)), pa.array(ids[at][hub[some]])], names=["node", "n", "hub"])
 
     return run
 
@@ -122,33 +158,42 @@ def deal(rows: DataFrame, id_column: str) -> DataFrame:
 
 
 def near_vectors(vectors: DataFrame, cosine: float = 0.9, recall: float = 0.995, bucket: int = 192, width: float = 2.0, most: int = 2048, seed: int = 11) -> DataFrame:
-    """Links of each row of vectors (vec_id, vector) to the others at a cosine of at least the threshold.
+    """Links of each row of vectors (vec_id, vector) to the other rows at a cosine of at least the threshold.
 
-    Returns vec_id, n_links, component_id, kept. Vectors that are null, empty, zero or hold a
-    null or non-finite component link with nothing, neither do those of another length; a
-    null vec_id gets a null component. vec_id names a vector: of rows that repeat it the
-    smallest vector counts. recall is the chance to find a pair right at the threshold; nearer ones are surer.
+    Returns vec_id, n_links, component_id, kept, a row for each of the input. Vectors that are null, empty, zero or hold a
+    null or non-finite component link with nothing, neither do those of another length or with a null vec_id, which get
+    their vec_id as component. Rows that repeat a vec_id are vectors of their own. recall is the chance to find a pair right at the threshold; nearer ones are surer.
     """
     spark = vectors.sparkSession
     ship(spark)
-    kind = vectors.schema["vector"].dataType.elementType.simpleString()
-    rows = vectors.groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n = vectors.count()
-    k, tables = plan(n, cosine, recall, bucket, width)
+    kind = {"float": "f4"}.get(vectors.schema["vector"].dataType.elementType.simpleString(), "f8")
     zero = lambda x: x == 0
-    fit = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector")) & ~F.forall("vector", zero))
-    hashed = fit.mapInArrow(_hash(k, tables, width, seed), "vec_id long, buckets binary, raw binary")
-    cell = F.conv(F.hex(F.substring("buckets", F.col("slot") * 8 + 1, F.lit(8))), 16, -10)
-    placed = hashed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("bucket", cell.cast("long"))
-    units = blocked(placed, ["slot", "bucket"], "vec_id", most)
+    fit = F.col("vec_id").isNotNull() & usable(F.col("vector")) & ~F.forall("vector", zero)
+    prints = [F.xxhash64("vector").alias("one_print"), F.xxhash64(F.lit(29), "vector").alias("two_print")]
+    names = ["one_print", "two_print"]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
+    # numbers of a written table's rows are the same whenever it is read
+    made = rows.where(fit).select("vec_id", "vector", *prints).groupBy(*names, "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = cut(made).withColumn("node", F.monotonically_increasing_id())
+    n = classes.count()
+    k, tables = plan(n, cosine, recall, bucket, width)
+
+    family = partial(_family, k=k, tables=tables, width=width, seed=seed)
+    placed = classes.select("node", "copies", "vector").mapInArrow(_place(family, kind, tables), "slot int, bucket long, node long, copies long, raw binary")
+    units = blocked(placed, ["slot", "bucket"], "node", most)
     keys = ["slot", "bucket", "one", "two"]
     spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 200_000)
-    found = units.repartition(spread, *keys).sortWithinPartitions(*keys).mapInArrow(_check(cosine, {"float": "f4"}.get(kind, "f8")), LINKS)
-    found = cut(found)
-    linked = found.groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))
-    parts = components(found.select(F.col("vec_id").alias("u"), F.col("hub").alias("v")))
-    out = rows.select("vec_id").join(linked, "vec_id", "left").join(parts.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    found = cut(units.repartition(spread, *keys).sortWithinPartitions(*keys).mapInArrow(_check(cosine, family, kind), LINKS))
+    linked = found.groupBy("node").agg(F.sum("n").alias("n"))
+    parts = components(found.select(F.col("node").alias("u"), F.col("hub").alias("v")))
+    known = parts.join(classes.select("node", "least"), "node")
+    known = known.join(known.groupBy("component").agg(F.min("least").alias("first")), "component").select("node", "first")
+    verdict = classes.select(*names, "node", "least", "copies").join(linked, "node", "left").join(known, "node", "left")
+    links = F.coalesce("n", F.lit(0)) + F.col("copies") - 1
+    verdict = verdict.select(*(apart(F.col(c)).alias(f"{c}_") for c in names), links.alias("links"), F.coalesce("first", "least").alias("first"))
+    own = rows.select("vec_id", *(F.when(fit, p).alias(c) for p, c in zip(prints, names, strict=True)))
+    out = own.join(verdict, (F.col("one_print") == F.col("one_print_")) & (F.col("two_print") == F.col("two_print_")), "left")
+    out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("first", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 

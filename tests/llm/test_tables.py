@@ -16,23 +16,22 @@ NAN, INF = float("nan"), float("inf")
 
 
 def brute_near(rows, cosine):
-    fit = {}
-    for i, v in rows:
-        if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            if i not in fit or v < fit[i]:
-                fit[i] = v
-    scaled = {i: np.array(v, float) / max(map(abs, v)) for i, v in fit.items()}
-    unit = {i: v / np.linalg.norm(v) for i, v in scaled.items()}
-    links = {i: {j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= cosine} for i in unit}
-    out = {}
-    for i in {i for i, _ in rows if i is not None}:
-        seen, todo = {i}, [i]
+    """(vec_id, links, component, kept) of every row, each a vector of its own."""
+    fit = [i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v) for i, v in rows]
+    scaled = [np.array(v, float) / max(map(abs, v)) if f else None for f, (_, v) in zip(fit, rows, strict=True)]
+    unit = [x / np.linalg.norm(x) if x is not None else None for x in scaled]
+    near = lambda a, b: a != b and fit[a] and fit[b] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine
+    links = [[b for b in range(len(rows)) if near(a, b)] for a in range(len(rows))]
+    out = []
+    for a, (i, _) in enumerate(rows):
+        seen, todo = {a}, [a]
         while todo:
-            for j in links.get(todo.pop(), set()) - seen:
-                seen.add(j)
-                todo.append(j)
-        out[i] = (len(links.get(i, ())), min(seen), min(seen) == i)
-    return out
+            for b in set(links[todo.pop()]) - seen:
+                seen.add(b)
+                todo.append(b)
+        least = i if i is None else min(rows[b][0] for b in seen)
+        out.append((i, len(links[a]), least, i == least))
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("most", [2048, 6])
@@ -43,11 +42,30 @@ def test_near_vectors(spark, most):
         c = r.normal(size=16)
         rows += [(c + r.normal(size=16) * r.choice([0.02, 0.1])).tolist() for _ in range(r.integers(1, 15))]
     rows += [[0.0] * 16, None, [], [1.0] * 8, [1.0] * 8, [NAN] * 16, [1.0, None] + [0.0] * 14, [INF] * 16, [1e-300] * 16, [1e300] * 16]
-    rows = list(enumerate(rows)) + [(None, [1.0] * 16), (0, rows[0])]
-    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in near_vectors.near_vectors(df, recall=0.9999, most=most).collect()}
-    assert got.pop(None) == (0, None, True)
-    assert got == brute_near(rows, 0.9)
+    rows = list(enumerate(rows)) + [(None, [1.0] * 16), (0, rows[0]), (0, rows[40]), (1, [-x for x in rows[1]]), (500, rows[1])]
+    kinds = "vec_id long, vector array<double>, node int, one_print string, copies int, __found int"
+    df = spark.createDataFrame([(*x, 1, "b", None, 2) for x in rows], kinds).repartition(3)
+    got = [(x.vec_id, x.n_links, x.component_id, x.kept) for x in near_vectors.near_vectors(df, recall=0.9999, most=most).collect()]
+    assert sorted(got, key=repr) == brute_near(rows, 0.9)
+
+
+def test_many_equal_vectors(spark):
+    """A hundred thousand rows of one vector are one class, whatever their number squared."""
+    import time
+
+    rows = spark.range(100_000).select(F.col("id").alias("vec_id"), F.expr("array(1f, 2f, 0f)").alias("vector"))
+    rows = rows.unionByName(spark.createDataFrame([(100_000, [2.0, 4.0, 0.1]), (100_001, [0.0, 0.0, 1.0])], "vec_id long, vector array<float>"))
+    began = time.time()
+    got = near_vectors.near_vectors(rows).groupBy("n_links", "component_id").count().collect()
+    assert sorted(tuple(x) for x in got) == [(0, 100_001, 1), (100_000, 0, 100_001)] and time.time() - began < 60
+
+
+def test_hashes_do_not_depend_on_the_batch():
+    r = np.random.default_rng(3)
+    rows = near_vectors.unit(r.normal(size=(300, 64)))
+    family = near_vectors.Family(64, 9, 32, 2.0, 11)
+    whole = family.keys(rows, 0, 32)
+    assert all((family.keys(rows[i : i + n], 0, t) == whole[i : i + n, :t]).all() for i, n, t in ((0, 1, 32), (7, 100, 5), (299, 1, 1)))
 
 
 def test_recall_at_the_threshold(spark):
