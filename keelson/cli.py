@@ -1,7 +1,7 @@
-"""Command line: check, inspect, plan, run, verify, import-load.
+"""Command line: check, inspect, plan, run, verify, config import, import-load.
 
-Source tables are staged files <staging>/<table> (Parquet, or CSV with --format csv) with a catalogue as JSON; the
-target is a folder of Parquet tables. Exit codes: 0 done, 1 failure or unclear outcome, 2 refused before
+Source tables are those of the configured server, read over JDBC, or with --catalog staged files <staging>/<table> (Parquet, or CSV with
+--format csv) with a catalogue as JSON; the target is a folder of Parquet tables. Exit codes: 0 done, 1 failure or unclear outcome, 2 refused before
 anything ran, 3 rows rejected, 4 verification, 130 cancelled.
 """
 
@@ -15,6 +15,17 @@ from pathlib import Path
 from keelson.plans.model import to_json
 
 
+def _import_arguments(p: argparse.ArgumentParser) -> None:
+    p.add_argument("load")
+    p.add_argument("output")
+    p.add_argument("--consistency", choices=("frozen", "single_snapshot"), required=True)
+    p.add_argument("--target-schema")
+    p.add_argument("--source-env", default="SOURCE_URL")
+    p.add_argument("--target-env", default="TARGET_URL")
+    p.add_argument("--append-data-only", action="store_true")
+    p.add_argument("--accept-defaults", action="store_true")
+
+
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="keelson")
     sub = p.add_subparsers(dest="command", required=True)
@@ -22,27 +33,21 @@ def _parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         c.add_argument("config")
         if name != "check":
-            c.add_argument("--catalog", required=True)
+            c.add_argument("--catalog", help="a catalogue as JSON instead of the server's")
         if name in ("plan", "run"):
             c.add_argument("--target-catalog")
             c.add_argument("--target", default="target")
         if name == "run":
-            c.add_argument("--staging", required=True)
+            c.add_argument("--staging", help="staged files instead of the server's tables")
             c.add_argument("--format", default="parquet")
     v = sub.add_parser("verify")
     v.add_argument("run_dir")
     v.add_argument("--staging", required=True)
     v.add_argument("--target", required=True)
     v.add_argument("--format", default="parquet")
-    i = sub.add_parser("import-load")
-    i.add_argument("load")
-    i.add_argument("output")
-    i.add_argument("--consistency", choices=("frozen", "single_snapshot"), required=True)
-    i.add_argument("--target-schema")
-    i.add_argument("--source-env", default="SOURCE_URL")
-    i.add_argument("--target-env", default="TARGET_URL")
-    i.add_argument("--append-data-only", action="store_true")
-    i.add_argument("--accept-defaults", action="store_true")
+    v.add_argument("--config", help="refuse runs with other endpoints than this configuration's")
+    _import_arguments(sub.add_parser("import-load"))
+    _import_arguments(sub.add_parser("config").add_subparsers(dest="action", required=True).add_parser("import"))
     return p
 
 
@@ -64,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
     from keelson.sources import artifacts, catalog, config, load_import
 
     try:
-        if a.command == "import-load":
+        if a.command in ("import-load", "config"):
             made = load_import.import_load(Path(a.load).read_text("utf-8"), load_import.Options(a.source_env, a.target_env, a.consistency, a.target_schema, a.append_data_only, a.accept_defaults))
             with open(a.output, "x", encoding="utf-8") as f:  # never overwrites
                 f.write(made.toml)
@@ -75,28 +80,37 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "check":
             print("the configuration is valid")
             return 0
-        source = catalog.load_source(Path(a.catalog).read_text("utf-8"))
+        from keelson.sources import jdbc
+
+        spark = None
+        if a.catalog:
+            source = catalog.load_source(Path(a.catalog).read_text("utf-8"))
+        else:
+            spark, url = _session(), artifacts.resolve_url(c.source.url_env, c.source.url_file)
+            source = jdbc.inspect(jdbc.reader(spark, jdbc.read_options(url, c)))
         if a.command == "inspect":
             chosen, others = select(c, source)
             print(json.dumps({"database": source.database, "selected": [t.name for t in chosen], "excluded": others}, indent=1))
             return 0
         from keelson.plans.run import FileTarget, Run, summary
 
-        spark = None
         if a.target_catalog:
             target = catalog.load_target(Path(a.target_catalog).read_text("utf-8"))
         else:
-            spark = _session()
+            spark = spark or _session()
             schemas = sorted({c.target.schema, *(r.schema for r in c.tables.rename if r.schema)})
-            draft = {(s, n) for s in schemas for n in [t.name for t in source.tables] + [r.target for r in c.tables.rename]}
-            target = FileTarget(spark, a.target).catalog(schemas, sorted(draft))
+            target = FileTarget(spark, a.target).catalog(schemas)
         plan = build(c, source, target)
         if a.command == "plan":
             print(artifacts.safe(to_json(plan)))
             return 0
         spark = spark or _session()
         show = (lambda e: print(json.dumps(e), flush=True)) if c.report.console == "json" else (lambda e: None)
-        report = Run(spark, c, plan, _reader(spark, a.staging, a.format), FileTarget(spark, a.target), show).go()
+        said: list = []
+        rows = _reader(spark, a.staging, a.format) if a.staging else jdbc.source_tables(spark, artifacts.resolve_url(c.source.url_env, c.source.url_file), c, source, said.append)
+        run = Run(spark, c, plan, rows, FileTarget(spark, a.target), show)
+        report = run.go()
+        report.diagnostics += said
         print(to_json(report) if c.report.console == "json" else summary(report))
         return report.exit_code()
     except (config.ConfigError, load_import.ImportRefused, Blocked, OSError, ValueError) as e:
@@ -111,9 +125,17 @@ def _verify(a: argparse.Namespace) -> int:
     from keelson.plans.run import FileTarget
     from keelson.sources import artifacts
 
-    plan, report = artifacts.saved_run(a.run_dir)
+    digests = ()
+    if a.config:
+        from keelson.sources import config
+
+        c = config.load(a.config)
+        digests = (artifacts.known_digest(c.source), artifacts.known_digest(c.target))
+    plan, report = artifacts.saved_run(a.run_dir, *digests)
     spark = _session()
-    report.verification = verify(plan, report, _reader(spark, a.staging, a.format), FileTarget(spark, a.target).read)
+    target = FileTarget(spark, a.target)
+    states = {t.id: target.states(t.target_schema, t.target_name) for t in plan.tables}
+    report.verification = verify(plan, report, _reader(spark, a.staging, a.format), target.read, held=target.held, states=states)
     print(to_json(report.verification))
     return report.exit_code()
 

@@ -65,8 +65,20 @@ def base_of(target: str) -> str:
     return target.partition("(")[0].strip()
 
 
-def whole_number(raw: Column) -> tuple[Column, Column]:
-    """(decimal(38,0), problem) of an integer in any staging type."""
+#: Spark types of whole numbers, and the first magnitude that each can't hold.
+INTEGRAL = {"tinyint": 2**7, "smallint": 2**15, "int": 2**31, "bigint": 2**63}
+#: Fixed value: the grammar of a finite number in text.
+NUMBER = r"\A[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\z"
+
+
+def is_whole(dtype: str) -> bool:
+    return dtype in INTEGRAL or (dtype.startswith("decimal") and dtype.endswith(",0)"))
+
+
+def whole_number(raw: Column, dtype: str = "") -> tuple[Column, Column]:
+    """(decimal(38,0), problem) of an integer in any staging type; native numbers need no text."""
+    if is_whole(dtype):
+        return raw.cast("decimal(38,0)"), _none()
     digits = raw.cast("string")
     number = digits.try_cast("decimal(38,0)")
     return number, _first(_flag(~digits.rlike(r"\A[+-]?[0-9]+\z"), "format"), _flag(number.isNull(), "range"))
@@ -75,25 +87,31 @@ def whole_number(raw: Column) -> tuple[Column, Column]:
 def bits_number(raw: Column, dtype: str) -> tuple[Column, Column]:
     """As whole_number; binary values of up to 8 bytes are big-endian numbers."""
     if dtype != "binary":
-        return whole_number(raw)
+        return whole_number(raw, dtype)
     number = F.conv(F.hex(raw), 16, 10).try_cast("decimal(38,0)")
     bad = F.octet_length(raw) > 8
     return F.when(F.octet_length(raw) == 0, F.lit(0).cast("decimal(38,0)")).otherwise(number), _flag(bad, "range")
 
 
 def _integer(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
-    number, problem = whole_number(raw)
     unsigned = plan.kind == Kind.UNSIGNED or "unsigned" in plan.source_type.lower()
+    year, base = plan.source_type.lower().startswith("year"), base_of(plan.target_type)
+    kind = SPARK_INTEGERS.get(base, "decimal(20,0)")
+    if dtype in INTEGRAL:  # compared as it is, where the types leave anything to compare
+        bad = [raw < 0] if unsigned else []
+        bad += [~((raw == 0) | raw.between(1901, 2155))] if year else []
+        if (top := LIMITS.get(base, 2**63)) < INTEGRAL[dtype]:
+            bad.append((raw < -top) | (raw >= top))
+        return Converted(raw if kind == dtype else raw.try_cast(kind), _first(*(F.when(b, F.lit("range")) for b in bad)), F.lit(False))
+    number, problem = whole_number(raw, dtype)
     checks = [problem]
     if unsigned:
         checks.append(_flag(number < 0, "range"))
-    if plan.source_type.lower().startswith("year"):
+    if year:
         checks.append(_flag(~((number == 0) | number.between(1901, 2155)), "range"))
-    base = base_of(plan.target_type)
     if base in LIMITS:
         top = F.lit(str(LIMITS[base])).cast("decimal(38,0)")
         checks.append(_flag((number < -top) | (number >= top), "range"))
-    kind = SPARK_INTEGERS.get(base, "decimal(20,0)")
     if kind == "decimal(20,0)":
         checks.append(_flag(F.abs(number) >= F.lit("1" + "0" * 20).cast("decimal(38,0)"), "range"))
     return Converted(number.try_cast(kind), _first(*checks), F.lit(False))
@@ -109,10 +127,10 @@ def canonical_decimal(text: Column) -> Column:
 
 def _decimal(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
     digits = raw.cast("string")
-    bare = F.regexp_replace(digits, r"\A[+-]", "")
-    whole = F.regexp_replace(F.substring_index(bare, ".", 1), r"\A0+", "")
-    part = F.when(F.contains(bare, F.lit(".")), F.substring_index(bare, ".", -1)).otherwise(F.lit(""))
-    n_whole, n_part = F.char_length(whole), F.char_length(part)
+    bare = F.ltrim(digits, F.lit("+-"))
+    point = F.instr(bare, ".")
+    n_whole = F.char_length(F.ltrim(F.substring_index(bare, ".", 1), F.lit("0")))
+    n_part = F.when(point > 0, F.char_length(bare) - point).otherwise(0)
     checks = [_flag(~digits.rlike(r"\A[+-]?[0-9]+([.][0-9]+)?\z"), "format")]
     if "unsigned" in plan.source_type.lower():
         checks.append(_flag(digits.startswith("-"), "range"))
@@ -129,7 +147,8 @@ def _decimal(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
 def _float(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
     number = raw.try_cast("double")
     bad = F.isnan(number) | (F.abs(number) == F.lit(float("inf")))
-    checks = [_flag(number.isNull(), "format"), _flag(bad, "range")]
+    wrong = ~raw.rlike(NUMBER) if dtype == "string" else number.isNull()
+    checks = [_flag(wrong, "format"), _flag(bad, "range")]
     if dtype in ("tinyint", "smallint", "int", "bigint") or dtype.startswith("decimal"):
         checks.append(_flag(number.cast("decimal(38,0)") != raw.cast("decimal(38,0)"), "range"))
     if base_of(plan.target_type) == "real":
@@ -155,38 +174,53 @@ MOMENT = r"\A([0-9]{4})-([0-9]{2})-([0-9]{2})(?:[ T]([0-9]{2}):([0-9]{2}):([0-9]
 
 
 def _moment(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
+    if dtype in ("date", "timestamp_ntz") or (dtype == "timestamp" and plan.kind != Kind.DATE):
+        return _native_moment(raw, plan, dtype)
     shown = raw.cast("string")
-    part = lambda i: F.regexp_extract(shown, MOMENT, i)
-    fits = shown.rlike(MOMENT)
-    zero = fits & ((part(1) == "0000") | (part(2) == "00") | (part(3) == "00"))
-    all_zero = fits & ~shown.rlike("[1-9]")
-    fraction = F.rpad(part(7), 6, "0")
-    timed = fits & (F.concat(part(4), part(5), part(6), part(7)).rlike("[1-9]"))
-    changed = F.lit(False)
-    if plan.transform == "zero-dates-to-null":
-        changed = zero
-    elif plan.transform == "zero-dates-to-epoch":
-        changed = all_zero
-        shown = F.when(all_zero, F.lit("1970-01-01 00:00:00")).otherwise(shown)
+    fits = shown.rlike(MOMENT)  # so every part has its place
+    changed, zero = F.lit(False), None
+    if plan.transform in ("zero-dates-to-null", "zero-dates-to-epoch"):
+        part = lambda at, size: F.substring(shown, at, size)
+        zero = fits & ((part(1, 4) == "0000") | (part(6, 2) == "00") | (part(9, 2) == "00"))
+        if plan.transform == "zero-dates-to-null":
+            changed = zero
+        else:
+            changed = fits & (F.ltrim(shown, F.lit("0-: T.")) == "")
+            shown = F.when(changed, F.lit("1970-01-01 00:00:00")).otherwise(shown)
     checks = [_flag(~fits, "datetime")]
     if plan.kind == Kind.DATE:
         value = F.substring(shown, 1, 10).try_cast("date")
-        checks += [_flag(timed, "datetime"), _flag(value.isNull(), "field_overflow")]
+        timed = F.ltrim(F.substring(raw.cast("string"), 11, 16), F.lit("0: T.")) != ""
+        checks += [_flag(fits & timed, "datetime"), _flag(value.isNull(), "field_overflow")]
     else:
         kind = "timestamp_ntz" if plan.kind == Kind.DATETIME else "timestamp"
-        text = shown if kind == "timestamp_ntz" else F.concat(F.rpad(shown, F.greatest(F.char_length(shown), F.lit(10)), " "), F.when(F.char_length(shown) > 10, F.lit("+00:00")).otherwise(F.lit(" 00:00:00+00:00")))
+        text = shown if kind == "timestamp_ntz" else F.concat(shown, F.when(F.char_length(shown) > 10, F.lit("+00:00")).otherwise(F.lit(" 00:00:00+00:00")))
         value = text.try_cast(kind)
         sizes = size_of(plan.target_type)
         checks.append(_flag(value.isNull(), "field_overflow"))
-        if sizes and sizes[0] < 6:
-            step = 10 ** (6 - sizes[0])
-            checks.append(_flag((F.coalesce(F.nullif(fraction, F.lit("")).try_cast("int"), F.lit(0)) % step) != 0, "field_overflow"))
+        if sizes and sizes[0] < 6:  # the fraction begins at the 21st character
+            checks.append(_flag(F.ltrim(F.substring(shown, 21 + sizes[0], 6), F.lit("0")) != "", "field_overflow"))
     problem = _first(*checks)
     if plan.transform == "zero-dates-to-null":
         value, problem = F.when(~zero, value), F.when(~F.coalesce(zero, F.lit(False)), problem)
     return Converted(value, problem, F.coalesce(changed, F.lit(False)))
 
 
+def _native_moment(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
+    """Dates and times that are staged as such; they can't be zero dates. Times without a zone are in UTC, as everywhere."""
+    if plan.kind == Kind.DATE:
+        day = raw.cast("date")
+        timed = _none() if dtype == "date" else _flag(day.cast("timestamp_ntz") != raw, "datetime")
+        return Converted(day, timed, F.lit(False))
+    kind = "timestamp_ntz" if plan.kind == Kind.DATETIME else "timestamp"
+    value = raw if dtype == kind else raw.cast(kind) if kind == "timestamp_ntz" else F.concat(raw.cast("timestamp_ntz").cast("string"), F.lit("+00:00")).try_cast("timestamp")
+    sizes, problem = size_of(plan.target_type), _none()
+    if sizes and sizes[0] < 6 and dtype != "date":
+        micros = F.pmod((F.extract(F.lit("SECOND"), raw) * 1_000_000).cast("bigint"), F.lit(1_000_000))
+        problem = _flag(micros % 10 ** (6 - sizes[0]) != 0, "field_overflow")
+    return Converted(value, problem, F.lit(False))
+
+
 SPAN = r"\A(-?)([0-9]{1,3}):([0-5][0-9]):([0-5][0-9])(?:\.([0-9]{1,6}))?\z"
 
 
@@ -231,13 +265,13 @@ def _bit(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
 
 def _text(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
     if plan.transform == "int-to-ip":
-        number, problem = whole_number(raw)
+        number, problem = whole_number(raw, dtype)
         inside = number.between(0, 2**32 - 1)
         bits = F.when(inside, number.cast("bigint"))
         octet = lambda n: F.shiftright(bits, n).bitwiseAND(F.lit(255)).cast("string")
         return Converted(F.concat_ws(".", *(octet(n) for n in (24, 16, 8, 0))), _first(problem, _flag(~inside, "range")), F.lit(True))
     if plan.enum_labels:
-        label, problem = enum_label(raw, plan)
+        label, problem = enum_label(raw, plan, dtype)
     else:
         label, problem = text_functions.decode(raw, plan.charset)
     return _finish_text(label, problem, plan)
@@ -260,15 +294,15 @@ def _finish_text(label: Column, problem: Column, plan: ColumnPlan) -> Converted:
     return Converted(out, _first(*checks), F.coalesce(changed, F.lit(False)))
 
 
-def enum_label(raw: Column, plan: ColumnPlan) -> tuple[Column, Column]:
-    number, problem = whole_number(raw)
+def enum_label(raw: Column, plan: ColumnPlan, dtype: str) -> tuple[Column, Column]:
+    number, problem = whole_number(raw, dtype)
     known = number.between(1, len(plan.enum_labels))
     label = F.try_element_at(F.array(*map(F.lit, plan.enum_labels)), F.when(known, number.cast("int")))
     return label, _first(problem, _flag(~known, "range"))
 
 
 def _enum(raw: Column, plan: ColumnPlan, dtype: str) -> Converted:
-    label, problem = enum_label(raw, plan)
+    label, problem = enum_label(raw, plan, dtype)
     return _finish_text(label, problem, plan)
 
 

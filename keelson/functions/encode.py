@@ -59,3 +59,34 @@ def interval_text(value: Column) -> Column:
 def row_text(fields: list[Column]) -> Column:
     """One line: tabs between fields, backslash-N for null, a newline at the end."""
     return F.concat(F.concat_ws("\t", *(F.coalesce(escape(f), F.lit("\\N")) for f in fields)), F.lit("\n"))
+
+
+#: Kinds whose text can hold a character that has to be escaped.
+ESCAPED = (Kind.TEXT, Kind.ENUM, Kind.SET, Kind.JSON, Kind.GEOMETRY, Kind.BINARY)
+
+
+def field_bytes(value: Column, kind: Kind) -> Column:
+    """Bytes of a field's escaped text, or of the mark of a null, without making the text where the kind says enough."""
+    if kind == Kind.BINARY:  # the prefix's backslash is doubled
+        size = F.octet_length(value) * 2 + 3
+    elif kind == Kind.BOOLEAN:
+        size = F.when(value.isNotNull(), F.lit(1))
+    elif kind == Kind.DATETIME:
+        size = F.when(value.isNotNull(), F.lit(26))
+    elif kind == Kind.TIMESTAMP:
+        size = F.when(value.isNotNull(), F.lit(29))
+    elif kind in ESCAPED:
+        text = field(value, kind)
+        marks = "".join(raw for raw, _ in ESCAPES)
+        size = 2 * F.octet_length(text) - F.octet_length(F.translate(text, marks, ""))  # each of them takes a byte more
+    else:
+        size = F.octet_length(field(value, kind))
+    return F.coalesce(size, F.lit(2))
+
+
+def row_bytes(fields: list[tuple[Column, Kind]]) -> Column:
+    """Bytes of a row's line: as the length of row_text."""
+    out = F.lit(max(1, len(fields)))
+    for value, kind in fields:
+        out = out + field_bytes(value, kind)
+    return out.cast("long")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.plans.model import ColumnPlan, Kind
+from keelson.plans.model import ColumnPlan, Kind, TablePlan
 
 INTEGER_MAX = {"smallint": 2**15 - 1, "integer": 2**31 - 1, "int": 2**31 - 1, "bigint": 2**63 - 1}
 
@@ -26,6 +26,16 @@ def unique_violations(rows: DataFrame, keys: list[str], primary: bool = False) -
     return counts.where((F.col("n_rows") > 1) | (null if primary else F.lit(False)))
 
 
+def unique_keys(table: TablePlan) -> list[tuple[list[str], bool]]:
+    """(target columns, whether it is the primary one) of a table's keys; those on expressions are left out."""
+    target = {c.source_name: c.target_name for c in table.columns}
+    out = [([target[k] for k in table.primary_key], True)] if table.primary_key else []
+    for i in table.structure.indexes:
+        if (i.unique or i.primary) and not any(i.expressions) and i.columns and all(i.columns) and i.columns not in [k for k, _ in out]:
+            out.append((list(i.columns), i.primary))
+    return out
+
+
 def fk_orphans(child: DataFrame, keys: list[str], parent: DataFrame, parent_keys: list[str]) -> DataFrame:
     """Child rows without a parent; a null part exempts a row. Parents are reduced to their keys; the join may be broadcast only as Spark's size estimate allows."""
     whole = reduce(lambda a, b: a & b, (c.isNotNull() for c in _cols(keys)))
@@ -55,24 +65,25 @@ def sequence_exhausted(floor: int, target_type: str) -> bool:
     return floor > INTEGER_MAX.get(target_type, 0)
 
 
+#: Families of types whose values compare exactly with each other in a foreign key.
+FK_FAMILIES = [frozenset(x.split("|")) for x in (
+    "smallint|integer|bigint", "numeric", "real", "double precision", "boolean", "bytea", "text", "varchar", "character", "date", "timestamp", "timestamptz",
+    "time", "timetz", "interval", "uuid", "inet", "money", "bit", "varbit", "jsonb", "text[]")]
+#: Fixed value: the one widening, of a child's integers to a parent's decimals.
+FK_WIDENING = ("bigint", "numeric")
+
+
 def fk_types_agree(child: ColumnPlan, parent: ColumnPlan) -> bool:
-    """Whether equality between two planned columns is exact."""
+    """Whether equality between two planned columns is exact: types of one family, or integers in the child of a decimal; enums need the same labels."""
     from keelson.plans.types import normalise
 
-    a, b = normalise(child.target_type), normalise(parent.target_type)
-    if a is None or b is None:
+    sides = [normalise(c.target_type) for c in (child, parent)]
+    if None in sides:
         return False
-    if Kind.ENUM in (child.kind, parent.kind):
-        return child.kind == parent.kind and a == b and bool(child.enum_labels) and child.enum_labels == parent.enum_labels
-    if a.endswith("[]") or b.endswith("[]"):
-        return a == b == "text[]"
-    x, y = a.partition("(")[0], b.partition("(")[0]
-    if x in ("smallint", "integer", "bigint") and y in ("smallint", "integer", "bigint", "numeric"):
-        return True
-    return x == y and x in FK_TYPES
-
-
-#: Types whose equality in a foreign key is known.
-FK_TYPES = frozenset(
-    "numeric|real|double precision|boolean|bytea|text|varchar|character|date|timestamp|timestamptz|time|timetz|interval|uuid|inet|money|bit|varbit|jsonb".split("|")
-)
+    enums = [(c.kind == Kind.ENUM, kind if c.kind == Kind.ENUM else None, tuple(c.enum_labels) if c.kind == Kind.ENUM else ()) for c, kind in zip((child, parent), sides, strict=True)]
+    if enums[0][0] or enums[1][0]:
+        return enums[0] == enums[1] and bool(enums[0][2])
+    bare = [kind.partition("(")[0] + ("[]" if kind.endswith("[]") and "(" in kind else "") for kind in sides]
+    family = [next((f for f in FK_FAMILIES if b in f), None) for b in bare]
+    widened = family[0] is not None and FK_WIDENING[0] in family[0] and bare[1] == FK_WIDENING[1]
+    return widened or (family[0] is not None and family[0] is family[1])

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import time
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.convert import parse
-from keelson.functions.encode import field, row_text
-from keelson.plans.model import Diagnostic, Status, TablePlan, TableReport
+from keelson.functions.encode import field as field_text
+from keelson.functions.encode import row_bytes, row_text
+from keelson.plans.model import Diagnostic, Severity, Status, TablePlan, TableReport
 
 ORDINAL, PROBLEMS, CHANGED = "_row_ordinal", "_problems", "_changed"
-JIT_LIMIT = 8000  # bytes of a method's code
+NEVER_NULL = "keelson.never_null"  # in a column's metadata
 
 
 class RejectLimit(RuntimeError):
@@ -27,6 +29,10 @@ class StoppedOnReject(RuntimeError):
     code = "CONVERSION_ROW_REJECTED"
 
 
+class SourceChanged(RuntimeError):
+    code = "SOURCE_CHANGED"
+
+
 def size_problem(rows: DataFrame, most: int, overhead: int = 16) -> Column:
     """row_size where the bytes of a row's values, with an overhead for each, exceed the bound."""
     total = sum((F.coalesce(F.octet_length(F.col(f"`{f.name}`").cast("string" if f.dataType.simpleString() != "binary" else "binary")), F.lit(0)) + overhead for f in rows.schema), F.lit(0))
@@ -38,8 +44,6 @@ def converted(rows: DataFrame, table: TablePlan, max_row_bytes: int | None = Non
 
     An _row_ordinal column is kept if there is one, else made.
     """
-    # a projection of many conversions makes one method beyond what the JVM compiles; from this size on Spark splits it
-    rows.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
     kinds = dict(rows.dtypes)
     columns = table.copied
     made = [parse(F.col(f"`{c.source_name}`"), c, kinds[c.source_name]) for c in columns]
@@ -89,12 +93,6 @@ def first_wins(rows: DataFrame, keys: list[str], ordinal: str = ORDINAL) -> tupl
     return kept, marked.where(F.col(ordinal) != F.col("_first")).select(*(f"`{c}`" for c in cols))
 
 
-def first_by_window(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key by an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-
-
 def transformation_counts(rows: DataFrame) -> dict[str, int]:
     return dict(rows.select(F.explode(CHANGED).alias("c")).groupBy("c").count().collect())
 
@@ -105,43 +103,223 @@ class Loaded:
     diagnostics: list[Diagnostic]
 
 
-def load_table(rows: DataFrame, table: TablePlan, target: str, *, reject_dir: str | None = None, on_row_error: str = "stop", max_rejected: int = 0, save_mode: str = "errorifexists", max_row_bytes: int | None = None) -> Loaded:
-    """Convert and write one table; rejects go to reject_dir as JSON lines.
+def _path(spark: SparkSession, where: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, where: str) -> None:
+    path, files = _path(spark, where)
+    files.delete(path, True)
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    a, files = _path(spark, source)
+    b, _ = _path(spark, target)
+    files.mkdirs(b.getParent())
+    if files.exists(b) or not files.rename(a, b):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def publish(spark: SparkSession, staged: str, target: str, mode: str) -> None:
+    """Make a staged table the target's by moving it. mode: errorifexists, append, or overwrite, which keeps the old table until the new one is in its place."""
+    path, files = _path(spark, target)
+    if mode == "append":
+        files.mkdirs(path)
+        parts, _ = _path(spark, staged)
+        for part in sorted(f.getPath().getName() for f in files.listStatus(parts)):
+            if part.startswith("part-"):  # such names are unique
+                move(spark, f"{staged}/{part}", f"{target.rstrip('/')}/{part}")
+        return
+    old = f"{target.rstrip('/')}.replaced-{uuid.uuid4().hex}"
+    there = mode == "overwrite" and files.exists(path)
+    if there:
+        move(spark, target, old)
+    try:
+        move(spark, staged, target)
+    except Exception:
+        if there:
+            move(spark, old, target)
+        raise
+    if there:
+        remove(spark, old)
+
+
+class Accounts:
+    """What a pass over converted rows counts while they are written: rows, rejects, bytes, changes, and a checksum of the rejects."""
+
+    def __init__(self, table: TablePlan):
+        self.table, self.observed = table, Observation()
+
+    def watch(self, made: DataFrame) -> DataFrame:
+        ok = F.size(PROBLEMS) == 0
+        size = row_bytes([(F.col(f"`{c.target_name}`"), c.kind) for c in self.table.copied])
+        changes = [F.count_if(ok & F.array_contains(CHANGED, c.target_name)).alias(f"changed{i}") for i, c in enumerate(self.table.copied) if c.transform]
+        mark = F.shiftrightunsigned(F.xxhash64("_raw"), 20)  # sums of these don't leave a long
+        return made.observe(self.observed, F.count("*").alias("total"), F.count_if(~ok).alias("bad"), F.sum(F.when(ok, size)).alias("bytes"), F.sum(F.when(~ok, mark)).alias("mark"), *changes)
+
+    def found(self) -> dict[str, int]:
+        return {k: v or 0 for k, v in self.observed.get.items()}
+
+    def transformations(self) -> dict[str, int]:
+        found = self.found()
+        return {c.target_name: n for i, c in enumerate(self.table.copied) if c.transform and (n := found[f"changed{i}"])}
+
+
+@dataclass
+class Staged:
+    """A converted table beside its target, not yet seen there; and its rejects."""
+
+    spark: SparkSession
+    table: TablePlan
+    target: str
+    folder: str
+    report: TableReport
+    began: float
+    bad: int = 0
+    total: int = 0
+    size: int = 0
+    diagnostics: list[Diagnostic] = field(default_factory=list)
+
+    @property
+    def rows(self) -> str:
+        return f"{self.folder}/rows"
+
+    def discard(self) -> None:
+        remove(self.spark, self.folder)
+
+    def publish(self, mode: str, reject_dir: str | None = None) -> Loaded:
+        """Reject files first, then the rows; a move that fails leaves the table indeterminate, one that is refused leaves it as it was."""
+        r = self.report
+        try:
+            if mode == "errorifexists" and (known := _path(self.spark, self.target))[1].exists(known[0]):
+                r.status, r.unresolved_rows = Status.FAILED, self.total
+                raise FileExistsError(f"{self.table.target_name} exists")
+            if self.bad and reject_dir:
+                _save_rejects(self.spark, self.folder, reject_dir, self.table.id)
+            try:
+                publish(self.spark, self.rows, self.target, mode)
+            except Exception:
+                r.status, r.indeterminate_rows, r.rejected_rows = Status.INDETERMINATE, self.total - self.bad, self.bad
+                raise
+        finally:
+            self.discard()
+        r.committed_rows, r.rejected_rows, r.committed_bytes = self.total - self.bad, self.bad, self.size
+        r.status = Status.PARTIAL if self.bad else Status.COMPLETE
+        r.copy_elapsed_millis = int((time.time() - self.began) * 1000)
+        return Loaded(r, self.diagnostics)
+
+
+def _save_rejects(spark: SparkSession, folder: str, reject_dir: str, table_id: str) -> None:
+    """Move the staged records and copy lines to their places."""
+    for name in ("jsonl", "copy"):
+        path, files = _path(spark, f"{folder}/{name}")
+        if files.exists(path):
+            move(spark, f"{folder}/{name}", f"{reject_dir.rstrip('/')}/{table_id}.reject.{name}")
+
+
+def duplicates(rows: DataFrame, table: TablePlan, keys: list[list[str]], held: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, refused) of converted good rows with an ordinal: the earliest row of each unique key wins, and none whose key the target holds already."""
+    kept, refused = rows, None
+    for key in keys:
+        kept, late = first_wins(kept, key)
+        if held is not None:
+            theirs = held.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(key)))
+            same = reduce(lambda a, b: a & b, (F.col(f"`{k}`") == F.col(f"_k{i}") for i, k in enumerate(key)))
+            late = late.unionByName(kept.join(theirs, same, "left_semi"))
+            kept = kept.join(theirs, same, "left_anti")
+        refused = late if refused is None else refused.unionByName(late)
+    return kept, refused
+
+
+def copy_rejects(rows: DataFrame, table: TablePlan) -> DataFrame:
+    """Records of rows that the target's keys refused: version, kind, encoding, table, locator, the line as copy text, its length, and the reason."""
+    line = row_text([field_text(F.col(f"`{c.target_name}`"), c.kind) for c in table.copied])
+    return rows.select(
+        F.lit(1).alias("version"), F.lit("copy").alias("kind"), F.lit("postgresql_copy_text").alias("encoding"), F.lit(table.id).alias("table_id"),
+        F.struct(F.col(ORDINAL).alias("ordinal"), F.lit(None).cast("string").alias("key")).alias("locator"), line.alias("line"), F.octet_length(line).cast("long").alias("length"), F.lit("unique").alias("reason"),
+    )
+
+
+def stage_table(rows: DataFrame, table: TablePlan, target: str, *, on_row_error: str = "stop", max_rejected: int = 0, max_row_bytes: int | None = None, keys: list[list[str]] | None = None, held: DataFrame | None = None) -> Staged:
+    """Convert and write one table beside its target, with its rejects.
 
-    The converted frame is written once to a staging folder beside the target, so accounts and both
-    outputs agree; rejects are counted before anything is published. A failed publication leaves the table indeterminate.
+    One pass converts, writes the good rows and counts. Only where rows were rejected a second one writes their records, and fails
+    if it doesn't meet the same rejects, as then the source has changed. keys: unique keys that the target enforces while it is loaded, and
+    held: what it holds already; then rows are staged with their ordinals first, and those that a key refuses are rejects too.
     """
     spark = rows.sparkSession
-    began = time.time()
     report = TableReport(table.id, table.source_name, table.target_schema, table.target_name)
-    staged = f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}"
+    out = Staged(spark, table, target, f"{target.rstrip('/')}.staging-{uuid.uuid4().hex}", report, time.time())
     try:
-        converted(rows, table, max_row_bytes).write.parquet(staged)
-        made = spark.read.parquet(staged)
-        size = F.octet_length(row_text([field(F.col(f"`{c.target_name}`"), c.kind) for c in table.copied]))
-        ok = F.size(PROBLEMS) == 0
-        total, bad, written = made.agg(F.count("*"), F.count_if(~ok), F.coalesce(F.sum(F.when(ok, size)), F.lit(0))).first()
-        report.rows_read, report.transformations = total, transformation_counts(made.where(ok))
-        if bad and on_row_error == "stop":
-            report.status, report.unresolved_rows = Status.FAILED, total
-            raise StoppedOnReject(f"{table.source_name}: {bad} rows can't be converted")
-        if bad > max_rejected:
-            report.status, report.unresolved_rows = Status.FAILED, total
-            raise RejectLimit(f"{table.source_name}: {bad} rejected rows exceed {max_rejected}")
-        diagnostics = []
-        if bad:
-            if reject_dir:
-                rejects(made, table).write.mode("append").json(f"{reject_dir.rstrip('/')}/{table.id}.reject.jsonl")
-            diagnostics.append(Diagnostic("CONVERSION_ROW_REJECTED", table.source_name, f"{bad} rows rejected", "warning", "copy"))
-        try:
-            good(made, table).write.mode(save_mode).parquet(target)
-        except Exception:
-            report.status, report.indeterminate_rows, report.rejected_rows = Status.INDETERMINATE, total - bad, bad
-            raise
-        report.committed_rows, report.rejected_rows, report.committed_bytes = total - bad, bad, written
-        report.status = Status.PARTIAL if bad else Status.COMPLETE
-        report.copy_elapsed_millis = int((time.time() - began) * 1000)
-    finally:
-        path = spark._jvm.org.apache.hadoop.fs.Path(staged)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return Loaded(report, diagnostics)
+        made = converted(rows, table, max_row_bytes)
+        accounts = Accounts(table)
+        watched = accounts.watch(made)
+        names = [c.target_name for c in table.columns if c.target_name in made.columns]
+        columns = [F.col(f"`{n}`") for n in names]
+        kept = watched.where(F.size(PROBLEMS) == 0)
+        if keys:
+            kept.select(*columns, ORDINAL).write.parquet(f"{out.folder}/all")
+        else:
+            _write(kept.select(*columns), table, out.rows)
+        found = accounts.found()
+        out.total, out.bad, out.size = found["total"], found["bad"], found["bytes"]
+        report.rows_read, report.transformations = out.total, accounts.transformations()
+        late = 0
+        if keys:
+            everything = spark.read.parquet(f"{out.folder}/all")
+            good_rows, refused = duplicates(everything, table, keys, held)
+            copy_rejects(refused, table).write.json(f"{out.folder}/refused")
+            # the records' own lengths were written with them, so counts and bytes are those of the file
+            lines = spark.read.schema("line string, length long").json(f"{out.folder}/refused")
+            late, lost = lines.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+            _write(good_rows.select(*columns), table, out.rows)
+            out.size -= lost
+        out.bad += late
+        if out.bad and on_row_error == "stop":
+            raise StoppedOnReject(f"{table.source_name}: {out.bad} rows can't be {'loaded' if late else 'converted'}")
+        if out.bad > max_rejected:
+            raise RejectLimit(f"{table.source_name}: {out.bad} rejected rows exceed {max_rejected}")
+        if out.bad:
+            _records(out, made, late, found)
+            out.diagnostics.append(Diagnostic("CONVERSION_ROW_REJECTED", table.source_name, f"{out.bad} rows rejected", Severity.WARNING, "copy"))
+    except Exception:
+        report.status, report.unresolved_rows = Status.FAILED, out.total
+        out.discard()
+        raise
+    return out
+
+
+def _write(rows: DataFrame, table: TablePlan, where: str) -> None:
+    """Rows as Parquet; columns that the plan says are never null say so in their metadata, as files themselves don't keep it."""
+    solid = {c.target_name for c in table.columns if not c.nullable}
+    marked = [F.col(f"`{n}`").alias(n, metadata={NEVER_NULL: n in solid}) for n in rows.columns]
+    rows.select(*marked).write.parquet(where)
+
+
+def _records(out: Staged, made: DataFrame, late: int, found: dict[str, int]) -> None:
+    """Write the records of all rejects; lines of refused rows go to a file of their own, in the order of their offsets."""
+    spark, table = out.spark, out.table
+    frames = []
+    if found["bad"]:
+        again = Accounts(table)
+        rejects(again.watch(made), table).write.json(f"{out.folder}/conversion")
+        now = again.found()
+        if any(now[k] != found[k] for k in ("total", "bad", "mark")):
+            raise SourceChanged(f"{table.source_name}: the source has changed between two passes")
+        frames.append(spark.read.text(f"{out.folder}/conversion").select("value"))
+    if late:
+        # no more than the run allows rejects, so one task can give them their places in one file
+        lines = spark.read.json(f"{out.folder}/refused")
+        placed = lines.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("locator.ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        record = F.to_json(F.struct("version", "kind", "encoding", "table_id", "locator", "offset", "length", "reason"))
+        frames.append(placed.select(record.alias("value")))
+        in_order = lines.orderBy("locator.ordinal").select(F.expr("substring(line, 1, char_length(line) - 1)").alias("value"))
+        in_order.coalesce(1).write.text(f"{out.folder}/copy")
+    both = frames[0] if len(frames) == 1 else frames[0].unionAll(frames[1])
+    both.write.text(f"{out.folder}/jsonl")
+
+
+def load_table(rows: DataFrame, table: TablePlan, target: str, *, reject_dir: str | None = None, save_mode: str = "errorifexists", **options: object) -> Loaded:
+    """Stage and publish one table; rejects go to reject_dir as JSON lines, and what a key refused as copy text beside them."""
+    return stage_table(rows, table, target, **options).publish(save_mode, reject_dir)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.functions.convert import canonical_decimal
+from keelson.functions.convert import INTEGRAL, canonical_decimal
 from keelson.plans.model import ColumnPlan, Kind, TablePlan, Verified
 
 
@@ -42,7 +42,7 @@ def multiset_union(*frames: DataFrame) -> DataFrame:
     return out
 
 
-#: Transforms whose results can still be compared, by kind.
+#: Kinds that can be compared, and the transforms whose results still can.
 COMPARABLE = {
     Kind.SIGNED: {"year-to-integer", "tinyint-to-integer"},
     Kind.UNSIGNED: {"year-to-integer", "tinyint-to-integer"},
@@ -81,29 +81,43 @@ def unsupported_plan(mode: str, tables: list[TablePlan]) -> str | None:
     return None
 
 
-def canonical(value: Column, kind: Kind) -> Column:
-    """The form in which equal values of a kind are equal."""
+def common_type(kind: Kind, types: set[str]) -> str | None:
+    """The Spark type in which values of some types compare as numbers; None where they have to be canonical text, or as they are."""
     if kind in (Kind.SIGNED, Kind.UNSIGNED):
-        return value.cast("decimal(38,0)")
-    if kind == Kind.DECIMAL:
-        return canonical_decimal(value.cast("string"))
-    return value
+        return "bigint" if types <= set(INTEGRAL) else "decimal(38,0)"
+    if kind == Kind.DECIMAL and all(t.startswith("decimal(") for t in types):
+        sizes = [tuple(map(int, t[8:-1].split(","))) for t in types]
+        whole, part = max(p - s for p, s in sizes), max(s for _, s in sizes)
+        return f"decimal({whole + part},{part})" if whole + part <= 38 else None
+    return None
+
+
+def canonical_rows(columns: list[ColumnPlan], *frames: DataFrame) -> list[DataFrame]:
+    """Frames of the same columns with values in the form in which equal ones are equal."""
+    known = [dict(f.dtypes) for f in frames]
+    to = {c.target_name: common_type(c.kind, {k[c.target_name] for k in known}) for c in columns}
 
+    def canonical(c: ColumnPlan) -> Column:
+        value, kind = F.col(f"`{c.target_name}`"), to[c.target_name]
+        if kind:
+            return value.cast(kind)
+        return canonical_decimal(value.cast("string")) if c.kind == Kind.DECIMAL else value
 
-def canonical_rows(rows: DataFrame, columns: list[ColumnPlan]) -> DataFrame:
-    return rows.select(*(canonical(F.col(f"`{c.target_name}`"), c.kind).alias(c.target_name) for c in columns))
+    return [f.select(*(canonical(c).alias(c.target_name) for c in columns)) for f in frames]
 
 
-#: Tags of kinds in the framed form of a row.
-TAGS = {Kind.SIGNED: 1, Kind.UNSIGNED: 1, Kind.DECIMAL: 2, Kind.TEXT: 3, Kind.BOOLEAN: 4, Kind.BINARY: 5, Kind.DATE: 6, Kind.DATETIME: 7, Kind.TIMESTAMP: 8}
+#: Tags of kinds in the framed form of a row, the flags before a null and before a payload, and the bytes of a length.
+TAGS = {Kind.SIGNED: 1, Kind.UNSIGNED: 2, Kind.DECIMAL: 3, Kind.TEXT: 4, Kind.BOOLEAN: 5, Kind.BINARY: 6, Kind.DATE: 7, Kind.DATETIME: 8, Kind.TIMESTAMP: 9}
+NULL, GIVEN = "00", "01"
 
 
 def framed(fields: list[tuple[Kind, Column]]) -> Column:
-    """A row as text from which its fields can be told apart: tag, null flag, length in bytes, payload."""
+    """A row as bytes from which its fields can be told apart: tag, flag, length of 8 bytes (the greatest first), payload."""
     parts = []
-    for kind, text in fields:
-        tag = str(TAGS[kind])
-        parts.append(F.when(text.isNull(), F.lit(f"{tag}|1|")).otherwise(F.concat(F.lit(f"{tag}|0|"), F.octet_length(text).cast("string"), F.lit("|"), text)))
+    for kind, payload in fields:
+        tag, payload = f"{TAGS[kind]:02X}", payload.cast("binary")
+        size = F.unhex(F.lpad(F.hex(F.octet_length(payload).cast("long")), 16, "0"))
+        parts.append(F.when(payload.isNull(), F.unhex(F.lit(tag + NULL))).otherwise(F.concat(F.unhex(F.lit(tag + GIVEN)), size, payload)))
     return F.concat(*parts)
 
 
@@ -116,8 +130,6 @@ def compare_content(source: DataFrame, target: DataFrame, columns: list[ColumnPl
     for c in columns:
         if why := unsupported(c):
             return Comparison(Verified.UNSUPPORTED, reason=why)
-    ours = canonical_rows(source, columns)
-    if baseline is not None:
-        ours = multiset_union(ours, canonical_rows(baseline, columns))
-    equal, s, t = multiset_equal(ours, canonical_rows(target, columns))
+    theirs, *parts = canonical_rows(columns, target, source, *([baseline] if baseline is not None else []))
+    equal, s, t = multiset_equal(multiset_union(*parts), theirs)
     return Comparison(Verified.COMPLETE if equal else Verified.DIFFERENT, s, t, "" if equal else "rows differ")

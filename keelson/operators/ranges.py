@@ -78,7 +78,7 @@ def range_key(table: TablePlan, source: SourceTable) -> ColumnPlan | None:
 
 
 def ranged_scan(rows: DataFrame, table: TablePlan, source: SourceTable, span: int) -> tuple[list[DataFrame], list[Diagnostic]]:
-    """A scan for each range, or one full scan and a RANGE_FALLBACK warning where ranges don't apply."""
+    """A scan of a DataFrame for each range, or one full scan and a RANGE_FALLBACK warning where ranges don't apply; a server's table is read by predicates instead."""
     column = range_key(table, source)
     bounds = key_bounds(rows, column.source_name) if column else None
     ranges = list(integer_ranges(Bound(bounds[0]), Bound(bounds[1]), span)) if bounds else []

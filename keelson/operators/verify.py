@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keelson.operators import constraints, multiset
-from keelson.plans.model import MigrationPlan, RunReport, TablePlan, TableReport, VerificationReport, Verified
+from keelson.plans.model import Baseline, Kind, MigrationPlan, RunReport, TablePlan, TableReport, VerificationReport, Verified
 from keelson.plans.safe_expression import is_safe, to_spark
-from keelson.plans.types import spark_type
+from keelson.plans.target import Observed
+from keelson.plans.types import same_type, spark_type
 
 #: The graver verdict first.
 GRAVITY = (Verified.DIFFERENT, Verified.ERROR, Verified.UNSUPPORTED, Verified.COMPLETE)
@@ -108,9 +109,66 @@ def counts_check(t: TableReport, source_rows: int, target_rows: int, baseline: i
     return out
 
 
-def verify(plan: MigrationPlan, report: RunReport, source: Callable[[TablePlan], DataFrame], target: Callable[[str, str], DataFrame | None], *, baselines: dict[str, int] | None = None, baseline_rows: Callable[[TablePlan], DataFrame] | None = None, states: dict[str, dict[str, int]] | None = None) -> VerificationReport:
-    """Counts and schema of every table, and its rows too if the plan asks for content. Plan and report must name the same tables, once each."""
-    from keelson.operators.load import converted, good
+def column_differences(table: TablePlan, seen: Observed) -> tuple[list[str], list[str]]:
+    """(differences, what can't be told) between the planned columns and the observed ones: name, type, nullability, identity, generation, default, comment."""
+    from keelson.plans.defaults import same_default
+
+    out, unknown = [], []
+    if [c.target_name for c in table.columns] != [c.name for c in seen.columns]:
+        return [f"{table.target_name}: other columns than planned"], []
+    for want, have in zip(table.columns, seen.columns, strict=True):
+        name = f"{table.target_name}.{want.target_name}"
+        pairs = {
+            "nullability": (want.nullable, have.nullable), "identity": ("by_default" if want.identity else "", have.identity),
+            "generation": (want.generated_expression, have.generated), "comment": (want.comment or None, have.comment or None),
+        }
+        typed = want.target_type == have.type if want.kind == Kind.ENUM else same_type(want.target_type, have.type)
+        out += [f"{name}: another type"] if not typed else []
+        out += [f"{name}: another {what}" for what, (a, b) in pairs.items() if a != b]
+        if not want.identity and want.generated_expression is None:
+            verdict = same_default(want.default_sql, have.default, want)
+            (out if verdict == "different" else unknown).extend([f"{name}: the default is {verdict}"] if verdict != "equal" else [])
+    return out, unknown
+
+
+def object_differences(table: TablePlan, seen: Observed) -> list[str]:
+    """Planned indexes, foreign keys, checks, sequences and comment that weren't observed."""
+    want, name, out = table.structure, table.target_name, []
+    indexes = [(i.columns, i.unique or i.primary, i.primary, i.descending) for i in seen.indexes]
+    out += [f"{name}.{i.name}: no index has these keys" for i in want.indexes if (i.columns, i.unique or i.primary, i.primary, i.descending) not in indexes]
+    keys = [(c.columns, tuple(c.referenced or ()), c.referenced_columns, c.on_update, c.on_delete) for c in seen.constraints if c.kind == "f"]
+    out += [f"{name}.{f.name}: no foreign key is the same" for f in want.foreign_keys if (f.columns, (f.referenced_schema, f.referenced_table), f.referenced_columns, f.on_update, f.on_delete) not in keys]
+    checks = [c.expression for c in seen.constraints if c.kind == "c"]
+    out += [f"{name}.{c.name}: no check is the same" for c in want.checks if c.expression not in checks]
+    sequences = [(q.column, q.increment, q.minimum, q.maximum, q.cache, q.cycle) for q in seen.sequences]
+    out += [f"{name}.{q.column}: the sequence has other options" for q in want.sequences if (q.column, q.increment, q.min_value, q.max_value, 1, q.cycle) not in sequences]
+    return out + ([f"{name}: another comment"] if want.comment and want.comment != seen.comment else [])
+
+
+def enforced_keys(plan: MigrationPlan, table: TablePlan, held: DataFrame | None) -> list[list[str]]:
+    """Keys that a table has while it is loaded: those of a table that stays and isn't made by the run. Rows that they refuse are rejects."""
+    there = plan.on_existing == "truncate" or (plan.on_existing == "append" and held is not None)
+    return [k for k, _ in constraints.unique_keys(table)] if there and plan.mode == "data_only" else []
+
+
+def loaded_rows(made: DataFrame, plan: MigrationPlan, table: TablePlan, held: DataFrame | None) -> DataFrame:
+    """What a run keeps of converted rows."""
+    from keelson.operators.load import ORDINAL, PROBLEMS, duplicates, good
+
+    if keys := enforced_keys(plan, table, held):
+        names = [c.target_name for c in table.columns if c.target_name in made.columns]
+        kept, _ = duplicates(made.where(F.size(PROBLEMS) == 0).select(*(f"`{n}`" for n in names), ORDINAL), table, keys, held)
+        return kept.drop(ORDINAL)
+    return good(made, table)
+
+
+def verify(plan: MigrationPlan, report: RunReport, source: Callable[[TablePlan], DataFrame], target: Callable[[str, str], DataFrame | None], *, held: Callable[[Baseline | None], DataFrame | None] = lambda b: None, states: dict[str, dict[str, int]] | None = None, observed: Callable[[TablePlan], Observed | None] = lambda t: None) -> VerificationReport:
+    """Counts and schema of every table, and its rows too if the plan asks for content. Plan and report must name the same tables, once each.
+
+    held: the rows that a baseline of the report stands for; states: the next values of each table's sequences; observed: the
+    structure of the target's table where one is known, which is then held against the plan's beside what the rows themselves show.
+    """
+    from keelson.operators.load import converted
 
     out = VerificationReport(plan.verification)
     if plan.verification == "none":
@@ -129,28 +187,34 @@ def verify(plan: MigrationPlan, report: RunReport, source: Callable[[TablePlan],
             verdicts.append(Verified.DIFFERENT if rows is None else Verified.UNSUPPORTED)
             out.differences.append(f"{t.target_name}: {'missing' if rows is None else 'its expected structure is incomplete'}")
             continue
+        before = report.baselines.get(t.id)
         found = schema_differences(t, rows)
         if plan.mode != "schema_only":
-            found += null_differences(t, rows) + counts_check(reports[t.id], source(t).count(), rows.count(), (baselines or {}).get(t.id, 0))
+            found += null_differences(t, rows) + counts_check(reports[t.id], source(t).count(), rows.count(), before.rows if before else 0)
         verdicts.append(Verified.DIFFERENT if found else Verified.COMPLETE)
         out.differences += found
         checks = [primary_key_check(t, rows), structure_check(t, rows, target)]
-        if t.structure.sequences and states is not None:
+        if t.structure.sequences and plan.reset_sequences and states is not None:
             checks.append(sequence_check(t, rows, states.get(t.id, {})))
+        if plan.mode == "full" and (seen := observed(t)) is not None:
+            wrong, unknown = column_differences(t, seen)
+            wrong += object_differences(t, seen)
+            checks += [(Verified.DIFFERENT if wrong else Verified.UNSUPPORTED if unknown else Verified.COMPLETE, wrong + unknown)]
         for verdict, said in checks:
             verdicts.append(verdict)
             out.differences += said
         if plan.verification == "content":
-            made = converted(source(t), t)
+            made, theirs = converted(source(t), t, plan.max_row_bytes), held(before)
             if reports[t.id].rejected_rows == 0 and made.where(F.size("_problems") > 0).limit(1).count():
                 verdicts.append(Verified.DIFFERENT)
                 out.differences.append(f"{t.source_name}: the source has rows that can't be converted")
+            elif before and before.rows and theirs is None:
+                verdicts.append(Verified.UNSUPPORTED)
+                out.differences.append(f"{t.source_name}: what the target held before can't be read")
             else:
-                c = multiset.compare_content(good(made, t), rows, t.copied, baseline_rows(t) if baseline_rows else None)
+                c = multiset.compare_content(loaded_rows(made, plan, t, theirs), rows, t.copied, theirs)
                 verdicts.append(c.status)
                 out.differences += [f"{t.source_name}: {c.reason}"] if c.reason else []
         out.tables_checked += 1
     out.status = graver(*verdicts)
     return out
-
-

@@ -358,9 +358,9 @@ SELECT count(*) FILTER (rn = 1) AS n_kept, count(*) FILTER (rn > 1) AS n_duplica
 FROM (SELECT ord, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY ord) AS rn FROM (SELECT *, CAST(l_partkey * 100000 + l_suppkey * 10 + l_linenumber AS BIGINT) AS ord FROM lineitem))""")
 def duplicate_key_first_wins(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", n(F.col("l_partkey") * 100000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    kept = load.first_by_window(rows, ["l_orderkey", "l_linenumber"], ["ord"])
-    total = rows.agg(F.count("*").alias("n"))
-    return kept.agg(F.count("*").alias("n_kept"), F.sum("ord").alias("kept_ordinals")).join(total).select("n_kept", (F.col("n") - F.col("n_kept")).alias("n_duplicates"), "kept_ordinals")
+    kept, late = load.first_wins(rows, ["l_orderkey", "l_linenumber"], "ord")
+    both = kept.withColumn("kept", F.lit(True)).unionAll(late.withColumn("kept", F.lit(False)))
+    return both.agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_duplicates"), F.sum(F.when(F.col("kept"), F.col("ord"))).alias("kept_ordinals"))
 
 
 # Keys, foreign keys, checks and sequences
@@ -397,10 +397,6 @@ def identity_floor(spark, sf_dir):
 # Multisets and content
 
 
-def order_facts(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority", F.floor(F.col("o_totalprice") / 10000).cast("int").alias("band"))
-
-
 FACTS = "SELECT o_orderstatus, o_orderpriority, CAST(floor(o_totalprice / 10000) AS INTEGER) AS band FROM orders"
 
 
@@ -442,9 +438,15 @@ def canonical_decimals(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", canonical_decimal(raw).alias("value"))
 
 
-@query("""
-SELECT 'region' AS table_name, CAST(r_regionkey AS BIGINT) AS key, sha256('1|0|' || strlen(CAST(r_regionkey AS VARCHAR)) || '|' || r_regionkey || '3|0|' || strlen(r_name) || '|' || r_name) AS digest FROM region
-UNION ALL SELECT 'nation', n_nationkey, sha256('1|0|' || strlen(CAST(n_nationkey AS VARCHAR)) || '|' || n_nationkey || '3|0|' || strlen(n_name) || '|' || n_name) FROM nation""")
+FRAME = "'{tag}01' || format('{{:016X}}', strlen({x})) || hex(encode({x}))"
+
+
+def _digest_sql(table: str, key: str, name: str) -> str:
+    shown = FRAME.format(tag="01", x=f"CAST({key} AS VARCHAR)") + " || " + FRAME.format(tag="04", x=name)
+    return f"SELECT '{table}' AS table_name, CAST({key} AS BIGINT) AS key, sha256(unhex({shown})) AS digest FROM {table}"
+
+
+@query(_digest_sql("region", "r_regionkey", "r_name") + " UNION ALL " + _digest_sql("nation", "n_nationkey", "n_name"))
 def canonical_row_digest(spark, sf_dir):
     def of(name, key, label):
         d = multiset.row_digest([(Kind.SIGNED, F.col(key).cast("string")), (Kind.TEXT, F.col(label))])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
+from keelson.operators import fulltext
 from keelson.plans.defaults import same_default
 from keelson.plans.model import Kind, Severity, TablePlan
 from keelson.plans.target import Graph, Observed, ObservedConstraint, ObservedIndex
@@ -120,7 +121,7 @@ def _fits(want, have: ObservedIndex) -> bool:
     if not have.plain or (want.unique, want.primary) != (have.unique, have.primary):
         return False
     if want.fulltext_columns:
-        return have.method == "gin" and have.expressions == want.expressions
+        return have.method == "gin" and len(have.expressions) == 1 and fulltext.is_expression(have.expressions[0] or "", want.fulltext_columns)
     keys = [c for c in have.columns if c is not None]
     return have.method == "btree" and keys == want.columns and have.descending == want.descending and [e for e in have.expressions if e] == [e for e in want.expressions if e]
 

@@ -286,6 +286,15 @@ class MigrationPlan:
     exclusions: list[str] = field(default_factory=list)
     transformations: list[str] = field(default_factory=list)
     hooks: list[HookPlan] = field(default_factory=list)
+    max_row_bytes: int | None = None
+
+
+@dataclass
+class Baseline:
+    """What a table held before a run appended to it."""
+
+    rows: int
+    files: list[str]
 
 
 @dataclass
@@ -332,6 +341,9 @@ class RunReport:
     diagnostics: list[Diagnostic] = field(default_factory=list)
     exclusions: list[str] = field(default_factory=list)
     failed_steps: list[str] = field(default_factory=list)
+    baselines: dict[str, Baseline] = field(default_factory=dict)
+    sequences: dict[str, dict[str, int]] = field(default_factory=dict)
+    phases: list[list] = field(default_factory=list)  # name, first and last millisecond
     elapsed_millis: int = 0
     artifact_dir: str = ""
 
@@ -375,7 +387,7 @@ def from_dict(cls: type, data: Any) -> Any:
         if origin is list:
             return [build(args[0], i) for i in x]
         if origin is dict:
-            return dict(x)
+            return {k: build(args[1], v) for k, v in x.items()}
         if dataclasses.is_dataclass(kind):
             return from_dict(kind, x)
         if isinstance(kind, type) and issubclass(kind, StrEnum):

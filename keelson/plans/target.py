@@ -141,6 +141,39 @@ class Graph:
         return len(set(ids)) == len(ids) and all(e.shared or (e.dependent in set(ids) and e.reference in set(ids)) for e in self.edges)
 
 
+def observed_of(table, oid: int, states: dict[str, int]) -> Observed:
+    """What a table that was made by its plan looks like; states: next values of its sequences."""
+    target = {c.source_name: c.target_name for c in table.columns}
+    primary = [target[k] for k in table.primary_key]
+    want = table.structure
+    columns = [ObservedColumn(c.target_name, c.target_type, c.nullable, c.default_sql, "by_default" if c.identity else "", c.generated_expression, c.comment) for c in table.columns]
+    indexes = [ObservedIndex(i.name, list(i.columns), list(i.descending), i.unique, i.primary, list(i.expressions), "gin" if i.fulltext_columns else "btree") for i in want.indexes]
+    if primary and not any(i.primary for i in indexes):
+        indexes.append(ObservedIndex(f"{table.target_name}_pkey", primary, [False] * len(primary), True, True))
+    constraints = [ObservedConstraint(i.name, "p" if i.primary else "u", [c for c in i.columns if c]) for i in indexes if i.primary]
+    constraints += [ObservedConstraint(f.name, "f", f.columns, None, (f.referenced_schema, f.referenced_table), f.referenced_columns, f.on_update, f.on_delete) for f in want.foreign_keys]
+    constraints += [ObservedConstraint(c.name, "c", [], c.expression) for c in want.checks]
+    sequences = [ObservedSequence(q.column, states.get(q.column, q.min_value), False, q.increment, q.min_value, q.max_value) for q in want.sequences]
+    return Observed(oid, columns, indexes, constraints, sequences, comment=want.comment)
+
+
+def graph_of(tables: list[TargetTable]) -> Graph:
+    """The dependencies of tables that have only what was observed of them: indexes and constraints go with their table, foreign keys need their parent."""
+    roots = {(t.schema, t.name): f"class:{t.observed.oid}" for t in tables}
+    nodes, edges = [], []
+    for t in tables:
+        root, oid = roots[t.schema, t.name], t.observed.oid
+        nodes.append(Node(root, "class", t.name, oid, relation_root=True))
+        parts = [("class", i.name, None) for i in t.observed.indexes] + [("constraint", c.name, c) for c in t.observed.constraints]
+        for kind, name, constraint in parts:
+            node = Node(f"{kind}:{oid}:{name}", kind, name, oid, constraint_kind=constraint.kind if constraint else None)
+            nodes.append(node)
+            edges.append(Edge(node.id, root, "a"))
+            if constraint and constraint.kind == "f" and (parent := roots.get(tuple(constraint.referenced))):
+                edges.append(Edge(node.id, parent, "n"))
+    return Graph(nodes, edges)
+
+
 @dataclass
 class TargetCatalog:
     server_version: str | None = "17.0"

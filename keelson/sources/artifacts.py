@@ -14,7 +14,7 @@ from urllib.parse import urlsplit
 
 from pyspark.sql import SparkSession
 
-from keelson.plans.model import HookPlan, MigrationPlan, RunReport, from_dict, to_json
+from keelson.plans.model import HookPlan, MigrationPlan, RunReport, Status, from_dict, to_json
 
 SECRET = re.compile(r"\b(password|passwd|pwd|token|secret)(\s*[=:]\s*)(\"[^\"]*\"|'[^']*'|[^\s,;&]+)", re.I)
 
@@ -58,8 +58,8 @@ class SavedRunError(ValueError):
     pass
 
 
-def saved_run(folder: str | Path) -> tuple[MigrationPlan, RunReport]:
-    """Plan and report of a run, if they belong together and the run is complete."""
+def saved_run(folder: str | Path, source_digest: str = "", target_digest: str = "") -> tuple[MigrationPlan, RunReport]:
+    """Plan and report of a run, if they belong together, are of this version and complete, and name the endpoints that are given."""
     folder = Path(folder)
     text = (folder / "plan.json").read_text("utf-8")
     plan, report = from_dict(MigrationPlan, json.loads(text)), from_dict(RunReport, json.loads((folder / "report.json").read_text("utf-8")))
@@ -67,8 +67,15 @@ def saved_run(folder: str | Path) -> tuple[MigrationPlan, RunReport]:
         raise SavedRunError("the report belongs to another folder")
     if hashlib.sha256(text.encode()).hexdigest() != report.plan_sha256:
         raise SavedRunError("the plan isn't the one that ran")
-    if {t.id for t in plan.tables} != {t.id for t in report.tables}:
+    if {t.id for t in plan.tables} != {t.id for t in report.tables} or (plan.mode, plan.consistency) != (report.mode, report.consistency):
         raise SavedRunError("plan and report have other tables")
+    if (plan.version, report.version) != (1, 1):
+        raise SavedRunError("the run is of another version")
+    if any(t.status not in (Status.COMPLETE, Status.PARTIAL) for t in report.tables):
+        raise SavedRunError("the run didn't load all of its tables")
+    for side, now, then in (("source", source_digest, report.source_endpoint_sha256), ("target", target_digest, report.target_endpoint_sha256)):
+        if now and then and now != then:
+            raise SavedRunError(f"the run was made with another {side}")
     return plan, report
 
 
@@ -81,12 +88,20 @@ def endpoint_digest(url: str) -> str:
 
 
 def resolve_url(url_env: str | None, url_file: str | None, environment: dict[str, str] = os.environ) -> str:
-    text = environment.get(url_env) if url_env else Path(url_file).read_text("utf-8").strip()
+    text = environment.get(url_env) if url_env else Path(url_file).read_text("utf-8").strip()  # a name that isn't set gives nothing
     if not text:
         raise ValueError("the credential reference gives nothing")
     return text
 
 
+def known_digest(endpoint) -> str:
+    """The digest of a configured endpoint's address, or nothing where its reference gives none."""
+    try:
+        return endpoint_digest(resolve_url(endpoint.url_env, endpoint.url_file))
+    except (KeyError, OSError, ValueError):
+        return ""
+
+
 def run_hooks(spark: SparkSession, hooks: list[HookPlan], before: bool) -> None:
     """Run reviewed SQL files, one statement for each line that ends with a semicolon; a file that has changed since planning is refused."""
     for h in (h for h in hooks if h.before == before):

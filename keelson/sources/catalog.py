@@ -10,7 +10,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.plans.model import IndexPart, SourceCatalog, SourceCheck, SourceColumn, SourceForeignKey, SourceIndex, SourceTable, from_dict, to_json
+from keelson.plans.model import IndexPart, SourceCatalog, SourceCheck, SourceColumn, SourceForeignKey, SourceIndex, SourceTable, UnsupportedObject, from_dict, to_json
 from keelson.plans.target import TargetCatalog
 
 
@@ -42,25 +42,74 @@ def facts(spark: SparkSession, source: SourceCatalog) -> dict[str, DataFrame]:
     return {k: spark.createDataFrame(data, kind) for k, (kind, data) in rows.items()}
 
 
-def from_facts(database: str, columns: DataFrame, index_parts: DataFrame | None = None, fk_parts: DataFrame | None = None, checks: DataFrame | None = None) -> SourceCatalog:
-    """A catalogue from flat facts, as information_schema queries give them; names and numbers only, so small."""
+class FactError(ValueError):
+    """Facts that contradict each other."""
+
+
+def _in_order(parts: list[int], what: str) -> None:
+    if parts != list(range(1, len(parts) + 1)):
+        raise FactError(f"{what}: its parts are numbered {parts}")
+
+
+def from_facts(database: str, columns: DataFrame, index_parts: DataFrame | None = None, fk_parts: DataFrame | None = None, checks: DataFrame | None = None, tables: DataFrame | None = None, unsupported: DataFrame | None = None) -> SourceCatalog:
+    """A catalogue from flat facts, as information_schema queries give them; names and numbers only, so small.
+
+    Facts have to agree: parts are numbered from 1 without gaps, and belong to columns and tables that are there.
+    """
+    found = _tables(columns, tables)
+    out = _structure(database, found, index_parts, fk_parts, checks)
+    for t in out.tables:
+        names = [c.name for c in t.columns]
+        _in_order(sorted(c.ordinal for c in t.columns), t.name)
+        if len(set(names)) != len(names):
+            raise FactError(f"{t.name}: a column is named twice")
+        for what, used in [(i.name, [p.column for p in i.parts]) for i in t.indexes] + [(f.name, f.columns) for f in t.foreign_keys]:
+            if unknown := [u for u in used if u is not None and u not in names]:
+                raise FactError(f"{t.name}.{what}: no columns {unknown}")
+    if unsupported is not None:
+        out.unsupported_objects = [UnsupportedObject(r.kind, r.object, r.reason) for r in unsupported_objects(unsupported).collect()]
+    return out
+
+
+def _tables(columns: DataFrame, facts: DataFrame | None) -> dict[str, SourceTable]:
     tables: dict[str, SourceTable] = {}
     for r in columns.orderBy("table_name", "ordinal").collect():
         d = r.asDict()
         extra = {k: d[k] for k in d if k in {f.name for f in dataclasses.fields(SourceColumn)} and k not in ("name", "ordinal")}
         tables.setdefault(r.table_name, SourceTable(r.table_name, [])).columns.append(SourceColumn(r.column_name, r.ordinal, **extra))
+    for r in facts.collect() if facts is not None else ():
+        if r.table_name not in tables:
+            raise FactError(f"{r.table_name}: a table without columns")
+        known = {k: v for k, v in r.asDict().items() if k in ("engine", "is_view", "estimated_rows", "next_auto_increment", "comment") and v is not None}
+        known["is_view"] = bool(known.get("is_view"))
+        for k, v in known.items():
+            setattr(tables[r.table_name], k, v)
+    return tables
+
+
+def _structure(database: str, tables: dict[str, SourceTable], index_parts: DataFrame | None, fk_parts: DataFrame | None, checks: DataFrame | None) -> SourceCatalog:
+    def owner(name: str) -> SourceTable:
+        if name not in tables:
+            raise FactError(f"{name}: facts of an unknown table")
+        return tables[name]
+
     parts: dict[tuple, list] = defaultdict(list)
     for r in index_parts.orderBy("table_name", "index_name", "position").collect() if index_parts is not None else ():
-        parts[r.table_name, r.index_name, r.is_unique, r.is_primary, r.kind].append(IndexPart(r.column_name))
+        key = (r.table_name, r.index_name, bool(r.is_unique), bool(r.is_primary), r.kind)
+        parts[key].append(IndexPart(r.column_name, prefix_length=r.asDict().get("prefix_length")))
+        _in_order([*range(1, len(parts[key])), r.position], r.index_name)
     for (t, name, unique, primary, kind), p in parts.items():
-        tables[t].indexes.append(SourceIndex(name, p, unique and not primary, primary, kind))
+        owner(t).indexes.append(SourceIndex(name, p, unique and not primary, primary, kind))
     keys: dict[tuple, list] = defaultdict(list)
     for r in fk_parts.orderBy("table_name", "constraint_name", "position").collect() if fk_parts is not None else ():
-        keys[r.table_name, r.constraint_name, r.referenced_table].append((r.column_name, r.referenced_column))
-    for (t, name, parent), pairs in keys.items():
-        tables[t].foreign_keys.append(SourceForeignKey(name, [a for a, _ in pairs], database, parent, [b for _, b in pairs]))
+        d = r.asDict()
+        key = (r.table_name, r.constraint_name, d.get("referenced_schema") or database, r.referenced_table, d.get("on_update") or "RESTRICT", d.get("on_delete") or "RESTRICT")
+        keys[key].append((r.column_name, r.referenced_column))
+        _in_order([*range(1, len(keys[key])), r.position], r.constraint_name)
+    for (t, name, schema, parent, update, delete), pairs in keys.items():
+        owner(t).foreign_keys.append(SourceForeignKey(name, [a for a, _ in pairs], schema, parent, [b for _, b in pairs], update, delete))
     for r in checks.collect() if checks is not None else ():
-        tables[r.table_name].checks.append(SourceCheck(r.constraint_name, r.expression, r.enforced))
+        owner(r.table_name).checks.append(SourceCheck(r.constraint_name, r.expression, bool(r.enforced)))
     return SourceCatalog(database, [tables[k] for k in sorted(tables)])
 
 

@@ -263,6 +263,7 @@ def _endpoint(e: Endpoint, side: str) -> None:
             raise ConfigError(where, "must be a whole number")
 
 
+#: Target types that a rule may name.
 TARGET_TYPE = re.compile(
     r"(?:(smallint|integer|int|bigint|real|double precision|boolean|bool|bytea|text|jsonb|uuid|inet|date|money|numeric|decimal"
     r"|char|character|varchar|character varying|bit|bit varying|varbit|timestamptz|timetz|interval)(\(\d+(,\d+)?\))?"
@@ -299,6 +300,7 @@ def check_fragment(text: str, where: str) -> None:
         raise ConfigError(where, "must be one expression without comments or dollar quotes")
 
 
+#: Types of the source.
 SOURCE_TYPES = frozenset(
     "tinyint smallint mediumint int integer bigint decimal numeric float double real bit boolean bool char varchar tinytext text mediumtext longtext"
     " binary varbinary tinyblob blob mediumblob longblob date datetime timestamp time year enum set json geometry point linestring polygon"

@@ -1,15 +1,26 @@
-"""Reading from and writing to database servers by Spark's JDBC source. No server or driver was at hand when this was written; only the texts and options are tested."""
+"""Reading from and writing to database servers by Spark's JDBC source.
+
+No server or driver is at hand where this is tested: statements, options and partition predicates are, and reading through a
+reader that stands in for Spark's.
+"""
 
 from __future__ import annotations
 
+import os
 import re
-from urllib.parse import unquote, urlsplit
+import stat
+import time
+from collections.abc import Callable
+from urllib.parse import unquote, urlencode, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keelson.plans.model import ColumnPlan, Kind, SourceColumn, TablePlan
+from keelson.functions import encode
+from keelson.operators import ranges
+from keelson.plans.model import ColumnPlan, Diagnostic, Kind, Severity, SourceCatalog, SourceColumn, SourceTable, TablePlan
 from keelson.plans.names import spark_quote
-from keelson.sources.config import Config
+from keelson.sources.config import Config, Endpoint
 
 
 class ServerRefused(ValueError):
@@ -49,49 +60,208 @@ def select_sql(database: str, table: str, columns: list[SourceColumn], where: st
     return f"SELECT {', '.join(projection(columns))} FROM {spark_quote(database)}.{spark_quote(table)}{tail}"
 
 
+#: Key stores that the source's driver reads, by the ending of their names.
+STORES = {".p12": "PKCS12", ".pfx": "PKCS12", ".jks": "JKS"}
+
+
+def _store(path: str) -> tuple[str, str]:
+    kind = STORES.get(os.path.splitext(path)[1].lower())
+    if kind is None:
+        raise ServerRefused(f"{os.path.basename(path)}: the source's driver reads certificates from .p12, .pfx or .jks files")
+    return f"file:{path}", kind
+
+
+def _source_tls(e: Endpoint) -> dict[str, str]:
+    if e.tls_mode != "verify_full":
+        return {"sslMode": "DISABLED"}
+    out = {"sslMode": "VERIFY_IDENTITY"}
+    for path, name in ((e.ca_file, "trust"), (e.client_cert, "client")):
+        if path:
+            out[f"{name}CertificateKeyStoreUrl"], out[f"{name}CertificateKeyStoreType"] = _store(path)
+    return out
+
+
+def packet_bytes(max_row_bytes: int) -> int:
+    """A row's bound and 64 KiB, from 1 KiB to 1 GiB."""
+    return min(max(max_row_bytes + (64 << 10), 1 << 10), 1 << 30)
+
+
 def read_options(url: str, config: Config) -> dict[str, str]:
-    """Options of the reader: address, encryption, UTC session, packet limit."""
+    """Options of the reader: address, encryption, ten seconds to connect, UTC session, packet limit."""
     u = urlsplit(url)
-    tls = "VERIFY_IDENTITY" if config.source.tls_mode == "verify_full" else "DISABLED"
-    packet = min(max(config.migration.max_row_bytes + (64 << 10), 1 << 10), 1 << 30)
     session = {"time_zone": "+00:00", **config.source.session}
     given = ", ".join(f"SESSION {k} = {v if v.isdigit() else repr(v)}" for k, v in sorted(session.items()))
+    more = {
+        **_source_tls(config.source), "connectTimeout": "10000", "maxAllowedPacket": str(packet_bytes(config.migration.max_row_bytes)),
+        "zeroDateTimeBehavior": "ROUND", "tinyInt1isBit": "false", "yearIsDateType": "false", "useCursorFetch": "true",
+    }
     return {
-        "url": f"jdbc:mysql://{u.hostname}:{u.port or 3306}{u.path}?sslMode={tls}&connectTimeout=10000&maxAllowedPacket={packet}&zeroDateTimeBehavior=ROUND&tinyInt1isBit=false&yearIsDateType=false",
+        "url": f"jdbc:mysql://{u.hostname}:{u.port or 3306}{u.path}?{urlencode(more)}",
         "user": unquote(u.username or ""), "password": unquote(u.password or ""), "sessionInitStatement": f"SET {given}", "fetchsize": str(config.migration.batch_rows),
     }
 
 
-def read_table(spark: SparkSession, options: dict[str, str], database: str, table: str, columns: list[SourceColumn], predicates: list[str] | None = None) -> DataFrame:
-    """A table by one query, or by one for each predicate, in as many partitions."""
-    queries = [select_sql(database, table, columns, p) for p in predicates or [""]]
-    frames = [spark.read.format("jdbc").options(**options).option("query", q).load() for q in queries]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+Query = Callable[[str], DataFrame]
+
+
+def reader(spark: SparkSession, options: dict[str, str]) -> Query:
+    """A query of the server as a DataFrame."""
+    return lambda text: spark.read.format("jdbc").options(**options).option("query", text).load()
+
+
+def table_reader(spark: SparkSession, options: dict[str, str]) -> Callable[[str, list[str]], DataFrame]:
+    """A query as a table with a partition for each predicate, in one scan; in one partition without any."""
+    known = {k: v for k, v in options.items() if k != "url"}
+
+    def read(query: str, predicates: list[str]) -> DataFrame:
+        return spark.read.jdbc(options["url"], f"({query}) AS source_rows", predicates=predicates or ["1 = 1"], properties=known)
+
+    return read
+
+
+def scan(query: Query, read: Callable[[str, list[str]], DataFrame], database: str, table: TablePlan, source: SourceTable, readers: int, span: int | None) -> tuple[DataFrame, list[Diagnostic]]:
+    """A table's rows in one scan: by closed ranges of its key where several readers are asked for and the key allows it, else whole, with a warning.
+
+    Ranges are predicates of partitions, so the server's key index serves each, and Spark decides when each is read.
+    """
+    columns = [c for c in source.columns if any(p.source_name == c.name for p in table.copied)]
+    text = select_sql(database, source.name, columns)
+    if readers < 2:
+        return read(text, []), []
+    key, bounds = ranges.range_key(table, source), None
+    if key is not None:
+        low, high = query(bounds_sql(database, source.name, key.source_name)).first()
+        bounds = None if low is None else (ranges.Bound(int(low), key.kind == Kind.UNSIGNED), ranges.Bound(int(high), key.kind == Kind.UNSIGNED))
+    parts = list(ranges.integer_ranges(*bounds, span)) if bounds else []
+    if len(parts) < 2:
+        why = "no single non-null integer primary key" if key is None else "empty table" if not bounds else "a single range"
+        return read(text, []), [Diagnostic("RANGE_FALLBACK", table.source_name, f"full scan: {why}", Severity.WARNING, "copy")]
+    return read(text, ranges.jdbc_predicates(key.source_name, iter(parts))), []
+
+
+def source_tables(spark: SparkSession, url: str, config: Config, catalog: SourceCatalog, say: Callable[[Diagnostic], None]) -> Callable[[TablePlan], DataFrame]:
+    """What a run reads its tables with."""
+    options, m = read_options(url, config), config.migration
+    known = {t.name: t for t in catalog.tables}
 
+    def rows(table: TablePlan) -> DataFrame:
+        made, said = scan(reader(spark, options), table_reader(spark, options), catalog.database, table, known[table.source_name], m.readers_per_table, m.max_key_span)
+        for d in said:
+            say(d)
+        return made
 
-def write_columns(table: TablePlan) -> list[tuple[str, str]]:
+    return rows
+
+
+def write_columns(table: TablePlan) -> list[tuple[str, object]]:
     """(column, expression) to give the target what its driver takes as text."""
 
-    def one(c: ColumnPlan) -> str:
-        q = spark_quote(c.target_name)
-        return f"concat('{{', array_join({q}, ','), '}}')" if c.kind == Kind.SET else f"cast({q} as string)" if c.kind in (Kind.INTERVAL,) else q
+    def one(c: ColumnPlan):
+        value = F.col(spark_quote(c.target_name))
+        return encode.field(value, c.kind) if c.kind in (Kind.SET, Kind.INTERVAL) else value
 
     return [(c.target_name, one(c)) for c in table.copied]
 
 
+def passfile_password(path: str, host: str, port: int, database: str, user: str) -> str | None:
+    """The password of the first line (host:port:database:user:password, a star for any) that fits; the file must be its owner's alone."""
+    if os.stat(path).st_mode & (stat.S_IRWXG | stat.S_IRWXO):
+        raise ServerRefused("a passfile must be readable by its owner only")
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            fields = [re.sub(r"\\(.)", r"\1", x) for x in re.findall(r"((?:\\.|[^:\\])*)(?::|$)", line.rstrip("\n"))][:5]
+            if not line.startswith("#") and len(fields) == 5 and all(x in ("*", y) for x, y in zip(fields, (host, str(port), database, user), strict=False)):
+                return fields[4]
+    return None
+
+
 def write_options(url: str, config: Config, table: TablePlan) -> dict[str, str]:
-    u = urlsplit(url)
-    tls = "verify-full" if config.target.tls_mode == "verify_full" else "disable"
+    """Options of the writer: address, encryption, ten seconds to connect, a session in UTC with fixed formats."""
+    u, e = urlsplit(url), config.target
+    port, user, database = u.port or 5432, unquote(u.username or ""), unquote(u.path.lstrip("/"))
+    if not u.hostname or "," in u.netloc:
+        raise ServerRefused("the target needs one TCP host")
+    more = {"sslmode": "verify-full" if e.tls_mode == "verify_full" else "disable", "connectTimeout": "10", "stringtype": "unspecified"}
+    more |= {k: v for k, v in (("sslrootcert", e.ca_file), ("sslcert", e.client_cert), ("sslkey", e.client_key)) if v}
+    session = {"TimeZone": "UTC", "DateStyle": "ISO,YMD", "standard_conforming_strings": "on", **{k: v for k, v in e.session.items() if k not in ("timezone", "datestyle", "standard_conforming_strings")}}
+    more["options"] = " ".join(f"-c {k}={v}" for k, v in session.items())
+    password = unquote(u.password) if u.password is not None else passfile_password(e.passfile, u.hostname, port, database, user) if e.passfile else ""
+    quoted = ".".join('"' + x.replace('"', '""') + '"' for x in (table.target_schema, table.target_name))
     return {
-        "url": f"jdbc:postgresql://{u.hostname}:{u.port or 5432}{u.path}?sslmode={tls}&connectTimeout=10&stringtype=unspecified&options=-c%20TimeZone=UTC%20-c%20DateStyle=ISO,YMD%20-c%20standard_conforming_strings=on",
-        "user": unquote(u.username or ""), "password": unquote(u.password or ""), "batchsize": str(config.migration.batch_rows),
-        "dbtable": f'"{table.target_schema}"."{table.target_name}"', "isolationLevel": "READ_COMMITTED",
+        "url": f"jdbc:postgresql://{u.hostname}:{port}/{database}?{urlencode(more)}", "user": user, "password": password or "", "batchsize": str(config.migration.batch_rows),
+        "dbtable": quoted, "isolationLevel": "READ_COMMITTED",
     }
 
 
+#: States in which a transaction may be tried again, how often, and the pause before each try in seconds for each earlier one.
+TRANSIENT, ATTEMPTS, PAUSE = ("40001", "40P01"), 3, 0.02
+
+
+def retried(write: Callable[[], None], sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run a write again while the server says that it may be; returns the attempts."""
+    for attempt in range(1, ATTEMPTS + 1):
+        try:
+            write()
+            return attempt
+        except Exception as e:
+            if attempt == ATTEMPTS or not any(re.search(rf"\b{code}\b", str(e)) for code in TRANSIENT):
+                raise
+            sleep(PAUSE * attempt)
+    raise AssertionError
+
+
+def write_table(rows: DataFrame, url: str, config: Config, table: TablePlan) -> int:
+    """Append converted rows to a table of the target server."""
+    out = rows.select(*(value.alias(name) for name, value in write_columns(table)))
+    return retried(lambda: out.write.format("jdbc").options(**write_options(url, config, table)).mode("append").save())
+
+
+LITERAL_DEFAULTS = ("char", "varchar", "enum", "set")
+
+
+def default_probe(database: str, table: str, column: SourceColumn) -> str | None:
+    """The statement that reads a column's literal default as it is, since the catalogue cuts it at NUL and replaces rare characters; None where it needn't be read.
+
+    An aggregate gives a row for an empty table too.
+    """
+    kind = column.data_type.lower()
+    binary = kind in ("binary", "varbinary")
+    if column.default is None or column.default_is_expression or column.generation_expression or not (binary or kind in LITERAL_DEFAULTS):
+        return None
+    value = f"DEFAULT(probed.{spark_quote(column.name)})"
+    shown = "NULL AS text" if binary else f"CONVERT({value} USING utf8mb4) AS text"
+    source = f"{spark_quote(database)}.{spark_quote(table)} AS probed"
+    return f"(SELECT {shown}, HEX({value}) AS bytes FROM {source} LIMIT 1) UNION ALL (SELECT {shown}, HEX({value}) AS bytes FROM {source} HAVING COUNT(*) = 0) LIMIT 1"
+
+
+def recover_defaults(query: Query, catalog: SourceCatalog) -> None:
+    """Put the true literal defaults into a catalogue."""
+    for t in catalog.tables:
+        for c in t.columns if not t.is_view else ():
+            if (text := default_probe(catalog.database, t.name, c)) is not None:
+                row = query(text).first()
+                if row is None or row["bytes"] is None:
+                    raise ServerRefused(f"{t.name}.{c.name}: the default can't be read")
+                if row["text"] is None:
+                    c.default = f"0x{row['bytes']}"
+                else:
+                    c.default, c.default_bytes_hex = row["text"], row["bytes"]
+
+
+def inspect(query: Query) -> SourceCatalog:
+    """The catalogue of the database that a reader is connected to."""
+    from keelson.sources.catalog import from_facts
+
+    version, comment, database = query("SELECT VERSION() AS version, @@version_comment AS comment, DATABASE() AS db").first()
+    check_server(version, comment)
+    numbers = tuple(int(x) for x in re.findall(r"\d+", version)[:3])
+    facts = {k: query(text) for k, text in catalog_queries(database, numbers).items()}
+    made = from_facts(database, **facts)
+    made.server_version = version
+    recover_defaults(query, made)
+    return made
+
+
 def catalog_queries(database: str, version: tuple[int, int, int]) -> dict[str, str]:
     """Statements for the flat facts of one database, in a fixed order of rows; checks exist from 8.0.16 on."""
     db = "'" + database.replace("\\", "\\\\").replace("'", "''") + "'"
@@ -118,11 +288,6 @@ def catalog_queries(database: str, version: tuple[int, int, int]) -> dict[str, s
     return out
 
 
-def read_facts(spark: SparkSession, options: dict[str, str], database: str, version: tuple[int, int, int]) -> dict[str, DataFrame]:
-    """The facts as DataFrames, as keelson.sources.catalog.from_facts takes them."""
-    return {k: spark.read.format("jdbc").options(**options).option("query", q).load() for k, q in catalog_queries(database, version).items()}
-
-
 def bounds_sql(database: str, table: str, key: str) -> str:
     """Exact least and greatest key as text, so unsigned 64-bit values survive."""
     q = spark_quote(key)

@@ -254,3 +254,247 @@ def test_entry_without_the_optional_package(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n == "keelson.llm" else real(n, *a))
     core = e.queries()
     assert set(core) <= everything and "flagship" in core and not any(k.startswith("op") for k in core) and set(e.oracle_sql()) <= set(core)
+
+
+# Whole runs over targets that are there already
+
+
+def shop(**more):
+    id_ = SourceColumn("id", 1, "int", "int", nullable=False, extra="auto_increment")
+    name = SourceColumn("name", 2, "varchar", "varchar(4)", character_length=4)
+    return SourceCatalog("shop", [SourceTable("people", [id_, name], indexes=[SourceIndex("PRIMARY", [IndexPart("id")], primary=True)], **more)])
+
+
+def configured(tmp_path, **more):
+    """CONFIG with other settings of the migration and the target."""
+    c = parse(CONFIG % tmp_path)
+    for k, v in more.items():
+        setattr(c.target if k == "on_existing" else c.verification if k == "verification" else c.migration, k, v)
+    return c
+
+
+def people(spark, *rows):
+    return spark.createDataFrame(list(rows), "id int, name string")
+
+
+def go(spark, tmp_path, rows, c, source=None, **known):
+    target = FileTarget(spark, f"{tmp_path}/target")
+    p = build(c, source or shop(), target.catalog(["app"]))
+    return Run(spark, c, p, lambda t: rows, target, **known).go(), p, target
+
+
+def test_append_is_verified_on_top_of_what_was_there(spark, tmp_path):
+    first, _, target = go(spark, tmp_path, people(spark, (1, "a"), (2, "b")), configured(tmp_path))
+    assert first.exit_code() == 0, first
+    c = configured(tmp_path, mode="data_only", on_existing="append")
+    second, p, _ = go(spark, tmp_path, people(spark, (3, "c"), (4, "a")), c)
+    assert second.exit_code() == 0 and second.baselines[p.tables[0].id].rows == 2, second
+    assert sorted(r.id for r in target.read("app", "people").collect()) == [1, 2, 3, 4]
+    # the saved run knows the baseline
+    saved_plan, saved = artifacts.saved_run(second.artifact_dir)
+    assert verify(saved_plan, saved, lambda t: people(spark, (3, "c"), (4, "a")), target.read, held=target.held).status == "complete"
+    assert verify(saved_plan, saved, lambda t: people(spark, (3, "c"), (4, "x")), target.read, held=target.held).status == "different"
+    # a later append makes the earlier one's target another
+    assert go(spark, tmp_path, people(spark, (5, "e")), c)[0].exit_code() == 0
+    assert verify(saved_plan, saved, lambda t: people(spark, (3, "c"), (4, "a")), target.read, held=target.held).status == "different"
+
+
+def test_the_earliest_row_of_a_key_wins(spark, tmp_path):
+    assert go(spark, tmp_path, people(spark, (1, "a"), (2, "b")), configured(tmp_path))[0].exit_code() == 0
+    c = configured(tmp_path, mode="data_only", on_existing="append")
+    rows = people(spark, (2, "late"), (3, "c"), (3, "d"), (4, "tooolong"), (5, "e\t\\")).coalesce(1)
+    report, p, target = go(spark, tmp_path, rows, c)
+    t = report.tables[0]
+    assert report.exit_code() == 3 and (t.rows_read, t.committed_rows, t.rejected_rows) == (5, 2, 3), report
+    assert {(r.id, r.name) for r in target.read("app", "people").collect()} == {(1, "a"), (2, "b"), (3, "c"), (5, "e\t\\")}
+    assert t.committed_bytes == len("3\tc\n5\te\\t\\\\\n")
+    records = [json.loads(r.value) for r in spark.read.text(f"{report.artifact_dir}/{p.tables[0].id}.reject.jsonl").collect()]
+    assert sorted(r["kind"] for r in records) == ["conversion", "copy", "copy"]
+    lines = "".join(r.value + "\n" for r in spark.read.text(f"{report.artifact_dir}/{p.tables[0].id}.reject.copy").collect()).encode()
+    cut = sorted(lines[r["offset"] : r["offset"] + r["length"]] for r in records if r["kind"] == "copy")
+    assert cut == [b"2\tlate\n", b"3\td\n"] and {r["encoding"] for r in records if r["kind"] == "copy"} == {"postgresql_copy_text"}
+    # without rejects the run stops, and nothing is there that wasn't
+    report, _, target = go(spark, tmp_path, rows, configured(tmp_path, mode="data_only", on_existing="append", on_row_error="stop", max_rejected_rows=0))
+    assert report.exit_code() == 1 and target.read("app", "people").count() == 4
+
+
+def test_duplicates_of_a_new_key_fail_the_run(spark, tmp_path):
+    report, _, _ = go(spark, tmp_path, people(spark, (1, "a"), (1, "b")), configured(tmp_path))
+    assert report.exit_code() == 1 and "unique key on id" in report.failed_steps[0]
+
+
+def test_rows_that_are_too_large_are_rejected_and_verified(spark, tmp_path):
+    report, _, _ = go(spark, tmp_path, people(spark, (1, "a"), (2, "b" * 400)), configured(tmp_path, max_row_bytes=300))
+    assert report.exit_code() == 3 and report.verification.status == "complete", report
+
+
+def test_the_reject_cap_holds_over_all_tables(spark, tmp_path):
+    bad = spark.createDataFrame([(1, "toolong"), (2, "toolong"), (3, "ok")], "id int, name string")
+    source = shop()
+    source.tables.append(SourceTable("others", source.tables[0].columns, indexes=source.tables[0].indexes))
+    report, _, target = go(spark, tmp_path, bad, configured(tmp_path, max_rejected_rows=3), source)
+    assert report.exit_code() == 1 and "4 rejected rows exceed 3" in report.failed_steps[0] and target.catalog(["app"]).tables == []
+    assert go(spark, tmp_path, bad, configured(tmp_path, max_rejected_rows=4), source)[0].exit_code() == 3
+
+
+def test_a_table_is_replaced_only_when_the_new_one_is_good(spark, tmp_path):
+    assert go(spark, tmp_path, people(spark, (1, "a")), configured(tmp_path))[0].exit_code() == 0
+    c = configured(tmp_path, on_existing="recreate", on_row_error="stop", max_rejected_rows=0)
+    report, _, target = go(spark, tmp_path, people(spark, (1, "toolong")), c)
+    assert report.exit_code() == 1 and [tuple(r) for r in target.read("app", "people").collect()] == [(1, "a")]
+    report, _, target = go(spark, tmp_path, people(spark, (7, "n")), c)
+    assert report.exit_code() == 0 and [tuple(r) for r in target.read("app", "people").collect()] == [(7, "n")]
+    assert target.names("app") == ["people"]
+
+
+def test_sequences_go_on_after_what_was_reached(spark, tmp_path):
+    report, p, target = go(spark, tmp_path, people(spark, (1, "a"), (9, "b")), configured(tmp_path), shop(next_auto_increment=5))
+    assert report.exit_code() == 0 and target.states("app", "people") == {"id": 10} == report.sequences[p.tables[0].id], report
+    c = configured(tmp_path, mode="data_only", on_existing="append")
+    report, p, target = go(spark, tmp_path, people(spark, (3, "c")), c, shop(next_auto_increment=20))
+    assert report.exit_code() == 0 and target.states("app", "people") == {"id": 20}
+    target.set_states("app", "people", {"id": 3})
+    again = verify(p, report, lambda t: people(spark, (3, "c")), target.read, held=target.held, states={p.tables[0].id: target.states("app", "people")})
+    assert again.status == "different" and "below 20" in again.differences[0]
+    report, _, _ = go(spark, tmp_path / "other", people(spark, (2**31 - 1, "z")), configured(tmp_path / "other"))
+    assert report.exit_code() == 1 and "no value" in report.failed_steps[0]
+
+
+def test_another_structure_is_found(spark, tmp_path):
+    report, p, target = go(spark, tmp_path, people(spark, (1, "a")), configured(tmp_path))
+    seen = target.table("app", "people", 1)[0].observed
+    seen.columns[1].comment, seen.columns[1].default, seen.indexes = "said", "'x'::text", []
+    out = verify(p, report, lambda t: people(spark, (1, "a")), target.read, states=report.sequences, observed=lambda t: seen)
+    assert out.status == "different" and len(out.differences) == 3, out
+
+
+def test_a_snapshot_is_read_once(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    drawn = F.udf(lambda i: int.from_bytes(__import__("os").urandom(3), "big"), T.IntegerType()).asNondeterministic()
+    rows = spark.range(20).select(drawn("id").alias("id"), F.lit("a").alias("name"))
+    c = configured(tmp_path, table_workers=1)
+    c.source.consistency = "single_snapshot"
+    report, _, _ = go(spark, tmp_path, rows, c)
+    assert report.exit_code() == 0, report  # load, counts and content saw the same rows
+    assert [n for n, _, _ in report.phases] == ["copy", "index_constraints", "verify"] and not (tmp_path / "target" / f".snapshot-{report.run_id}").exists()
+
+
+def test_saved_runs_of_other_endpoints_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("S", "mysql://u:p@h/d")
+    report, _, _ = go(spark, tmp_path, people(spark, (1, "a")), configured(tmp_path))
+    digest = artifacts.endpoint_digest("mysql://u:other@h/d")
+    assert report.source_endpoint_sha256 == digest
+    artifacts.saved_run(report.artifact_dir, digest)
+    with pytest.raises(artifacts.SavedRunError):
+        artifacts.saved_run(report.artifact_dir, artifacts.endpoint_digest("mysql://u:p@h2/d"))
+
+
+def test_admission_comes_before_any_write(spark, tmp_path):
+    c, target = configured(tmp_path), FileTarget(spark, f"{tmp_path}/target")
+    p = build(c, shop(), target.catalog(["app"]))
+    c.migration.memory_bytes = 1
+    report = Run(spark, c, p, lambda t: people(spark, (1, "a")), target).go()
+    assert report.exit_code() == 1 and "AdmissionError" in report.failed_steps[0] and target.names("app") == []
+
+
+def test_fulltext_expressions_are_recognised():
+    names = ["a", 'B "q"']
+    made = fulltext.expression_sql(names)
+    shown = "to_tsvector('simple'::regconfig, ((COALESCE(a, ''::text) || ' '::text) || COALESCE(\"B \"\"q\"\"\", ''::text)))"
+    assert fulltext.is_expression(made, names) and fulltext.is_expression(shown, names)
+    for bad in (made.replace("simple", "english"), shown.replace("a,", "b,"), shown + " ", shown[:-1], shown.replace("' '", "''"), shown.replace("|| COALESCE", "COALESCE"), shown.replace("::regconfig", ""), "f(" + shown + ")", ""):
+        assert not fulltext.is_expression(bad, names) or bad.strip() == shown, bad
+    assert not fulltext.is_expression(made, ["a"]) and not fulltext.is_expression(made, [])
+
+
+# A server, by what stands in for Spark's reader
+
+
+def test_options_of_both_sides(tmp_path):
+    c = parse((CONFIG % tmp_path).replace('consistency = "frozen"', 'consistency = "frozen", ca_file = "/c/ca.p12", session = { sql_mode = "ANSI" }'))
+    o = jdbc.read_options("mysql://us%40er:p%2Fw@db.example:3307/shop", c)
+    assert o["url"].startswith("jdbc:mysql://db.example:3307/shop?sslMode=VERIFY_IDENTITY&trustCertificateKeyStoreUrl=file%3A%2Fc%2Fca.p12&trustCertificateKeyStoreType=PKCS12&connectTimeout=10000&maxAllowedPacket=")
+    assert (o["user"], o["password"], o["sessionInitStatement"]) == ("us@er", "p/w", "SET SESSION sql_mode = 'ANSI', SESSION time_zone = '+00:00'")
+    assert [jdbc.packet_bytes(n) for n in (0, 1 << 20, 1 << 31)] == [65_536, (1 << 20) + 65_536, 1 << 30]
+    c.source.ca_file = "/c/ca.pem"
+    with pytest.raises(jdbc.ServerRefused):
+        jdbc.read_options("mysql://h/d", c)
+    c.target.ca_file, c.target.passfile = "/c/root.pem", str(tmp_path / "pass")
+    (tmp_path / "pass").write_text("# x\nother:5432:d:u:no\n*:5432:d:u:se\\:cret\n")
+    (tmp_path / "pass").chmod(0o600)
+    t = TablePlan("t", "t", 'a"b', "t", [plan("s", "text[]", Kind.SET, set_labels=["a,b"])])
+    w = jdbc.write_options("pgsql://u@h/d", c, t)
+    assert w["password"] == "se:cret" and w["dbtable"] == '"a""b"."t"' and "sslmode=verify-full" in w["url"] and "sslrootcert=%2Fc%2Froot.pem" in w["url"] and "TimeZone%3DUTC" in w["url"]
+    (tmp_path / "pass").chmod(0o644)
+    with pytest.raises(jdbc.ServerRefused):
+        jdbc.write_options("pgsql://u@h/d", c, t)
+    with pytest.raises(jdbc.ServerRefused):
+        jdbc.write_options("pgsql://u@h,h2/d", c, t)
+
+
+def test_labels_with_commas_stay_whole(spark):
+    t = TablePlan("t", "t", "a", "t", [plan("s", "text[]", Kind.SET, set_labels=["a,b", 'c"']), plan("n", "bigint", Kind.SIGNED)])
+    rows = spark.createDataFrame([(["a,b", 'c"'], 1)], "s array<string>, n long")
+    assert tuple(rows.select(*(v.alias(n) for n, v in jdbc.write_columns(t))).first()) == ('{"a,b","c\\""}', 1)
+
+
+def test_a_write_is_tried_again_where_the_server_says_so():
+    waits, errors = [], [RuntimeError("ERROR: deadlock (SQLSTATE 40P01)"), RuntimeError("state 40001")]
+
+    def write():
+        if errors:
+            raise errors.pop(0)
+
+    assert jdbc.retried(write, waits.append) == 3 and waits == [0.02, 0.04]
+    for left in ([RuntimeError("23505")], [RuntimeError("40001")] * 3):
+        errors[:] = left
+        with pytest.raises(RuntimeError):
+            jdbc.retried(write, waits.append)
+
+
+def test_ranged_scans_are_one_scan(spark):
+    source = SourceTable("t", [SourceColumn("id", 1, "bigint", "bigint unsigned", nullable=False), SourceColumn("x", 2, "int", "int")], indexes=[SourceIndex("PRIMARY", [IndexPart("id")], primary=True)])
+    t = TablePlan("t", "t", "a", "t", [plan("id", "numeric(20,0)", Kind.UNSIGNED, source="bigint unsigned", nullable=False), plan("x", "integer", Kind.SIGNED, source="int")], ["id"])
+    asked, bounds = [], ("1", str(2**64 - 1))
+    query = lambda text: spark.createDataFrame([bounds], "low string, high string")
+    read = lambda text, predicates: asked.append((text, predicates))
+    _, said = jdbc.scan(query, read, "d", t, source, 2, 2**62)
+    assert not said and len(asked) == 1 and asked[0][0] == "SELECT `id`, `x` FROM `d`.`t`"
+    assert asked[0][1][0] == f"`id` >= 1 AND `id` <= {2**62}" and asked[0][1][-1].endswith(f"`id` <= {2**64 - 1}") and len(asked[0][1]) == 4
+    for bounds, key in ((("1", "5"), "id"), ((None, None), "id"), (("1", "9"), None)):
+        t.primary_key = [key] if key else []
+        assert jdbc.scan(query, read, "d", t, source, 2, 100)[1][0].code == "RANGE_FALLBACK" and asked[-1][1] == []
+    assert jdbc.scan(query, read, "d", t, source, 1, None)[1] == []
+
+
+def test_a_server_is_inspected(spark):
+    s = sample_catalog()
+    known = catalog.facts(spark, s)
+    literal = SourceColumn("c", 1, "varchar", "varchar(9)", default="a?")
+    columns = known["columns"].withColumns({"default": F.when(F.col("column_name") == "l_linenumber", F.lit("0")), "extra": F.lit("")})
+
+    def query(text):
+        if "VERSION()" in text:
+            return spark.createDataFrame([("8.4.2", "MySQL Community Server - GPL", "shop")], "version string, comment string, db string")
+        for name in ("COLUMNS", "STATISTICS", "KEY_COLUMN_USAGE", "CHECK_CONSTRAINTS", "TRIGGERS", "TABLES"):
+            if f"information_schema.{name}" in text:
+                kinds = {"COLUMNS": columns, "STATISTICS": known["index_parts"], "KEY_COLUMN_USAGE": known["fk_parts"], "CHECK_CONSTRAINTS": known["checks"], "TABLES": known["tables"]}
+                return kinds[name] if name in kinds else spark.createDataFrame([("trigger", "t.g", "x")], "kind string, object string, reason string")
+        raise AssertionError(text)
+
+    made = jdbc.inspect(query)
+    assert made.database == "shop" and made.server_version == "8.4.2" and [t.name for t in made.tables] == ["lineitem", "orders"] and made.unsupported_objects[0].object == "t.g"
+    assert "LIMIT 1" in jdbc.default_probe("d", "t", literal) and jdbc.default_probe("d", "t", SourceColumn("c", 1, "int", "int", default="1")) is None
+    holder = SourceCatalog("d", [SourceTable("t", [literal, SourceColumn("b", 2, "varbinary", "varbinary(3)", default="x")])])
+    jdbc.recover_defaults(lambda text: spark.createDataFrame([(None if "NULL AS text" in text else "a🙂", "00FF")], "text string, bytes string"), holder)
+    assert (holder.tables[0].columns[0].default, holder.tables[0].columns[0].default_bytes_hex, holder.tables[0].columns[1].default) == ("a🙂", "00FF", "0x00FF")
+
+
+def test_facts_that_contradict_each_other(spark):
+    f = catalog.facts(spark, sample_catalog())
+    parts = ("columns", "index_parts", "fk_parts", "checks")
+    assert len(catalog.from_facts("shop", *(f[p] for p in parts)).tables) == 2
+    for name, change in (("columns", F.col("ordinal") != 1), ("index_parts", F.col("position") != 1), ("columns", F.col("table_name") != "orders"), ("columns", F.col("column_name") != "l_linenumber")):
+        with pytest.raises(catalog.FactError):
+            catalog.from_facts("shop", *(f[p].where(change) if p == name else f[p] for p in parts))
