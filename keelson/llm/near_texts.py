@@ -294,9 +294,10 @@ def _verify(ratio: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["component", "one", "two"]):
             one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-            ids = group.column("node").to_numpy()
+            ids, at = np.unique(group.column("node").to_numpy(), return_index=True)  # rows that repeat an id and text come more than once
             if len(ids) < 2:
                 continue
+            group = group.take(pa.array(at))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             copies, block = group.column("copies").to_numpy(), group.column("block").to_numpy()
             size = np.array([len(s) for s in sets])
@@ -332,20 +333,10 @@ def _links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n: int, simil
     met = rows.where(F.col("doc_id").isNotNull()).join(asked.withColumnRenamed("doc_id", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("hash")))
     sets = met.select("node", "component", "blocks", "copies", "text").mapInArrow(_sets(n), "node long, component long, blocks int, copies long, shingles binary")
     keys = ["component", "one", "two"]
-    units = deal(sets, "node").repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(_once, "node long, component long, copies long, shingles binary, block int, one int, two int")
+    units = deal(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
     return units.mapInArrow(_verify(Fraction(similarity)), LINKS)
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Without rows that repeat the node before them in the same unit."""
-    last = None
-    for batch in batches:
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("component", "one", "two", "node")), strict=True))
-        keep = [i for i, row in enumerate(rows) if row != (rows[i - 1] if i else last)]
-        last = rows[-1] if rows else last
-        yield batch if len(keep) == len(rows) else batch.take(pa.array(keep, pa.int64()))
-
-
 def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall: float = RECALL) -> DataFrame:
     """For each row of documents (doc_id, text): doc_id, text_hash, class_id, n_links, copies, kept.
 
