@@ -125,6 +125,27 @@ def row_digest(fields: list[tuple[Kind, Column]]) -> Column:
     return F.sha2(framed(fields), 256)
 
 
+def stream_digest(rows: DataFrame, order: list[str], line: str) -> DataFrame:
+    """sha256 and n_rows: the digest of all lines in their order, a newline after each.
+
+    Sorting is distributed; a digest of a stream has no parts, so one task reads the sorted runs, a batch at a time.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        made, n = hashlib.sha256(), 0
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                made.update(x.encode() + b"\n")
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([made.hexdigest()]), pa.array([n], pa.int64())], names=["sha256", "n_rows"])
+
+    return rows.orderBy(*order).select(F.coalesce(F.col(line), F.lit("")).alias("line")).coalesce(1).mapInArrow(digest, "sha256 string, n_rows long")
+
+
 def compare_content(source: DataFrame, target: DataFrame, columns: list[ColumnPlan], baseline: DataFrame | None = None) -> Comparison:
     """Converted source rows, on top of what the target held before, against the target's rows."""
     for c in columns:

@@ -1,6 +1,6 @@
 import pytest
 
-from keelson.plans import catalogue
+from keelson.plans import catalogue, run_queries  # noqa: F401  the latter adds to the former
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.001"
