@@ -89,9 +89,7 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
         parts = F.when(F.col("__source") == s, max(1, math.ceil(c / bucket_rows))).otherwise(parts)
     at = F.floor(F.col("__mark") / F.lit(2.0**63) * parts).cast("int")
     dealt = marked.withColumn("__bucket", F.least(at, parts - 1))
-    sizes = dealt.groupBy("__source", "__bucket").count()
-    before = F.sum("count").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("__source", "__bucket", F.coalesce(before, F.lit(0)).alias("__before"))
+    sizes = _before(dealt.groupBy("__source", "__bucket").count())
     order = Window.partitionBy("__source", "__bucket").orderBy("__mark", "doc_id", F.monotonically_increasing_id())
     ranked = dealt.withColumn("__index", F.row_number().over(order) - 1).join(sizes, ["__source", "__bucket"])
     ranked = ranked.withColumn("__index", F.col("__index") + F.col("__before"))
@@ -109,6 +107,18 @@ def mix(rows: DataFrame, weights: dict[str, int], block_rows: int = 64, bucket_r
     return ranked.withColumn("__place", place.cast("long")).drop("__mark", "__bucket", "__before", "__index", "__phases")
 
 
+def _before(sizes: DataFrame, span: int = 1000) -> DataFrame:
+    """(__source, __bucket, __before) of counts by source and bucket: the rows of a source in its earlier buckets.
+
+    Sums run over spans of buckets and inside each span, so no task holds all buckets of a source.
+    """
+    earlier = lambda column, order, *by: F.coalesce(F.sum(column).over(Window.partitionBy("__source", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("__part", F.floor(F.col("__bucket") / span).cast("int"))
+    parts = sizes.groupBy("__source", "__part").agg(F.sum("count").alias("count")).select("__source", "__part", earlier("count", "__part").alias("__first"))
+    inside = sizes.withColumn("__inside", earlier("count", "__bucket", "__part"))
+    return inside.join(parts, ["__source", "__part"]).select("__source", "__bucket", (F.col("__first") + F.col("__inside")).alias("__before"))
+
+
 def _slot_of(plan: list[dict], source: str, block: int) -> int:
     for p in reversed(plan):
         if source in p["done"] and block >= p["done"][source]:

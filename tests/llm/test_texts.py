@@ -420,6 +420,15 @@ def test_every_row_has_a_place(spark, dirty_documents, empty_documents, bucket):
     assert mixing.mix(empty_documents, {"s0": 1}).count() == 0
 
 
+def test_rows_before_a_bucket(spark):
+    r = random.Random(2)
+    sizes = [(s, b, r.randint(1, 9)) for s in "xy" for b in range(40) if r.random() < 0.8]
+    rows = spark.createDataFrame(sizes, "__source string, __bucket int, count long").repartition(3)
+    for span in (1, 7, 1000):
+        got = {(x[0], x[1]): x[2] for x in mixing._before(rows, span).collect()}
+        assert got == {(s, b): sum(n for t, c, n in sizes if t == s and c < b) for s, b, _ in sizes}
+
+
 # SentencePiece
 
 
