@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keelson.llm import mixing, near_texts, pieces, suffixes, toxicity
-from keelson.llm.common import cut, ensure_checkpoint_dir, table
+from keelson.llm.common import cut, shared_folder, table
 
 #: Words of the shortest repeated passage that is cut: more than 50.
 PASSAGE_WORDS = 51
@@ -113,12 +113,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared checkpoint folder and read again."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents, each written to the shared checkpoint folder and read again; what a stage has read is removed once its own rows are written."""
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}-{name}")
-            docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            docs.write.parquet(now := f"{folder}/{i}-{name}")
+            docs = spark.read.parquet(now)
+            if before:
+                path = spark._jvm.org.apache.hadoop.fs.Path(before)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            before = now
     return docs
