@@ -111,7 +111,7 @@ def counts_check(t: TableReport, source_rows: int, target_rows: int, baseline: i
 
 def column_differences(table: TablePlan, seen: Observed) -> tuple[list[str], list[str]]:
     """(differences, what can't be told) between the planned columns and the observed ones: name, type, nullability, identity, generation, default, comment."""
-    from keelson.plans.defaults import same_default
+    from keelson.plans.default_values import same_default
 
     out, unknown = [], []
     if [c.target_name for c in table.columns] != [c.name for c in seen.columns]:

@@ -7,7 +7,7 @@ import math
 import re
 import struct
 
-from keelson.functions.convert import LIMITS, base_of, size_of
+from keelson.functions.convert import LIMITS, NUMBER, base_of, size_of
 from keelson.functions.json_check import valid
 from keelson.plans.model import ColumnPlan, Kind, SourceColumn
 from keelson.plans.names import literal
@@ -46,7 +46,7 @@ def _decimal(value: str, plan: ColumnPlan) -> str:
 
 
 def _float(value: str, plan: ColumnPlan, column: SourceColumn) -> str:
-    if not re.fullmatch(r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", value):
+    if not re.match(NUMBER.replace(r"\z", r"\Z"), value):
         raise DefaultError("not a number")
     x = float(value)
     if not math.isfinite(x):
@@ -220,45 +220,3 @@ def json_form(text: str) -> object:
         return x if isinstance(x, tuple) else (type(x).__name__, x)
 
     return freeze(json.loads(text, parse_int=number, parse_float=number))
-
-
-def same_default(planned: str | None, observed: str | None, plan: ColumnPlan) -> str:
-    """equal, different or unsupported: whether two default expressions give the same value. Unknown forms are never equal."""
-    if planned is None or observed is None:
-        return "equal" if planned is observed else "different"
-    a, b = (_literal(x) for x in (planned, observed))
-    if a is None or b is None:
-        same = planned.strip().upper() == observed.strip().upper()
-        return "equal" if same else "unsupported"
-    try:
-        if plan.kind in (Kind.SIGNED, Kind.UNSIGNED):
-            return "equal" if int(a) == int(b) else "different"
-        if plan.kind == Kind.DECIMAL:
-            from decimal import Decimal
-
-            return "equal" if Decimal(a) == Decimal(b) else "different"
-        if plan.kind == Kind.FLOAT:
-            pack = ">f" if base_of(plan.target_type) == "real" else ">d"
-            return "equal" if struct.pack(pack, float(a)) == struct.pack(pack, float(b)) else "different"
-        if plan.kind == Kind.JSON:
-            return "equal" if json_form(a) == json_form(b) else "different"
-        if plan.target_type == "inet":
-            return "equal" if a.removesuffix("/32") == b.removesuffix("/32") else "different"
-        if plan.kind in (Kind.DATE, Kind.DATETIME, Kind.TIMESTAMP):
-            return "equal" if moment(a.removesuffix("+00"), plan) == moment(b.removesuffix("+00"), plan) else "different"
-        if plan.kind == Kind.INTERVAL:
-            return "equal" if span(a, plan) == span(b, plan) else "different"
-    except (ValueError, ArithmeticError):
-        return "unsupported"
-    return "equal" if a == b else "different"
-
-
-def _literal(sql: str) -> str | None:
-    """The text of one literal, perhaps with a cast after it; None for anything else."""
-    m = re.fullmatch(r"\s*\(?\s*(?:([EB])?'((?:[^']|'')*)'|([+-]?[0-9.]+(?:[eE][+-]?\d+)?|true|false))\s*\)?(?:::[\w\s\"(),.\[\]]+)?\s*", sql, re.I)
-    if not m:
-        return None
-    if m[3] is not None:
-        return m[3].lower()
-    text = m[2].replace("''", "'")
-    return text.replace("\\\\", "\\") if (m[1] or "").upper() == "E" else text

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 from keelson.operators import fulltext
-from keelson.plans.defaults import same_default
+from keelson.plans.default_values import same_default
 from keelson.plans.model import Kind, Severity, TablePlan
 from keelson.plans.target import Graph, Observed, ObservedConstraint, ObservedIndex
 from keelson.plans.types import same_type

@@ -3,7 +3,7 @@ import random
 import pytest
 
 from keelson.operators.ranges import Bound, RangeError, integer_ranges, jdbc_predicates
-from keelson.plans import defaults, types
+from keelson.plans import default_values, defaults, types
 from keelson.plans.model import ColumnPlan, Kind, RunReport, SourceColumn, Status, TableReport, VerificationReport, Verified, from_dict, to_json
 from keelson.plans.names import literal, mapped_name, stable_name
 from keelson.plans.safe_expression import is_safe, to_spark
@@ -96,7 +96,25 @@ def test_refused_defaults(value, p, kind):
     ("E'a'", "'b'::text", plan(Kind.TEXT, "text"), "different"), (None, "1", plan(Kind.SIGNED, "integer"), "different"), (None, None, plan(Kind.TEXT, "text"), "equal"), ("7", "nextval('s')", plan(Kind.SIGNED, "integer"), "unsupported"), ("0.0", "-0.0", plan(Kind.FLOAT, "double precision"), "different"),
 ])
 def test_same_default(a, b, p, verdict):
-    assert defaults.same_default(a, b, p) == verdict
+    assert default_values.same_default(a, b, p) == verdict
+
+
+@pytest.mark.parametrize("a,b,p,verdict", [
+    ("B'0101'", "'0101'::\"bit\"", plan(Kind.BIT, "bit(4)", bits=4), "equal"), ("B'0101'", "X'5'", plan(Kind.BIT, "bit(4)", bits=4), "equal"), ("E'\\\\x0102'", "'\\x0102'::bytea", plan(Kind.BINARY, "bytea"), "equal"),
+    ("E'\\\\x4142'", "'AB'::bytea", plan(Kind.BINARY, "bytea"), "equal"), ("E'\\\\x00ff'", "'\\000\\377'::bytea", plan(Kind.BINARY, "bytea"), "equal"), ("E'\\\\x00'", "'\\400'::bytea", plan(Kind.BINARY, "bytea"), "unsupported"),
+    ("E'{\"a\",\"c\"}'", "'{a,c}'::text[]", plan(Kind.SET, "text[]", set_labels=["a", "c"]), "equal"), ("E'{\"a\",\"c\"}'", "ARRAY['a'::text, 'c'::text]", plan(Kind.SET, "text[]", set_labels=["a", "c"]), "equal"),
+    ("E'{\"a\"}'", "'{c}'::text[]", plan(Kind.SET, "text[]", set_labels=["a", "c"]), "different"), ("E'{\"a\"}'", "'{x}'::text[]", plan(Kind.SET, "text[]", set_labels=["a"]), "unsupported"), ("E'{\"a\"}'", "'{a,}'::text[]", plan(Kind.SET, "text[]", set_labels=["a"]), "unsupported"),
+    ("E'01:30:00.000000'", "'@ 1 hour 30 mins'::interval", plan(Kind.INTERVAL, "interval(6)"), "equal"), ("E'-01:30:00.000000'", "'@ 1 hour 30 mins ago'::interval", plan(Kind.INTERVAL, "interval(6)"), "equal"),
+    ("E'01:30:00.500000'", "'PT1H30M0.5S'::interval", plan(Kind.INTERVAL, "interval(6)"), "equal"), ("E'01:30:00.000000'", "'PT30M1H'::interval", plan(Kind.INTERVAL, "interval(6)"), "unsupported"), ("E'01:00:00.000000'", "'1 day'::interval", plan(Kind.INTERVAL, "interval(6)"), "unsupported"),
+    ("E'2024-01-02 03:04:05.000000+00'", "'2024-01-02 05:04:05+02'::timestamp with time zone", plan(Kind.TIMESTAMP, "timestamptz(0)"), "equal"), ("E'2024-01-02'", "'2024-01-03'::date", plan(Kind.DATE, "date"), "different"),
+    ("CURRENT_TIMESTAMP(3)", "CURRENT_TIMESTAMP(3)", plan(Kind.DATETIME, "timestamp(3) without time zone"), "equal"), ("CURRENT_TIMESTAMP", "now()", plan(Kind.TIMESTAMP, "timestamptz"), "equal"), ("CURRENT_TIMESTAMP(0)", "now()", plan(Kind.TIMESTAMP, "timestamptz"), "different"),
+    ("E'10.0.0.1'", "'10.0.0.1/32'::inet", plan(Kind.TEXT, "inet"), "equal"), ("E'10.0.0.1'", "'10.0.0.1/8'::inet", plan(Kind.TEXT, "inet"), "different"), ("7", "('7'::text)::integer", plan(Kind.SIGNED, "integer"), "equal"), ("7", "7 + 0", plan(Kind.SIGNED, "integer"), "unsupported"),
+    ("true", "'t'::boolean", plan(Kind.BOOLEAN, "boolean"), "equal"), ("E'a'", "'a'::\"app\".\"e\"", plan(Kind.ENUM, '"app"."e"', enum_labels=["a"]), "equal"), ("E'a'", "'a'::\"app\".\"f\"", plan(Kind.ENUM, '"app"."e"', enum_labels=["a"]), "unsupported"),
+    ("E'it''s'", "'it''s'::character varying", plan(Kind.TEXT, "varchar(9)"), "equal"), ("E'a\\\\b'", "'a\\b'::text", plan(Kind.TEXT, "text"), "equal"), ("1.5", "1.50::double precision", plan(Kind.FLOAT, "double precision"), "equal"), ("1.5", "'Infinity'::double precision", plan(Kind.FLOAT, "double precision"), "unsupported"),
+    ("E'a'", "('a'::text) || 'b'", plan(Kind.TEXT, "text"), "unsupported"), ("E'x'", "NULL::text", plan(Kind.TEXT, "text"), "different"),
+])
+def test_same_value_however_it_is_written(a, b, p, verdict):
+    assert default_values.same_default(a, b, p) == verdict
 
 
 def report(**more):
