@@ -35,7 +35,7 @@ from keelson.llm.words import mix
 LEAST, GRAM, BAND = 400, 128, 32
 BLOCK = 1 << 20  # starts that are hashed at a time
 CHUNK = 16_384  # strings that are sorted together
-CROWD = 10_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
+CROWD = 2_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
 CORE = 257  # the symbol of a core; bytes are 1 to 256
 CODE = 6  # bytes of a word's code
 PASSAGE_GRAM = 80  # GRAM for windows of codes

@@ -60,7 +60,7 @@ def corpus(r):
     return texts + texts[:4] + ["a" * 700, "ab" * 300, "a" * 399, "é" * 250, "", None, words(r, 2000) + shared[0] + "x" + shared[0]]
 
 
-@pytest.mark.parametrize("block,crowd", [(1 << 20, 10_000), (700, 10_000), (1 << 20, 3), (1 << 20, 1)])
+@pytest.mark.parametrize("block,crowd", [(1 << 20, 2_000), (700, 2_000), (1 << 20, 3), (1 << 20, 1)])
 def test_removed_bytes(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(suffixes, "BLOCK", block)
     monkeypatch.setattr(suffixes, "CROWD", crowd)
@@ -95,7 +95,7 @@ def removed_passages(texts, words):
     return out
 
 
-@pytest.mark.parametrize("crowd", [10_000, 1])
+@pytest.mark.parametrize("crowd", [2_000, 1])
 def test_passages_of_51_short_words_are_cut(spark, monkeypatch, crowd):
     """Planted passages around the limit, in words of one to three letters and in long ones; 51 words may have 101 bytes."""
     import corpus_pipeline as cp
