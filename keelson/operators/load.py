@@ -52,7 +52,9 @@ def converted(rows: DataFrame, table: TablePlan, max_row_bytes: int | None = Non
     large = [] if max_row_bytes is None else [size_problem(rows.select(*(f"`{c.source_name}`" for c in columns)), max_row_bytes).alias("_large")]
     # each problem is used twice below, so it is a column of its own and is worked out once
     first = rows.select(*(x.alias(f"_{part}{i}") for i, m in enumerate(made) for part, x in zip("vpc", m, strict=True)), raw, ordinal, *large)
-    real = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else F.array().cast("array<string>")
+    none = F.array().cast("array<string>")
+    # most rows have nothing to list, and only for the others arrays are looked through
+    real = lambda xs: F.when(F.coalesce(*xs).isNotNull(), F.filter(F.array(*xs), lambda x: x.isNotNull())).otherwise(none) if xs else none
     found = [F.col("_large")] if large else []
     found += [F.concat(F.lit(f"{c.target_name}: "), F.col(f"_p{i}")) for i, c in enumerate(columns)]
     changed = [F.when(F.col(f"_c{i}"), F.lit(c.target_name)) for i, c in enumerate(columns) if c.transform]
