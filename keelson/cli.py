@@ -1,7 +1,7 @@
 """Command line: check, inspect, plan, run, verify, config import, import-load.
 
 Source tables are those of the configured server, read over JDBC, or with --catalog staged files <staging>/<table> (Parquet, or CSV with
---format csv) with a catalogue as JSON; the target is a folder of Parquet tables. Exit codes: 0 done, 1 failure or unclear outcome, 2 refused before
+--format csv) with a catalogue as JSON; the target is the configured server, or with --target a folder of Parquet tables. Exit codes: 0 done, 1 failure or unclear outcome, 2 refused before
 anything ran, 3 rows rejected, 4 verification, 130 cancelled.
 """
 
@@ -36,7 +36,8 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--catalog", help="a catalogue as JSON instead of the server's")
         if name in ("plan", "run"):
             c.add_argument("--target-catalog")
-            c.add_argument("--target", default="target")
+            c.add_argument("--target", help="a folder of Parquet tables instead of the configured server")
+            c.add_argument("--shared", help="a folder that every executor reaches, for rows on their way to a server")
         if name == "run":
             c.add_argument("--staging", help="staged files instead of the server's tables")
             c.add_argument("--format", default="parquet")
@@ -92,14 +93,14 @@ def main(argv: list[str] | None = None) -> int:
             chosen, others = select(c, source)
             print(json.dumps({"database": source.database, "selected": [t.name for t in chosen], "excluded": others}, indent=1))
             return 0
-        from keelson.plans.run import FileTarget, Run, summary
+        from keelson.plans.run import Run, summary
 
         if a.target_catalog:
             target = catalog.load_target(Path(a.target_catalog).read_text("utf-8"))
         else:
             spark = spark or _session()
             schemas = sorted({c.target.schema, *(r.schema for r in c.tables.rename if r.schema)})
-            target = FileTarget(spark, a.target).catalog(schemas)
+            target = _target(spark, a, c).catalog(schemas)
         plan = build(c, source, target)
         if a.command == "plan":
             print(artifacts.safe(to_json(plan)))
@@ -108,7 +109,7 @@ def main(argv: list[str] | None = None) -> int:
         show = (lambda e: print(json.dumps(e), flush=True)) if c.report.console == "json" else (lambda e: None)
         said: list = []
         rows = _reader(spark, a.staging, a.format) if a.staging else jdbc.source_tables(spark, artifacts.resolve_url(c.source.url_env, c.source.url_file), c, source, said.append)
-        run = Run(spark, c, plan, rows, FileTarget(spark, a.target), show)
+        run = Run(spark, c, plan, rows, _target(spark, a, c), show)
         report = run.go()
         report.diagnostics += said
         print(to_json(report) if c.report.console == "json" else summary(report))
@@ -120,6 +121,19 @@ def main(argv: list[str] | None = None) -> int:
         return 2
 
 
+def _target(spark, a: argparse.Namespace, c):
+    from keelson.plans.run import FileTarget
+
+    if a.target:
+        return FileTarget(spark, a.target)
+    from keelson.operators.closure import shared_folder
+    from keelson.sources import artifacts, jdbc, server
+
+    options = jdbc.connection_options(artifacts.resolve_url(c.target.url_env, c.target.url_file), c)
+    known = {k: v for k, v in options.items() if k not in ("batchsize", "isolationLevel")}
+    return server.ServerTarget(spark, options, a.shared or shared_folder(spark), jdbc.reader(spark, known), server.executor(spark, options))
+
+
 def _verify(a: argparse.Namespace) -> int:
     from keelson.operators.verify import verify
     from keelson.plans.run import FileTarget

@@ -206,6 +206,11 @@ class Staged:
                 raise
         finally:
             self.discard()
+        return self.settled()
+
+    def settled(self) -> Loaded:
+        """The accounts of a table whose rows have arrived."""
+        r = self.report
         r.committed_rows, r.rejected_rows, r.committed_bytes = self.total - self.bad, self.bad, self.size
         r.status = Status.PARTIAL if self.bad else Status.COMPLETE
         r.copy_elapsed_millis = int((time.time() - self.began) * 1000)

@@ -76,6 +76,15 @@ class FileTarget:
     def set_states(self, schema: str, name: str, states: dict[str, int]) -> None:
         self._save(schema, name, "sequences", states)
 
+    def prepare(self, plan: MigrationPlan) -> None:
+        """Folders need no statements."""
+
+    def complete(self, plan: MigrationPlan, phase: Phase) -> None:
+        """Keys are checks of the rows here, and sequences are kept beside them."""
+
+    def publish(self, staged: load.Staged, mode: str, reject_dir: str | None) -> load.Loaded:
+        return staged.publish(mode, reject_dir)
+
     def record(self, t: TablePlan) -> None:
         """Keep the structure of a table that a run has made, which its files don't hold."""
         enums = [[c.target_type, c.enum_labels] for c in t.columns if c.kind == Kind.ENUM]
@@ -197,6 +206,8 @@ class Run:
         if p.on_existing == "append":
             self.report.baselines = {t.id: b for t in p.tables if (b := self.target.baseline(t.target_schema, t.target_name)) is not None}
         if p.mode == "schema_only":
+            self.target.prepare(p)
+            self.target.complete(p, Phase.FINALIZE)
             for r in self.report.tables:
                 r.status = Status.COMPLETE
         else:
@@ -245,8 +256,9 @@ class Run:
                 for s in staged:
                     s.report.status, s.report.unresolved_rows = Status.FAILED, s.total
                 raise load.RejectLimit(f"{bad} rejected rows exceed {m.max_rejected_rows}")
+            self.target.prepare(p)
             for s in staged:
-                made = s.publish(SAVE_MODE[p.on_existing], folder)
+                made = self.target.publish(s, SAVE_MODE[p.on_existing], folder)
                 self.report.diagnostics += made.diagnostics
                 if p.mode == "full":
                     self.target.record(s.table)
@@ -259,13 +271,17 @@ class Run:
     def finalize(self) -> None:
         """Unique keys that this run makes must hold; sequences continue after what they and the rows have reached."""
         p = self.plan
-        for t in p.tables:
+        for t in p.tables if p.mode == "full" else ():
             rows = self.target.read(t.target_schema, t.target_name)
-            for key, primary in constraints.unique_keys(t) if p.mode == "full" else []:
+            for key, primary in constraints.unique_keys(t):
                 if bad := constraints.unique_violations(rows, key, primary).limit(1).count():
                     raise FinalizeError(f"{t.target_name}: a unique key on {', '.join(key)} can't be built: {bad} or more violations")
+        self.target.complete(p, Phase.FINALIZE)
+        self.target.complete(p, Phase.SEQUENCE)
+        for t in p.tables:
             if not p.reset_sequences or not t.structure.sequences:
                 continue
+            rows = self.target.read(t.target_schema, t.target_name)
             known = self.target.states(t.target_schema, t.target_name) if p.on_existing in ("append", "truncate") else {}
             for s in t.structure.sequences:
                 floor = constraints.sequence_floor(rows, s.column, s.next_minimum, s.min_value, known.get(s.column, 1))

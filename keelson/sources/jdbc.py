@@ -176,7 +176,13 @@ def passfile_password(path: str, host: str, port: int, database: str, user: str)
 
 
 def write_options(url: str, config: Config, table: TablePlan) -> dict[str, str]:
-    """Options of the writer: address, encryption, ten seconds to connect, a session in UTC with fixed formats."""
+    """Options of the writer of one table."""
+    quoted = ".".join('"' + x.replace('"', '""') + '"' for x in (table.target_schema, table.target_name))
+    return connection_options(url, config) | {"dbtable": quoted}
+
+
+def connection_options(url: str, config: Config) -> dict[str, str]:
+    """Options of connections to the target: address, encryption, ten seconds to connect, a session in UTC with fixed formats."""
     u, e = urlsplit(url), config.target
     port, user, database = u.port or 5432, unquote(u.username or ""), unquote(u.path.lstrip("/"))
     if not u.hostname or "," in u.netloc:
@@ -186,10 +192,9 @@ def write_options(url: str, config: Config, table: TablePlan) -> dict[str, str]:
     session = {"TimeZone": "UTC", "DateStyle": "ISO,YMD", "standard_conforming_strings": "on", **{k: v for k, v in e.session.items() if k not in ("timezone", "datestyle", "standard_conforming_strings")}}
     more["options"] = " ".join(f"-c {k}={v}" for k, v in session.items())
     password = unquote(u.password) if u.password is not None else passfile_password(e.passfile, u.hostname, port, database, user) if e.passfile else ""
-    quoted = ".".join('"' + x.replace('"', '""') + '"' for x in (table.target_schema, table.target_name))
     return {
         "url": f"jdbc:postgresql://{u.hostname}:{port}/{database}?{urlencode(more)}", "user": user, "password": password or "", "batchsize": str(config.migration.batch_rows),
-        "dbtable": quoted, "isolationLevel": "READ_COMMITTED",
+        "isolationLevel": "READ_COMMITTED",
     }
 
 

@@ -498,3 +498,81 @@ def test_facts_that_contradict_each_other(spark):
     for name, change in (("columns", F.col("ordinal") != 1), ("index_parts", F.col("position") != 1), ("columns", F.col("table_name") != "orders"), ("columns", F.col("column_name") != "l_linenumber")):
         with pytest.raises(catalog.FactError):
             catalog.from_facts("shop", *(f[p].where(change) if p == name else f[p] for p in parts))
+
+
+def facts_of_a_target():
+    """Facts of one table as the server's statements give them."""
+    at = {"table_schema": "app", "table_name": "people"}
+    return {
+        "version": [{"version": "17.2"}], "namespaces": [{"name": "app", "can_use": True, "can_create": True}], "extensions": [{"name": "plpgsql"}],
+        "relations": [{"table_schema": "app", "name": "people", "sort": "relation"}, {"table_schema": "app", "name": "mood", "sort": "type"}],
+        "tables": [at | {"oid": 7, "ordinary": True, "standalone": True, "can_insert": True, "can_select": True, "can_truncate": True, "can_alter": True, "row_security": False, "comment": None}],
+        "columns": [at | {"position": 1, "name": "id", "type": "integer", "nullable": False, "identity": "d", "generated": False, "expression": None, "comment": None}, at | {"position": 3, "name": "name", "type": "character varying(4)", "nullable": True, "identity": "", "generated": False, "expression": None, "comment": None}],
+        "index_parts": [at | {"name": "people_pkey", "position": 1, "column_name": "id", "expression": None, "descending": False, "is_unique": True, "is_primary": True, "method": "btree", "plain": True}],
+        "constraint_parts": [at | {"name": "people_pkey", "kind": "p", "position": 1, "column_name": "id", "expression": None, "referenced_schema": None, "referenced_table": None, "referenced_column": None, "on_update": " ", "on_delete": " ", "validated": True, "deferrable": False}],
+        "sequences": [at | {"column_name": "id", "last_value": 41, "is_called": True, "first_value": 1, "increment": 1, "minimum": 1, "maximum": 2**31 - 1, "cache": 1, "cycle": False, "can_lock": True}],
+        "triggers": [at | {"name": "g", "enabled": "O", "internal": False, "on_truncate": True}], "event_triggers": [{"name": "ev", "enabled": "O"}],
+        "enum_labels": [{"table_schema": "app", "name": "mood", "position": i, "label": x, "usable": True} for i, x in enumerate("ab", 1)],
+        "dependencies": [{"dependent_class": c, "dependent": i, "reference_class": "pg_class", "reference": 7, "kind": k, "label": label} for c, i, k, label in (("pg_class", 8, "a", "index people_pkey"), ("pg_constraint", 9, "a", "constraint people_pkey on table people"), ("pg_rewrite", 10, "n", "rule _RETURN on view v"))],
+    }
+
+
+def test_a_target_server_is_inspected():
+    from keelson.sources import server
+
+    import duckdb
+
+    for name, text in server.target_queries(["app", "o'x"]).items():  # the statements parse; types by name aside
+        plain = text.replace("::regclass", "::text").replace("::bigint", "").replace("::int[]", "::INTEGER[]")
+        shown = duckdb.sql(f"SELECT json_serialize_sql($x${plain}$x$)").fetchall()[0][0]
+        assert '"error":false' in shown, (name, shown[:200])
+        assert "o''x" in text or name in ("version", "event_triggers", "extensions")
+    made = server.decode(facts_of_a_target(), ["app", "new"])
+    t = made.table("app", "people")
+    assert [c.name for c in t.observed.columns] == ["id", "name"] and t.observed.columns[0].identity == "by_default" and t.observed.indexes[0].columns == ["id"]
+    assert t.observed.sequences[0].last_value == 41 and made.enums[0].labels == ["a", "b"] and not made.namespace("new").exists and made.graph.valid()
+    assert server.decode_sequences(facts_of_a_target()["sequences"]) == {("app", "people"): {"id": 42}}
+    # the plan for it is the one that the facts allow
+    c = parse(CONFIG % "x")
+    c.migration.mode, c.target.on_existing = "data_only", "append"
+    assert build(c, shop(), made).tables[0].structure.indexes[0].name == "people_pkey"
+    c.migration.mode, c.target.on_existing = "full", "recreate"
+    with pytest.raises(ValueError) as e:
+        build(c, shop(), made)
+    codes = {d.code for d in e.value.diagnostics}
+    assert {"TARGET_EVENT_TRIGGER", "TARGET_DEPENDENCY_OUTSIDE_SELECTION"} <= codes
+    for name, change in (("version", {"version": "15.1"}), ("index_parts", {"position": 2}), ("columns", {"table_name": "other"}), ("enum_labels", {"position": 5})):
+        facts = facts_of_a_target()
+        facts[name][0] |= change
+        with pytest.raises(ValueError):
+            server.decode(facts, ["app"])
+
+
+def test_a_run_into_a_server(spark, tmp_path):
+    """Into the database that comes with Spark, whose statements for tables, keys and rows are the same."""
+    from keelson.plans.run import Run as ARun
+    from keelson.sources import server
+
+    options = {"url": f"jdbc:derby:memory:{tmp_path.name};create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver", "batchsize": "100"}
+    execute, query = server.executor(spark, options), jdbc.reader(spark, options)
+    execute(['CREATE SCHEMA "app"'])
+    with pytest.raises(Exception, match="42X"):
+        execute(['CREATE TABLE "app"."half" (a INT)', "NO STATEMENT"])
+    id_, name = SourceColumn("id", 1, "int", "int", nullable=False), SourceColumn("name", 2, "varchar", "varchar(4)", character_length=4)
+    source = SourceCatalog("shop", [SourceTable("people", [id_, name], indexes=[SourceIndex("PRIMARY", [IndexPart("id")], primary=True)])])
+    target = server.ServerTarget(spark, options, f"{tmp_path}/staging", query, execute)
+    assert target.read("app", "half") is None and target.read("app", "people") is None
+    c = configured(tmp_path)
+    p = build(c, source, TargetCatalog(namespaces=[Namespace("app", True)]))
+    rows = people(spark, (1, "a"), (2, "toolong"), (3, "c"))
+    report = ARun(spark, c, p, lambda t: rows, target).go()
+    assert report.exit_code() == 3 and report.tables[0].committed_rows == 2 and report.tables[0].rejected_rows == 1, report
+    assert sorted((r.id, r.name) for r in target.read("app", "people").collect()) == [(1, "a"), (3, "c")]
+    scanned = jdbc.table_reader(spark, options)('SELECT "id" AS ID FROM "app"."people"', ["ID >= 1 AND ID <= 2", "ID >= 3 AND ID <= 4", "ID > 4"])
+    assert scanned.rdd.getNumPartitions() == 3 and sorted(r.ID for r in scanned.collect()) == [1, 3]
+    before = target.baseline("app", "people")
+    assert before.rows == 2 and target.held(before).count() == 2
+    with pytest.raises(Exception, match="23505"):  # the key is there
+        execute(["INSERT INTO \"app\".\"people\" VALUES (4, 'x'), (1, 'y')"])
+    assert target.read("app", "people").count() == 2
+    assert ARun(spark, c, p, lambda t: rows, target).go().exit_code() == 1  # the table is there
