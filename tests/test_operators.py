@@ -561,6 +561,7 @@ def test_a_run_into_a_server(spark, tmp_path):
     id_, name = SourceColumn("id", 1, "int", "int", nullable=False), SourceColumn("name", 2, "varchar", "varchar(4)", character_length=4)
     source = SourceCatalog("shop", [SourceTable("people", [id_, name], indexes=[SourceIndex("PRIMARY", [IndexPart("id")], primary=True)])])
     target = server.ServerTarget(spark, options, f"{tmp_path}/staging", query, execute)
+    target.catalog = lambda schemas: TargetCatalog(namespaces=[Namespace("app", True)])  # its catalogue has other names
     assert target.read("app", "half") is None and target.read("app", "people") is None
     c = configured(tmp_path)
     p = build(c, source, TargetCatalog(namespaces=[Namespace("app", True)]))
