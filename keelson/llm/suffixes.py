@@ -36,6 +36,7 @@ LEAST, GRAM, BAND = 400, 128, 32
 BLOCK = 1 << 20  # starts that are hashed at a time
 CHUNK = 16_384  # strings that are sorted together
 CROWD = 2_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
+MOST_SENT = 200_000  # keys of 24 bytes that are broadcast
 CORE = 257  # the symbol of a core; bytes are 1 to 256
 CODE = 6  # bytes of a word's code
 PASSAGE_GRAM = 80  # GRAM for windows of codes
@@ -336,7 +337,10 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM, code
     mixed = shared.where("differ")
     spot = F.struct("id", "print", "start", "windows", "offset")
     kinds = cut(mixed.groupBy("minimiser", *CONTENT).agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
-    whole = mixed.join(kinds.where(F.col("n") > 1).select("minimiser", *CONTENT), ["minimiser", *CONTENT]).select("id", "print", "start", "windows")
+    # few of them are sent to where the segments are, so a very common one isn't gathered; more are joined by shuffles, whose skew Spark splits
+    many = kinds.where(F.col("n") > 1).select("minimiser", *CONTENT)
+    many = F.broadcast(many) if many.count() <= MOST_SENT else many
+    whole = mixed.join(many, ["minimiser", *CONTENT]).select("id", "print", "start", "windows")
 
     def bands(chosen: DataFrame) -> DataFrame:
         asked = chosen.select("spot.*", (F.col("n") > 1).alias("many")).groupBy("id", "print").agg(F.collect_list(F.struct("start", "windows", "offset", "many")).alias("spots"))

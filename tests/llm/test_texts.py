@@ -64,6 +64,7 @@ def corpus(r):
 def test_removed_bytes(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(suffixes, "BLOCK", block)
     monkeypatch.setattr(suffixes, "CROWD", crowd)
+    monkeypatch.setattr(suffixes, "MOST_SENT", 200_000 if crowd == 3 else 0)
     texts = corpus(random.Random(block + crowd))
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
     assert digest(suffixes.remove_repeats(suffixes.as_bytes(docs))) == sorted(removed(texts, 400))
