@@ -294,10 +294,9 @@ def _verify(ratio: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, ["component", "one", "two"]):
             one, two = group.column("one")[0].as_py(), group.column("two")[0].as_py()
-            ids, at = np.unique(group.column("node").to_numpy(), return_index=True)  # rows that repeat an id and text come more than once
+            ids = group.column("node").to_numpy()
             if len(ids) < 2:
                 continue
-            group = group.take(pa.array(at))
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             copies, block = group.column("copies").to_numpy(), group.column("block").to_numpy()
             size = np.array([len(s) for s in sets])
@@ -323,16 +322,18 @@ def _verify(ratio: Fraction):
 LINKS = "node long, n long, hub long, bin int"
 
 
-def _links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n: int, similarity: str) -> DataFrame:
-    """Verified links within groups (node, component) of classes; rows: (doc_id, text_hash, text)."""
+def _links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n: int, similarity: str, repeated: bool) -> DataFrame:
+    """Verified links within groups (node, component) of classes; rows: (doc_id, text_hash, text), and whether some of them repeat both."""
     named = classes.select("node", "rep", "copies", "n_shingles").join(groups, "node")
     blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK)).cast("int")
     sizes = groups.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("count"), blocks.alias("blocks")).where(F.col("count") > 1)
     sizes = sizes.select(apart(F.col("component")).alias("key"), "blocks")
     asked = cut(named.join(sizes, F.col("component") == F.col("key")).select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("hash"), "node", "component", "blocks", "copies"))
-    # the texts of candidates only, by the shuffle of one join; rows that repeat a text are one
+    # the texts of candidates only, by the shuffle of one join
     met = rows.where(F.col("doc_id").isNotNull()).join(asked.withColumnRenamed("doc_id", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("hash")))
-    sets = met.select("node", "component", "blocks", "copies", "text").mapInArrow(_sets(n), "node long, component long, blocks int, copies long, shingles binary")
+    met = met.select("node", "component", "blocks", "copies", "text")
+    met = met.dropDuplicates(["node"]) if repeated else met
+    sets = met.mapInArrow(_sets(n), "node long, component long, blocks int, copies long, shingles binary")
     keys = ["component", "one", "two"]
     units = deal(sets, "node").repartition(*keys).sortWithinPartitions(*keys)
     return units.mapInArrow(_verify(Fraction(similarity)), LINKS)
@@ -359,11 +360,12 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
     # numbers of a written table's rows are the same whenever it is read
     classes = cut(full.groupBy(*prints).agg(first, F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))).withColumn("node", F.monotonically_increasing_id())
     edges = ties(classes.select("node", "labels", "sketch"), float(similarity))
+    repeated = not full.groupBy("doc_id", "text_hash").count().where(F.col("count") > 1).isEmpty()
     links = groups = None
     for depth in range(DEEPEST, SHORTEST - 1, -1):
         now = cut(components(edges.where(F.col("depth") >= depth)))
         if links is None:
-            links = cut(_links(rows, now, classes, n, similarity))
+            links = cut(_links(rows, now, classes, n, similarity, repeated))
         else:
             # groups that nothing joined are verified already
             was = now.join(groups.select("node", F.col("component").alias("was")), "node", "left").withColumn("was", F.coalesce("was", "node"))
@@ -371,7 +373,7 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
             changed = cut(now.join(grown, "component", "left_semi"))
             if not changed.isEmpty():
                 rest = links.join(changed.select("node"), "node", "left_anti").select("node", "n", "hub", "bin")
-                links = cut(rest.unionByName(_links(rows, changed, classes, n, similarity)))
+                links = cut(rest.unionByName(_links(rows, changed, classes, n, similarity, repeated)))
         groups = now
         bins = dict(links.where(F.col("bin").isNotNull()).groupBy("bin").agg(F.sum("n")).collect())  # BINS rows at most
         if recall_of(bins, float(similarity), depth) >= recall:
