@@ -109,7 +109,8 @@ def test_top_k(spark, scale, group):
     r = random.Random(scale + group)
     rows = [(i, [r.randint(-scale, scale) for _ in range(r.choice([7, 7, 7, 3]))]) for i in range(150)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (None, rows[3][1]), (202, None), (203, []), (204, [0] * 7), rows[5]]
-    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").repartition(3)
+    extra = "dims int, part string, asks int, score long, rank int, query_id long"
+    df = spark.createDataFrame([(*x, 1, "p", None, 5, 6, 7) for x in rows], f"vec_id long, vector array<long>, {extra}").repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=10, block=2, group_rows=group).collect()
     assert sorted(tuple(x) for x in got) == brute_top(rows, 10, lambda q: q % 10 == 0)
 
