@@ -105,19 +105,19 @@ class Loaded:
     diagnostics: list[Diagnostic]
 
 
-def _path(spark: SparkSession, where: str):
+def path_of(spark: SparkSession, where: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, where: str) -> None:
-    path, files = _path(spark, where)
+    path, files = path_of(spark, where)
     files.delete(path, True)
 
 
 def move(spark: SparkSession, source: str, target: str) -> None:
-    a, files = _path(spark, source)
-    b, _ = _path(spark, target)
+    a, files = path_of(spark, source)
+    b, _ = path_of(spark, target)
     files.mkdirs(b.getParent())
     if files.exists(b) or not files.rename(a, b):
         raise OSError(f"{source} can't be moved to {target}")
@@ -125,10 +125,10 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 def publish(spark: SparkSession, staged: str, target: str, mode: str) -> None:
     """Make a staged table the target's by moving it. mode: errorifexists, append, or overwrite, which keeps the old table until the new one is in its place."""
-    path, files = _path(spark, target)
+    path, files = path_of(spark, target)
     if mode == "append":
         files.mkdirs(path)
-        parts, _ = _path(spark, staged)
+        parts, _ = path_of(spark, staged)
         for part in sorted(f.getPath().getName() for f in files.listStatus(parts)):
             if part.startswith("part-"):  # such names are unique
                 move(spark, f"{staged}/{part}", f"{target.rstrip('/')}/{part}")
@@ -194,11 +194,11 @@ class Staged:
         """Reject files first, then the rows; a move that fails leaves the table indeterminate, one that is refused leaves it as it was."""
         r = self.report
         try:
-            if mode == "errorifexists" and (known := _path(self.spark, self.target))[1].exists(known[0]):
+            if mode == "errorifexists" and (known := path_of(self.spark, self.target))[1].exists(known[0]):
                 r.status, r.unresolved_rows = Status.FAILED, self.total
                 raise FileExistsError(f"{self.table.target_name} exists")
             if self.bad and reject_dir:
-                _save_rejects(self.spark, self.folder, reject_dir, self.table.id)
+                save_rejects(self.spark, self.folder, reject_dir, self.table.id)
             try:
                 publish(self.spark, self.rows, self.target, mode)
             except Exception:
@@ -217,10 +217,10 @@ class Staged:
         return Loaded(r, self.diagnostics)
 
 
-def _save_rejects(spark: SparkSession, folder: str, reject_dir: str, table_id: str) -> None:
+def save_rejects(spark: SparkSession, folder: str, reject_dir: str, table_id: str) -> None:
     """Move the staged records and copy lines to their places."""
     for name in ("jsonl", "copy"):
-        path, files = _path(spark, f"{folder}/{name}")
+        path, files = path_of(spark, f"{folder}/{name}")
         if files.exists(path):
             move(spark, f"{folder}/{name}", f"{reject_dir.rstrip('/')}/{table_id}.reject.{name}")
 

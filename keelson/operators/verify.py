@@ -133,13 +133,15 @@ def column_differences(table: TablePlan, seen: Observed) -> tuple[list[str], lis
 
 def object_differences(table: TablePlan, seen: Observed) -> list[str]:
     """Planned indexes, foreign keys, checks, sequences and comment that weren't observed."""
+    from keelson.plans.default_values import same_check
+
     want, name, out = table.structure, table.target_name, []
     indexes = [(i.columns, i.unique or i.primary, i.primary, i.descending) for i in seen.indexes]
     out += [f"{name}.{i.name}: no index has these keys" for i in want.indexes if (i.columns, i.unique or i.primary, i.primary, i.descending) not in indexes]
     keys = [(c.columns, tuple(c.referenced or ()), c.referenced_columns, c.on_update, c.on_delete) for c in seen.constraints if c.kind == "f"]
     out += [f"{name}.{f.name}: no foreign key is the same" for f in want.foreign_keys if (f.columns, (f.referenced_schema, f.referenced_table), f.referenced_columns, f.on_update, f.on_delete) not in keys]
     checks = [c.expression for c in seen.constraints if c.kind == "c"]
-    out += [f"{name}.{c.name}: no check is the same" for c in want.checks if c.expression not in checks]
+    out += [f"{name}.{c.name}: no check is the same" for c in want.checks if not any(same_check(c, e) for e in checks)]
     sequences = [(q.column, q.increment, q.minimum, q.maximum, q.cache, q.cycle) for q in seen.sequences]
     out += [f"{name}.{q.column}: the sequence has other options" for q in want.sequences if (q.column, q.increment, q.min_value, q.max_value, 1, q.cycle) not in sequences]
     return out + ([f"{name}: another comment"] if want.comment and want.comment != seen.comment else [])

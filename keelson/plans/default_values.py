@@ -216,20 +216,49 @@ def array(text: str) -> tuple[str | None, ...]:
 
 
 def _labels(expression: str, plan: ColumnPlan) -> tuple[str | None, ...]:
-    text, casts = _bare(expression), []
+    found = array_literal(expression)
+    if not all(x in plan.set_labels for x in found):
+        raise Unread("not the column's labels")
+    return found
+
+
+def array_literal(expression: str) -> tuple[str | None, ...]:
+    """The elements of an array of literals, in its text form or listed, with casts or without."""
+    text = _bare(expression)
     while (part := _cast(text))[1] is not None:
-        casts.append(part[1])
         text = _bare(part[0])
     if m := re.fullmatch(r"ARRAY\[(.*)\]", text, re.I | re.S):
         parts = re.findall(r"\s*((?:[Ee]?'(?:[^']|'')*')(?:::[\w \"()]+)?)\s*(,|\Z)", m[1])
         if "".join(a + b for a, b in parts).replace(" ", "") != m[1].replace(" ", ""):
             raise Unread("not an array of literals")
-        found = tuple(literal(a)[1] for a, _ in parts)
-    else:
-        found = array(literal(text)[1])
-    if not all(x in plan.set_labels for x in found):
-        raise Unread("not the column's labels")
-    return found
+        return tuple(literal(a)[1] for a, _ in parts)
+    return array(literal(text)[1])
+
+
+def membership(check: str) -> tuple[str, frozenset] | None:
+    """(column, labels) of a check that a column's labels are among some; None for any other check."""
+    text = _bare(re.sub(r"\ACHECK\s*", "", check.strip(), flags=re.I))
+    left, found, right = text.partition("<@")
+    column = _bare(left)
+    while found and (part := _cast(column))[1] in ("text[]", "pg_catalog.text[]"):
+        column = _bare(part[0])
+    if not re.fullmatch(r'"(?:[^"]|"")+"|[a-z_][a-z0-9_$]*', column):
+        return None
+    try:
+        labels = array_literal(right)
+    except Unread:
+        return None
+    name = column[1:-1].replace('""', '"') if column.startswith('"') else column
+    return None if None in labels else (name, frozenset(labels))
+
+
+def same_check(want, expression: str | None) -> bool:
+    """Whether a planned check and an observed expression are the same: membership by its labels in any order, others word by word."""
+    if expression is None:
+        return False
+    if want.set_labels is None:
+        return expression == want.expression
+    return membership(expression) == (want.set_column, frozenset(want.set_labels))
 
 
 def _text(mark: str, text: str, plan: ColumnPlan) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import TYPE_CHECKING
 
 from keelson.operators import fulltext
-from keelson.plans.default_values import same_default
+from keelson.plans.default_values import same_check, same_default
 from keelson.plans.model import Kind, Severity, TablePlan
 from keelson.plans.target import Graph, Observed, ObservedConstraint, ObservedIndex
 from keelson.plans.types import same_type
@@ -160,7 +160,7 @@ def constraints(p: _Planner, t: TablePlan, seen: Observed) -> None:
         if not any(c.kind == "f" and (c.columns, tuple(c.referenced or ()), c.referenced_columns, c.on_update, c.on_delete) == key for c in known):
             p.say("TARGET_FK_INCOMPATIBLE", f"{t.source_name}.{want.name}", "no foreign key is the same")
     for want in t.structure.checks:
-        if not any(c.kind == "c" and c.expression == want.expression for c in known):
+        if not any(c.kind == "c" and same_check(want, c.expression) for c in known):
             p.say("TARGET_CHECK_INCOMPATIBLE", f"{t.source_name}.{want.name}", "no check is the same")
 
 

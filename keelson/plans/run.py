@@ -45,7 +45,7 @@ class FileTarget:
         return f"{self.root.rstrip('/')}/{schema}/{name}"
 
     def exists(self, schema: str, name: str) -> bool:
-        path, files = load._path(self.spark, self.path(schema, name))
+        path, files = load.path_of(self.spark, self.path(schema, name))
         return files.exists(path)
 
     def read(self, schema: str, name: str) -> DataFrame | None:
@@ -60,11 +60,11 @@ class FileTarget:
         return self.spark.read.parquet(*known.files) if known and known.files else None
 
     def _saved(self, schema: str, name: str, what: str) -> object:
-        path, files = load._path(self.spark, f"{self.path(schema, name)}.{what}.json")
+        path, files = load.path_of(self.spark, f"{self.path(schema, name)}.{what}.json")
         return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0]) if files.exists(path) else None
 
     def _save(self, schema: str, name: str, what: str, value: object) -> None:
-        path, files = load._path(self.spark, f"{self.path(schema, name)}.{what}.json")
+        path, files = load.path_of(self.spark, f"{self.path(schema, name)}.{what}.json")
         out = files.create(path, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
@@ -110,7 +110,7 @@ class FileTarget:
 
     def names(self, schema: str) -> list[str]:
         """The tables of a schema."""
-        path, files = load._path(self.spark, f"{self.root.rstrip('/')}/{schema}")
+        path, files = load.path_of(self.spark, f"{self.root.rstrip('/')}/{schema}")
         return sorted(f.getPath().getName() for f in files.listStatus(path) if f.isDirectory() and not re.search(r"^\.|\.(staging|replaced)-[0-9a-f]+$", f.getPath().getName())) if files.exists(path) else []
 
     def catalog(self, schemas: list[str], tables: list[tuple[str, str]] | None = None) -> TargetCatalog:

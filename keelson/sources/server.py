@@ -224,7 +224,7 @@ class ServerTarget:
         r, t = staged.report, staged.table
         try:
             if staged.bad and reject_dir:
-                load._save_rejects(self.spark, staged.folder, reject_dir, t.id)
+                load.save_rejects(self.spark, staged.folder, reject_dir, t.id)
             rows = self.spark.read.parquet(staged.rows)
             out = rows.select(*(value.alias(name) for name, value in write_columns(t)))
             known = self.options | {"dbtable": f"{quote(t.target_schema)}.{quote(t.target_name)}"}

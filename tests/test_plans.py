@@ -160,3 +160,16 @@ def test_random_ranges_match_bounds():
         high = min(2**63 - 1, low + r.randint(0, 10**6))
         got = ranges(low, high, r.randint(10**4, 10**7))
         assert got[0][0] == low and got[-1][1] == high and all(b + 1 == c for (_, b), (c, _) in zip(got, got[1:], strict=False))
+
+
+@pytest.mark.parametrize("check,found", [
+    ("\"flags\" <@ ARRAY[E'a', E'b']::text[]", ("flags", frozenset("ab"))), ("CHECK ((flags <@ ARRAY['b'::text, 'a'::text]))", ("flags", frozenset("ab"))), ("((\"F g\")::text[] <@ '{a,\"c,d\"}'::text[])", ("F g", frozenset(["a", "c,d"]))),
+    ("flags <@ ARRAY[x]", None), ("flags @> ARRAY['a']", None), ("f(flags) <@ ARRAY['a']", None), ("flags <@ ARRAY['a'] AND true", None), ("a > 0", None),
+])
+def test_membership_checks(check, found):
+    assert default_values.membership(check) == found
+    if found:
+        from keelson.plans.model import CheckExpectation
+
+        want = CheckExpectation("c", "other words", found[0], sorted(found[1], reverse=True))
+        assert default_values.same_check(want, check) and not default_values.same_check(CheckExpectation("c", check, found[0], ["z"]), check)
