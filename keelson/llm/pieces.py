@@ -3,7 +3,7 @@
 The model protobuf is read field by field; normaliser, metaspace marker, scores or merges and
 byte fallback are rebuilt from it. Batches are encoded and decoded by the library's own threads.
 Before any text is encoded, the rebuilt tokenizer is held against the sentencepiece library on
-probe texts; and the operator can compare every row, as its query does.
+probe texts; and the operator can compare every row (check_rows), which about doubles its time.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ def tokenize(rows: DataFrame, model_path: str = MODEL_PATH, check_rows: bool = F
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document encoded and decoded: number of ids, their digest, whether the text came back, and whether sentencepiece gives the same ids."""
-    out = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), check_rows=True)
+    """Every document encoded and decoded: number of ids, their digest, and whether the text came back."""
+    out = tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = F.array_join("__ids", " ")
-    return out.select("doc_id", F.size("__ids").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("restored"), F.col("__same").alias("same"))
+    return out.select("doc_id", F.size("__ids").alias("n_ids"), F.sha2(ids, 256).alias("ids_sha256"), (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("restored"))

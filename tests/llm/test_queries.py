@@ -1,6 +1,6 @@
 import pytest
 
-from keelson.llm import queries
+from keelson.llm import pieces, queries
 from tests.oracle import check
 
 SF = "/root/testdata/sf0.01"
@@ -29,7 +29,12 @@ def test_mixing_places_every_document(spark):
 
 
 def test_tokens_of_all_documents_come_back(spark):
-    assert queries.queries()["op8_sentencepiece"](spark, SF).where("NOT restored OR same IS NOT TRUE").count() == 0
+    assert queries.queries()["op8_sentencepiece"](spark, SF).where("NOT restored").count() == 0
+
+
+def test_ids_of_all_documents_are_those_of_sentencepiece(spark):
+    rows = pieces.tokenize(spark.read.parquet(f"{SF}/documents.parquet").select("text"), check_rows=True)
+    assert rows.count() == 1000 and rows.where("NOT __same").count() == 0
 
 
 def test_pages_have_text(spark):
