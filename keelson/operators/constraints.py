@@ -70,20 +70,23 @@ FK_FAMILIES = [frozenset(x.split("|")) for x in (
     "smallint|integer|bigint", "numeric", "real", "double precision", "boolean", "bytea", "text", "varchar", "character", "date", "timestamp", "timestamptz",
     "time", "timetz", "interval", "uuid", "inet", "money", "bit", "varbit", "jsonb", "text[]")]
 #: Fixed value: the one widening, of a child's integers to a parent's decimals.
-FK_WIDENING = ("bigint", "numeric")
+FK_WIDENING = (FK_FAMILIES[0], FK_FAMILIES[1])
 
 
-def fk_types_agree(child: ColumnPlan, parent: ColumnPlan) -> bool:
-    """Whether equality between two planned columns is exact: types of one family, or integers in the child of a decimal; enums need the same labels."""
+def _family(column: ColumnPlan) -> object:
+    """What a column's values compare exactly with: a family of types, or an enum with its labels; None for nothing."""
     from keelson.plans.types import normalise
 
-    sides = [normalise(c.target_type) for c in (child, parent)]
-    if None in sides:
-        return False
-    enums = [(c.kind == Kind.ENUM, kind if c.kind == Kind.ENUM else None, tuple(c.enum_labels) if c.kind == Kind.ENUM else ()) for c, kind in zip((child, parent), sides, strict=True)]
-    if enums[0][0] or enums[1][0]:
-        return enums[0] == enums[1] and bool(enums[0][2])
-    bare = [kind.partition("(")[0] + ("[]" if kind.endswith("[]") and "(" in kind else "") for kind in sides]
-    family = [next((f for f in FK_FAMILIES if b in f), None) for b in bare]
-    widened = family[0] is not None and FK_WIDENING[0] in family[0] and bare[1] == FK_WIDENING[1]
-    return widened or (family[0] is not None and family[0] is family[1])
+    kind = normalise(column.target_type)
+    if kind is None:
+        return None
+    if column.kind == Kind.ENUM:
+        return (kind, *column.enum_labels) if column.enum_labels else None
+    bare = kind.partition("(")[0] + "[]" * kind.endswith("[]") * ("(" in kind)
+    return next((f for f in FK_FAMILIES if bare in f), None)
+
+
+def fk_types_agree(child: ColumnPlan, parent: ColumnPlan) -> bool:
+    """Whether equality between two planned columns is exact."""
+    sides = _family(child), _family(parent)
+    return None not in sides and (sides[0] == sides[1] or sides == FK_WIDENING)
