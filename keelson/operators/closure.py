@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local["):
+        if named is None and not re.match(r"local(\[|\Z)", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="keelson-checkpoint-"))
     return sc.getCheckpointDir()
