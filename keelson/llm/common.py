@@ -68,6 +68,19 @@ def shielded(operator):
     return run
 
 
+MOST_SENT = 200_000  # rows of a few numbers each that are broadcast
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A table of keys and a few numbers, written; marked for broadcast where it has MOST_SENT rows at most.
+
+    Then the rows that it is joined to stay where they are, so those of a very common key aren't gathered. A larger table
+    is joined by shuffles of both sides, whose skewed partitions Spark splits.
+    """
+    keys = cut(keys)
+    return F.broadcast(keys) if keys.count() <= MOST_SENT else keys
+
+
 def extended(rows: DataFrame, more: str, drop: tuple[str, ...] = ()) -> T.StructType:
     """The schema of rows without some columns and with more, given as DDL, after them."""
     kept = [f for f in rows.schema if f.name not in drop]

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import apart, cut, grouped, ship, slices, table
+from keelson.llm.common import apart, cut, few, grouped, ship, slices, table
 from keelson.llm.graph import components, forest
 from keelson.llm.near_vectors import deal
 from keelson.llm.words import Words, mix
@@ -327,7 +327,7 @@ def _links(rows: DataFrame, groups: DataFrame, classes: DataFrame, n: int, simil
     named = classes.select("node", "rep", "copies", "n_shingles").join(groups, "node")
     blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK)).cast("int")
     sizes = groups.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("count"), blocks.alias("blocks")).where(F.col("count") > 1)
-    sizes = sizes.select(apart(F.col("component")).alias("key"), "blocks")
+    sizes = few(sizes.select(apart(F.col("component")).alias("key"), "blocks"))
     asked = cut(named.join(sizes, F.col("component") == F.col("key")).select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_hash").alias("hash"), "node", "component", "blocks", "copies"))
     # the texts of candidates only, by the shuffle of one join
     met = rows.where(F.col("doc_id").isNotNull()).join(asked.withColumnRenamed("doc_id", "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("hash")))

@@ -29,14 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.columnwise import repeated
-from keelson.llm.common import apart, cut, extended, grouped, shielded, ship, slices, table
+from keelson.llm.common import apart, cut, extended, few, grouped, shielded, ship, slices, table
 from keelson.llm.words import mix
 
 LEAST, GRAM, BAND = 400, 128, 32
 BLOCK = 1 << 20  # starts that are hashed at a time
 CHUNK = 16_384  # strings that are sorted together
 CROWD = 2_000  # strings around one core that one task sorts; beyond that they are parted by their surroundings
-MOST_SENT = 200_000  # keys of 24 bytes that are broadcast
 CORE = 257  # the symbol of a core; bytes are 1 to 256
 CODE = 6  # bytes of a word's code
 PASSAGE_GRAM = 80  # GRAM for windows of codes
@@ -298,7 +297,7 @@ def _part(crowd: DataFrame) -> DataFrame:
     width, done = BAND, []
     core = (F.col("core_a") == F.col("a")) & (F.col("core_b") == F.col("b"))
     while width > 1:
-        large = crowd.groupBy(*KEYS).count().where(F.col("count") > CROWD).select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b"))
+        large = few(crowd.groupBy(*KEYS).count().where(F.col("count") > CROWD).select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b")))
         done.append(_settle(crowd.join(large, core, "left_anti"), width))
         crowd = cut(crowd.join(large, core, "left_semi").mapInArrow(_halve(width), BANDS))
         width //= 2
@@ -306,7 +305,7 @@ def _part(crowd: DataFrame) -> DataFrame:
             break
     else:
         counts = crowd.groupBy(*KEYS).agg(F.sum(F.when(F.col("many"), 2).otherwise(1)).alias("n")).where(F.col("n") > 1)
-        counts = counts.select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b"))
+        counts = few(counts.select(apart(F.col("core_a")).alias("a"), apart(F.col("core_b")).alias("b")))
         done.append(crowd.where(~F.col("many")).join(counts, core).select("id", "print", "start", F.lit(1).alias("windows")))
     out = done[0]
     for d in done[1:]:
@@ -337,9 +336,7 @@ def repeated_windows(rows: DataFrame, least: int = LEAST, gram: int = GRAM, code
     mixed = shared.where("differ")
     spot = F.struct("id", "print", "start", "windows", "offset")
     kinds = cut(mixed.groupBy("minimiser", *CONTENT).agg(F.count("*").alias("n"), F.min(spot).alias("spot")))
-    # few of them are sent to where the segments are, so a very common one isn't gathered; more are joined by shuffles, whose skew Spark splits
-    many = kinds.where(F.col("n") > 1).select("minimiser", *CONTENT)
-    many = F.broadcast(many) if many.count() <= MOST_SENT else many
+    many = few(kinds.where(F.col("n") > 1).select("minimiser", *CONTENT))
     whole = mixed.join(many, ["minimiser", *CONTENT]).select("id", "print", "start", "windows")
 
     def bands(chosen: DataFrame) -> DataFrame:

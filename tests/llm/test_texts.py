@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import columnwise, language, mixing, near_texts, pieces, suffixes, toxicity
+from keelson.llm import columnwise, common, language, mixing, near_texts, pieces, suffixes, toxicity
 from tests.llm.conftest import words
 
 DOCS = "doc_id long, text string"
@@ -64,7 +64,7 @@ def corpus(r):
 def test_removed_bytes(spark, monkeypatch, block, crowd):
     monkeypatch.setattr(suffixes, "BLOCK", block)
     monkeypatch.setattr(suffixes, "CROWD", crowd)
-    monkeypatch.setattr(suffixes, "MOST_SENT", 200_000 if crowd == 3 else 0)
+    monkeypatch.setattr(common, "MOST_SENT", 200_000 if crowd == 3 else 0)
     texts = corpus(random.Random(block + crowd))
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS).repartition(3)
     assert digest(suffixes.remove_repeats(suffixes.as_bytes(docs))) == sorted(removed(texts, 400))
