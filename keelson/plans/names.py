@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 LONGEST = 63  # bytes of a target identifier
 
