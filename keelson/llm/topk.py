@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import ship, table
+from keelson.llm.common import cut, ship, table
 
 #: Largest magnitude below which sums of integers are exact in doubles, and in long integers.
 EXACT_DOUBLE, EXACT_LONG = 2.0**53, 2.0**62
-FOUND = "query_id long, vec_id long, score long"
+FOUND = "query_id long, query_row long, vec_id long, score long"
 
 
 def usable(vector: Column) -> Column:
@@ -33,9 +33,9 @@ def usable(vector: Column) -> Column:
 class Vertical:
     """Integer vectors of one length, stored dimension by dimension."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, block: int):
+    def __init__(self, ids: np.ndarray, numbers: np.ndarray, rows: np.ndarray, block: int):
         order = np.argsort(ids, kind="stable")
-        self.ids, columns = ids[order], np.ascontiguousarray(rows[order].T)
+        self.ids, self.numbers, columns = ids[order], numbers[order], np.ascontiguousarray(rows[order].T)
         self.dims = len(columns)
         self.cuts = list(range(0, self.dims, block)) + [self.dims]
         self.top = float(np.abs(columns).max(initial=0))
@@ -45,9 +45,9 @@ class Vertical:
         self.rest = [np.sqrt(mass[c]) if c < self.dims else np.zeros(len(ids)) for c in self.cuts[1:]]
 
     def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates, ties to the smaller id; the query's own id takes no part."""
+        """Ids and scores of the k best candidates, ties to the smaller id; the query's own row, by its number, takes no part."""
         most = max(1.0, float(np.abs(query).max(initial=0))) * max(1.0, self.top) * self.dims
-        at = np.flatnonzero(self.ids != own)
+        at = np.flatnonzero(self.numbers != own)
         if most >= EXACT_DOUBLE:
             scores = self._plain(query, at, most)
         else:
@@ -90,8 +90,8 @@ def _search(k: int, block: int):
             keys = list(zip(batch.column("dims").to_pylist(), batch.column("part").to_pylist(), batch.column("asks").to_pylist(), strict=True))
             vectors = batch.column("vector")
             offsets, flat = vectors.offsets.to_numpy(), vectors.values.to_numpy(zero_copy_only=False)
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            out: list[tuple[int, np.ndarray, np.ndarray]] = []
+            ids, numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "row"))
+            out: list[tuple[int, int, np.ndarray, np.ndarray]] = []
             start = 0
             for i in range(1, len(keys) + 1):
                 if i < len(keys) and keys[i] == keys[start]:
@@ -101,16 +101,16 @@ def _search(k: int, block: int):
                 if key != (dims, part):
                     key, held, made = (dims, part), [], None
                 if not asks:
-                    held.append((ids[start:i], rows))
+                    held.append((ids[start:i], numbers[start:i], rows))
                 elif held:
-                    made = made or Vertical(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]), block)
-                    out += [(q, *made.best(v, q, k)) for q, v in zip(ids[start:i], rows, strict=True)]
+                    made = made or Vertical(*map(np.concatenate, zip(*held, strict=True)), block)
+                    out += [(q, n, *made.best(v, n, k)) for q, n, v in zip(ids[start:i], numbers[start:i], rows, strict=True)]
                 start = i
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat([q for q, _, _ in out], [len(x) for _, x, _ in out]).astype(np.int64)), pa.array(np.concatenate([x for _, x, _ in out]).astype(np.int64)), pa.array(np.concatenate([s for _, _, s in out]).astype(np.int64))],
-                    names=["query_id", "vec_id", "score"],
-                )
+                queries, own, found, scores = zip(*out, strict=True)
+                sizes = [len(x) for x in found]
+                columns = [np.repeat(queries, sizes), np.repeat(own, sizes), np.concatenate(found), np.concatenate(scores)]
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["query_id", "query_row", "vec_id", "score"])
 
     return run
 
@@ -118,25 +118,26 @@ def _search(k: int, block: int):
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, block: int = 16, group_rows: int = 4096, most_rows: int = 1 << 19) -> DataFrame:
     """The k best candidates by integer inner product for each row of vectors (vec_id, vector of long) that queries selects.
 
-    vec_id names a vector: null ids take no part, of rows that repeat an id the smallest
-    vector counts, and no vector is its own candidate. Only vectors of one length are
-    compared. Groups hold group_rows candidates, more (up to most_rows) where the cluster
+    Every row is a vector of its own, also where it repeats an id, and a candidate for every query but itself; null ids take no part.
+    Only vectors of one length are compared. Groups hold group_rows candidates, more (up to most_rows) where the cluster
     would have over eight groups a slot. Sums beyond a long are held at its limits. Returns
     query_id, rank from 1, vec_id, score; nothing for an empty table.
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    n = vectors.count()
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
+    # numbers of a written table's rows are the same whenever it is read
+    rows = cut(rows).withColumn("row", F.monotonically_increasing_id())
+    n = rows.count()
     size = min(most_rows, max(group_rows, n // (8 * spark.sparkContext.defaultParallelism)))
     parts = max(1, math.ceil(n / size))
     rows = rows.withColumn("dims", F.size("vector"))
-    deal = F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
-    candidates = rows.select("dims", deal.alias("part"), F.lit(False).alias("asks"), "vec_id", "vector")
-    asked = rows.where(queries).select("dims", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "vec_id", "vector")
+    deal = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    candidates = rows.select("dims", deal.alias("part"), F.lit(False).alias("asks"), "vec_id", "row", "vector")
+    asked = rows.where(queries).select("dims", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), "vec_id", "row", "vector")
     met = candidates.unionByName(asked).repartition(max(parts, 1), "dims", "part").sortWithinPartitions("dims", "part", "asks")
     found = met.mapInArrow(_search(k, block), FOUND)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

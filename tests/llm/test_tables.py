@@ -91,24 +91,22 @@ def test_no_vectors(spark):
 
 
 def brute_top(rows, k, asks):
-    best = {}
-    for i, v in rows:
-        if i is not None and v:
-            best[i] = min(best.get(i, v), v)
+    """Every row against every other row."""
+    fit = [(i, v) for i, v in rows if i is not None and v]
+    held = lambda x: max(min(x, 2**63 - 1), -(2**63) + 1)
     out = []
-    for q in sorted(best):
+    for n, (q, u) in enumerate(fit):
         if asks(q):
-            held = lambda x: max(min(x, 2**63 - 1), -(2**63) + 1)
-            scored = sorted((-held(sum(x * y for x, y in zip(best[q], v, strict=True))), i) for i, v in best.items() if i != q and len(v) == len(best[q]))  # noqa: B023
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(scored[:k], 1)]
-    return out
+            scored = sorted((-held(sum(x * y for x, y in zip(u, v, strict=True))), i) for m, (i, v) in enumerate(fit) if m != n and len(v) == len(u))
+            out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:k], 1)]
+    return sorted(out)
 
 
 @pytest.mark.parametrize("scale,group", [(1000, 4096), (1000, 20), (2**29, 50), (2**40, 50)])
 def test_top_k(spark, scale, group):
     r = random.Random(scale + group)
     rows = [(i, [r.randint(-scale, scale) for _ in range(r.choice([7, 7, 7, 3]))]) for i in range(150)]
-    rows += [(200, rows[3][1]), (201, rows[3][1]), (None, rows[3][1]), (202, None), (203, []), (204, [0] * 7), rows[5]]
+    rows += [(200, rows[3][1]), (201, rows[3][1]), (None, rows[3][1]), (202, None), (203, []), (204, [0] * 7), rows[5], rows[10], (20, rows[7][1])]
     extra = "dims int, part string, asks int, score long, rank int, query_id long"
     df = spark.createDataFrame([(*x, 1, "p", None, 5, 6, 7) for x in rows], f"vec_id long, vector array<long>, {extra}").repartition(3)
     got = topk.top_k(df, F.col("vec_id") % 10 == 0, k=10, block=2, group_rows=group).collect()
