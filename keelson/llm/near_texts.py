@@ -369,8 +369,9 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
         else:
             # groups that nothing joined are verified already
             was = now.join(groups.select("node", F.col("component").alias("was")), "node", "left").withColumn("was", F.coalesce("was", "node"))
-            grown = was.groupBy("component").agg(F.min("was").alias("low"), F.max("was").alias("high")).where(F.col("low") != F.col("high")).select("component")
-            changed = cut(now.join(grown, "component", "left_semi"))
+            grown = was.groupBy("component").agg(F.min("was").alias("low"), F.max("was").alias("high")).where(F.col("low") != F.col("high"))
+            grown = few(grown.select(apart(F.col("component")).alias("key")))
+            changed = cut(now.join(grown, F.col("component") == F.col("key"), "left_semi"))
             if not changed.isEmpty():
                 rest = links.join(changed.select("node"), "node", "left_anti").select("node", "n", "hub", "bin")
                 links = cut(rest.unionByName(_links(rows, changed, classes, n, similarity, repeated)))
@@ -384,7 +385,8 @@ def near_texts(documents: DataFrame, n: int = 5, similarity: str = "0.8", recall
     # a class's least row is the first of all rows that it reaches
     met = classes.select("node", "rep", "copies", *prints).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = met.join(joined.select("node"), "node", "left_semi").groupBy("component").agg(F.min("rep").alias("least"))
-    verdict = met.join(linked, "node", "left").join(least, "component", "left")
+    least = few(least.select(apart(F.col("component")).alias("key"), "least"))
+    verdict = met.join(linked, "node", "left").join(least, F.col("component") == F.col("key"), "left")
     verdict = verdict.select(*prints, F.coalesce("least", "rep").alias("first"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     out = full.select("doc_id", "text_hash", *prints).join(verdict, prints)
     kept = F.struct("doc_id", "text_hash") == F.col("first")
