@@ -6,6 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -239,13 +240,15 @@ def duplicates(rows: DataFrame, table: TablePlan, keys: list[list[str]], held: D
     return kept, refused
 
 
+def copy_facts(table: TablePlan) -> dict[str, Column]:
+    """What all records of rows that the target's keys refused say alike."""
+    return {"version": F.lit(1), "kind": F.lit("copy"), "encoding": F.lit("postgresql_copy_text"), "table_id": F.lit(table.id), "reason": F.lit("unique")}
+
+
 def copy_rejects(rows: DataFrame, table: TablePlan) -> DataFrame:
-    """Records of rows that the target's keys refused: version, kind, encoding, table, locator, the line as copy text, its length, and the reason."""
+    """Rows that the target's keys refused: locator, the line as copy text, and its length."""
     line = row_text([field_text(F.col(f"`{c.target_name}`"), c.kind) for c in table.copied])
-    return rows.select(
-        F.lit(1).alias("version"), F.lit("copy").alias("kind"), F.lit("postgresql_copy_text").alias("encoding"), F.lit(table.id).alias("table_id"),
-        F.struct(F.col(ORDINAL).alias("ordinal"), F.lit(None).cast("string").alias("key")).alias("locator"), line.alias("line"), F.octet_length(line).cast("long").alias("length"), F.lit("unique").alias("reason"),
-    )
+    return rows.select(F.struct(F.col(ORDINAL).alias("ordinal"), F.lit(None).cast("string").alias("key")).alias("locator"), line.alias("line"), F.octet_length(line).cast("long").alias("length"))
 
 
 def stage_table(rows: DataFrame, table: TablePlan, target: str, *, on_row_error: str = "stop", max_rejected: int = 0, max_row_bytes: int | None = None, keys: list[list[str]] | None = None, held: DataFrame | None = None) -> Staged:
@@ -272,7 +275,7 @@ def stage_table(rows: DataFrame, table: TablePlan, target: str, *, on_row_error:
         found = accounts.found()
         out.total, out.bad, out.size = found["total"], found["bad"], found["bytes"]
         report.rows_read, report.transformations = out.total, accounts.transformations()
-        late = 0
+        late = lost = 0
         if keys:
             everything = spark.read.parquet(f"{out.folder}/all")
             good_rows, refused = duplicates(everything, table, keys, held)
@@ -288,7 +291,7 @@ def stage_table(rows: DataFrame, table: TablePlan, target: str, *, on_row_error:
         if out.bad > max_rejected:
             raise RejectLimit(f"{table.source_name}: {out.bad} rejected rows exceed {max_rejected}")
         if out.bad:
-            _records(out, made, late, found)
+            _records(out, made, late, lost, found)
             out.diagnostics.append(Diagnostic("CONVERSION_ROW_REJECTED", table.source_name, f"{out.bad} rows rejected", Severity.WARNING, "copy"))
     except Exception:
         report.status, report.unresolved_rows = Status.FAILED, out.total
@@ -304,8 +307,42 @@ def _write(rows: DataFrame, table: TablePlan, where: str) -> None:
     rows.select(*marked).write.parquet(where)
 
 
-def _records(out: Staged, made: DataFrame, late: int, found: dict[str, int]) -> None:
-    """Write the records of all rejects; lines of refused rows go to a file of their own, in the order of their offsets."""
+#: Refused rows, and bytes of their lines, that one task sorts; and the order of the lines in their file.
+RANGE_ROWS, RANGE_BYTES = 200_000, 1 << 26
+IN_ORDER = ("locator.ordinal", "line")
+
+
+def _in_ranges(lines: DataFrame, n_rows: int, n_bytes: int, where: str) -> DataFrame:
+    """Lines dealt by _range, a partition for each in their order, so many that a range has a bound; _before is the length of all lines of the ranges before.
+
+    They are written once, as other passes may draw other ranges.
+    """
+    n = max(1, -(-n_rows // RANGE_ROWS), -(-n_bytes // RANGE_BYTES))
+    lines.repartitionByRange(n, IN_ORDER[0]).withColumn("_range", F.spark_partition_id()).write.parquet(where)
+    dealt = lines.sparkSession.read.parquet(where)
+    ranges, sizes = zip(*sorted(dealt.groupBy("_range").agg(F.sum("length")).collect()), strict=True)  # a row for each range
+    before = lines.sparkSession.createDataFrame(list(zip(ranges, accumulate(sizes, initial=0), strict=False)), "_range int, _before long")
+    return dealt.join(F.broadcast(before), "_range").repartitionById(ranges[-1] + 1, F.col("_range"))
+
+
+def join_files(spark: SparkSession, folder: str, target: str) -> None:
+    """One file of a folder's part files, in the order of their names. Bytes pass through a small buffer."""
+    path, files = path_of(spark, folder)
+    out = files.create(path_of(spark, target)[0])
+    try:
+        for part in sorted(f.getPath().getName() for f in files.listStatus(path)):
+            if part.startswith("part-"):
+                read = files.open(path_of(spark, f"{folder}/{part}")[0])
+                try:
+                    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(read, out, 1 << 16, False)
+                finally:
+                    read.close()
+    finally:
+        out.close()
+
+
+def _records(out: Staged, made: DataFrame, late: int, size: int, found: dict[str, int]) -> None:
+    """Write the records of all rejects; lines of refused rows (late, of so many bytes) go to a file of their own, in the order of their offsets."""
     spark, table = out.spark, out.table
     frames = []
     if found["bad"]:
@@ -316,13 +353,13 @@ def _records(out: Staged, made: DataFrame, late: int, found: dict[str, int]) ->
             raise SourceChanged(f"{table.source_name}: the source has changed between two passes")
         frames.append(spark.read.text(f"{out.folder}/conversion").select("value"))
     if late:
-        # no more than the run allows rejects, so one task can give them their places in one file
-        lines = spark.read.json(f"{out.folder}/refused")
-        placed = lines.withColumn("offset", F.coalesce(F.sum("length").over(Window.orderBy("locator.ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        lines = _in_ranges(spark.read.json(f"{out.folder}/refused"), late, size, f"{out.folder}/ranges")
         record = F.to_json(F.struct("version", "kind", "encoding", "table_id", "locator", "offset", "length", "reason"))
-        frames.append(placed.select(record.alias("value")))
-        in_order = lines.orderBy("locator.ordinal").select(F.expr("substring(line, 1, char_length(line) - 1)").alias("value"))
-        in_order.coalesce(1).write.text(f"{out.folder}/copy")
+        earlier = F.sum("length").over(Window.partitionBy("_range").orderBy(*IN_ORDER).rowsBetween(Window.unboundedPreceding, -1))
+        placed = lines.withColumn("offset", F.col("_before") + F.coalesce(earlier, F.lit(0)))
+        frames.append(placed.withColumns(copy_facts(table)).select(record.alias("value")))
+        lines.sortWithinPartitions(*IN_ORDER).select(F.expr("substring(line, 1, char_length(line) - 1)").alias("value")).write.text(f"{out.folder}/lines")
+        join_files(spark, f"{out.folder}/lines", f"{out.folder}/copy/part-00000.txt")
     both = frames[0] if len(frames) == 1 else frames[0].unionAll(frames[1])
     both.write.text(f"{out.folder}/jsonl")
 

@@ -1,5 +1,6 @@
 import json
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -318,6 +319,22 @@ def test_the_earliest_row_of_a_key_wins(spark, tmp_path):
     assert report.exit_code() == 1 and target.read("app", "people").count() == 4
 
 
+def test_refused_rows_get_their_places_in_ranges(spark, tmp_path, monkeypatch):
+    """No task has all of them, and their lines are one file still, in the order of the rows."""
+    monkeypatch.setattr(load, "RANGE_ROWS", 10, raising=False)
+    assert go(spark, tmp_path, people(spark, (1, "a")), configured(tmp_path))[0].exit_code() == 0
+    given = [(i % 3 + 1, f"é{i}") for i in range(90)] + [(4, "tooolong")]
+    report, p, target = go(spark, tmp_path, people(spark, *given).coalesce(1), configured(tmp_path, mode="data_only", on_existing="append", max_rejected_rows=99))
+    assert report.exit_code() == 3 and (report.tables[0].committed_rows, report.tables[0].rejected_rows) == (2, 89), report
+    files = {kind: sorted(Path(report.artifact_dir, f"{p.tables[0].id}.reject.{kind}").glob("part-*")) for kind in ("jsonl", "copy")}
+    parts = [[r for r in map(json.loads, f.read_text().splitlines()) if r["kind"] == "copy"] for f in files["jsonl"]]
+    assert max(map(len, parts)) <= 30 and len(files["copy"]) == 1
+    lines, records = files["copy"][0].read_bytes(), [r for part in parts for r in part]
+    late = {i: "%d\t%s\n" % row for i, row in enumerate(given) if i not in (1, 2, 90)}  # key 1 was there, and rows 1 and 2 stay
+    assert {r["locator"]["ordinal"]: lines[r["offset"] : r["offset"] + r["length"]].decode() for r in records} == late and len(records) == 88
+    assert lines.decode() == "".join(late.values())
+
+
 def test_duplicates_of_a_new_key_fail_the_run(spark, tmp_path):
     report, _, _ = go(spark, tmp_path, people(spark, (1, "a"), (1, "b")), configured(tmp_path))
     assert report.exit_code() == 1 and "unique key on id" in report.failed_steps[0]
